@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op1_bpe
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
+from .simple8b import op6_token_ids
 from .url_filter import op10_url_filter
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_classifier, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op3_quality_classifier, op6_token_ids, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
