@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op1_bpe
+from .media import op7_media
+from .packing import op5_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
 from .simple8b import op6_token_ids
 from .url_filter import op10_url_filter
+from .warc import op4_warc
+from .wordpiece import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op3_quality_classifier, op6_token_ids, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_quality_classifier, op4_warc, op5_packing, op6_token_ids, op7_media, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
