@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_bpe
 from .media import op7_media
+from .near_duplicates import op8_near_duplicates
 from .packing import op5_packing
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -14,7 +15,7 @@ from .wordpiece import op2_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_quality_classifier, op4_warc, op5_packing, op6_token_ids, op7_media, op9_quality_rules, op10_url_filter)}
+    return {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_quality_classifier, op4_warc, op5_packing, op6_token_ids, op7_media, op8_near_duplicates, op9_quality_rules, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
