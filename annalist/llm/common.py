@@ -94,3 +94,22 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
 def with_clear_names(df: DataFrame, *needed: str) -> DataFrame:
     """Only the needed columns: extra columns, whatever their names, can't clash with the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in needed])
+
+
+def with_statistics(docs: DataFrame, text: str, names: tuple[str, ...], measure) -> DataFrame:
+    """docs with a double column for each name; ``measure`` takes the bytes and offsets of texts and returns a row of
+    numbers per text.  Other columns pass through as they are, in the JVM, so rows need no join."""
+    import pandas as pd
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def measured(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+        found = [measure(data, offsets) for _, data, offsets in text_slices(batch, 0)]
+        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, len(names))), columns=list(names))
+
+    measured.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    measured = F.pandas_udf(measured, StructType([StructField(n, DoubleType()) for n in names]))
+    clash = set(names) & set(docs.columns)
+    if clash:
+        raise ValueError(f"docs already has {sorted(clash)}")
+    return docs.select("*", measured(F.col(f"`{text}`").cast("string")).alias("_measured")).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_measured.{n}").alias(n) for n in names])
