@@ -1,11 +1,478 @@
-"""All registered queries over the knowledge tables, with their SQL twins."""
+"""All registered queries over the knowledge tables, with their SQL twins.
+
+Each entry: (query, SQL or None).  A query takes the ``Knowledge`` of a data folder.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import storage
+from .functions import text as t
+from .operators import code, graph, link, ownership, rank, search
+from .plans.knowledge import Knowledge
+from .plans.oracle import sql
+
+QUERIES: dict[str, tuple] = {}
+START = "region:1"
+PERSON = "u7@example.com"
+TOPIC = "login token sqlite"
+
+
+def query(body: str | None = None, *needs: str):
+    def put(f):
+        QUERIES[f.__name__] = (f, sql(body, *needs) if body else None)
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(Knowledge(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for name, (_, text) in QUERIES.items() if text}
+
+
+# extraction ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, source_id, event_type, title FROM evt", "evt")
+def classify_commits(k: Knowledge) -> DataFrame:
+    return k.events.select("id", "source_id", "event_type", "title")
+
+
+@query("SELECT id, title, status, source_id FROM dec", "dec")
+def extract_decisions(k: Knowledge) -> DataFrame:
+    return k.decisions.select("id", "title", "status", "source_id")
+
+
+@query("SELECT id, source_id, subject, predicate, object FROM fact", "fact")
+def extract_facts(k: Knowledge) -> DataFrame:
+    return k.facts.select("id", "source_id", "subject", "predicate", "object")
+
+
+@query("SELECT id, source_id, lower(description) AS description FROM intent", "intent")
+def extract_intents(k: Knowledge) -> DataFrame:
+    return k.intents.select("id", "source_id", F.lower("description").alias("description"))
+
+
+@query("SELECT source_id, name, email, contributor_id FROM who", "who")
+def parse_authors(k: Knowledge) -> DataFrame:
+    return ownership.with_contributor(k.sources).select(F.col("id").alias("source_id"), "name", "email", "contributor_id")
+
+
+@query(r"SELECT url, list_aggregate(list_distinct(regexp_extract_all(url, '[A-Za-z0-9_\-]+(?:/[A-Za-z0-9_\-.]+)+\.[A-Za-z0-9]+')), 'count') AS paths, CASE split_part(ltrim(regexp_extract(url, '://[^/]+/?(.*)$', 1), '/'), '/', 1) WHEN 'docs' THEN 'documentation' WHEN 'pkg' THEN 'public' ELSE 'module' END AS layer FROM pages")
+def page_paths(k: Knowledge) -> DataFrame:
+    rest = F.regexp_replace(F.regexp_extract("url", r"://[^/]+/?(.*)$", 1), "^/+", "")
+    return k.table("pages").select("url", F.size(t.file_paths(F.col("url"))).cast("long").alias("paths"), code.package_layer(rest).alias("layer"))
+
+
+# ownership ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT id, email, name, first_seen, last_seen, commit_count FROM ctr", "ctr")
+def contributors(k: Knowledge) -> DataFrame:
+    return k.contributors.select("id", "email", "name", "first_seen", "last_seen", "commit_count")
+
+
+@query("SELECT * FROM exp", "exp")
+def expertise(k: Knowledge) -> DataFrame:
+    return k.expertise
+
+
+def _person() -> F.Column:
+    return t.sha_key("ctr_", F.lit("repo_main"), F.lit(PERSON))
+
+
+@query(f"SELECT 'event' AS kind, id, title AS label FROM evt WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}') UNION ALL SELECT 'decision', id, title FROM dec WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}') UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object FROM fact WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}')", "who", "evt", "dec", "fact")
+def trace_contributor(k: Knowledge) -> DataFrame:
+    return ownership.trace_contributor(k.sources, _person(), k.events, k.decisions, k.facts)
+
+
+# links --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'relationship_' || sha256(i.id || ':' || d.id || ':INTENT_DRIVES_DECISION') AS id, i.id AS from_id, d.id AS to_id FROM intent i JOIN dec d USING (source_id)", "intent", "dec")
+def link_intent_decision(k: Knowledge) -> DataFrame:
+    return link.intent_decision(k.intents, k.decisions).select("id", "from_id", "to_id")
+
+
+@query("SELECT DISTINCT d.id AS from_id, e.id AS to_id FROM dec_words d JOIN evt_words e USING (word)", "dec_words", "evt_words")
+def link_decision_event(k: Knowledge) -> DataFrame:
+    return link.decision_event(k.decisions, k.events).select("from_id", "to_id")
+
+
+@query("SELECT DISTINCT f.id AS from_id, d.id AS to_id FROM fact_words f JOIN dec_words d USING (word)", "fact_words", "dec_words")
+def link_fact_decision(k: Knowledge) -> DataFrame:
+    return link.fact_decision(k.facts, k.decisions).select("from_id", "to_id")
+
+
+@query("SELECT a.id AS from_id, b.id AS to_id, 'explicit_reference' AS evidence FROM dec a JOIN dec b ON CAST(substr(a.source_id, 4) AS BIGINT) % 7 = 0 AND CAST(substr(b.source_id, 4) AS BIGINT) = CAST(substr(a.source_id, 4) AS BIGINT) + 1", "dec")
+def derive_decision_dep(k: Knowledge) -> DataFrame:
+    return link.decision_dependencies(k.decisions)
+
+
+@query("SELECT DISTINCT a.id AS from_id, b.id AS to_id, lower(a.object) AS name FROM fact a JOIN fact b ON lower(a.object) = lower(b.subject) AND a.id <> b.id", "fact")
+def derive_fact_support(k: Knowledge) -> DataFrame:
+    return link.fact_support(k.facts)
+
+
+@query("SELECT a.contributor_id, a.domain AS domain_a, b.domain AS domain_b FROM exp a JOIN exp b ON a.contributor_id = b.contributor_id AND a.domain < b.domain", "exp")
+def derive_domain_pairs(k: Knowledge) -> DataFrame:
+    return link.domain_pairs(k.expertise)
+
+
+# graph --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT node_type AS kind, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT edge_type, count(*) FROM edges GROUP BY 1", "nodes", "edges")
+def graph_snapshot(k: Knowledge) -> DataFrame:
+    return k.nodes.groupBy(F.col("node_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(k.edges.groupBy(F.col("edge_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _one(k: Knowledge, name: str) -> DataFrame:
+    return k.nodes.where(F.col("id") == name).select("id")
+
+
+PATHS = "p AS (SELECT [id] AS nodes, 0 AS hops FROM nodes WHERE id = '{start}' UNION ALL SELECT {grow} AS nodes, hops + 1 FROM p JOIN edges e ON {end} = e.{near} WHERE hops < 10 AND NOT list_contains(p.nodes, e.{far}))"
+OUT = PATHS.format(start=START, grow="list_append(p.nodes, e.to_id)", end="p.nodes[-1]", near="from_id", far="to_id")
+IN = PATHS.format(start="order:7", grow="list_prepend(e.from_id, p.nodes)", end="p.nodes[1]", near="to_id", far="from_id")
+
+
+def _paths_sql(part: str, body: str) -> str:
+    return sql("SELECT 1", "nodes", "edges").removesuffix(" SELECT 1") + f", {part} {body}"
+
+
+def paths_out(k: Knowledge) -> DataFrame:
+    return graph.simple_paths(k.edges, _one(k, START)).select(F.array_join("nodes", ">").alias("path"), "hops")
+
+
+def paths_in(k: Knowledge) -> DataFrame:
+    return graph.simple_paths(k.edges, _one(k, "order:7"), inbound=True).select(F.array_join("nodes", ">").alias("path"), "hops")
+
+
+def path_between(k: Knowledge) -> DataFrame:
+    return graph.path_between(k.edges, _one(k, START), F.lit("nation:1")).select(F.array_join("nodes", ">").alias("path"), "hops")
+
+
+REASON = "CASE WHEN t.node_type = 'DECISION' THEN 'Decision ' || s || ' impacts Decision ' || e || ' because Decision ' || e || ' depends on Decision ' || s || '.' WHEN t.node_type = 'EVENT' THEN 'Decision ' || s || ' impacts Event ' || e || ' because Event ' || e || ' results from Decision ' || s || '.' ELSE 'DECISION ' || s || ' impacts ' || t.node_type || ' ' || e || ' through traversal path.' END"
+
+
+def impact_report(k: Knowledge) -> DataFrame:
+    return graph.impact_report(graph.simple_paths(k.edges, _one(k, START)), k.nodes).select("start_id", "end_id", "hops", "reason")
+
+
+def change_plan(k: Knowledge) -> DataFrame:
+    return graph.change_plan(graph.reach(k.edges, _one(k, START)), k.nodes)
+
+
+QUERIES |= {
+    "paths_out": (paths_out, _paths_sql(OUT, "SELECT array_to_string(nodes, '>') AS path, hops FROM p WHERE hops > 0")),
+    "paths_in": (paths_in, _paths_sql(IN, "SELECT array_to_string(nodes, '>') AS path, hops FROM p WHERE hops > 0")),
+    "path_between": (path_between, _paths_sql(OUT, "SELECT array_to_string(nodes, '>') AS path, hops FROM p WHERE hops > 0 AND nodes[-1] = 'nation:1'")),
+    "impact_report": (impact_report, _paths_sql(OUT, f"SELECT s AS start_id, e AS end_id, hops, {REASON} AS reason FROM (SELECT nodes[1] AS s, nodes[-1] AS e, hops FROM p WHERE hops > 0) JOIN nodes t ON t.id = e")),
+    "change_plan": (change_plan, _paths_sql(OUT, "SELECT node_type AS entity_type, id AS entity_id, CAST(least(min(hops), 3) AS INT) AS priority FROM (SELECT nodes[-1] AS id, hops FROM p WHERE hops > 0) JOIN nodes USING (id) WHERE node_type IN ('DECISION', 'FACT', 'EVENT', 'CONTRIBUTOR') GROUP BY ALL")),
+}
+
+
+def components(k: Knowledge) -> DataFrame:
+    return graph.components(k.edges)
+
+
+TREE = ", region_of AS (SELECT from_id AS root, to_id AS id FROM edges WHERE from_id LIKE 'region:%' UNION ALL SELECT r.root, e.to_id FROM region_of r JOIN edges e ON e.from_id = r.id), whole AS (SELECT root, id FROM region_of UNION SELECT root, root FROM region_of) SELECT id, min(id) OVER (PARTITION BY root) AS component FROM whole"
+QUERIES["components"] = (components, sql("SELECT 1", "edges").removesuffix(" SELECT 1") + TREE)
+
+
+@query("SELECT id, degree FROM degree WHERE degree >= 2", "degree")
+def god_nodes(k: Knowledge) -> DataFrame:
+    return graph.hubs(k.edges)
+
+
+@query("SELECT from_id, to_id, edge_type, a.node_type AS from_type, b.node_type AS to_type FROM edges JOIN nodes a ON a.id = from_id JOIN nodes b ON b.id = to_id WHERE a.node_type <> b.node_type", "nodes", "edges")
+def surprises(k: Knowledge) -> DataFrame:
+    return graph.surprises(k.edges, k.nodes)
+
+
+# code ---------------------------------------------------------------------------------------------------------------
+
+
+def call_graph(k: Knowledge) -> DataFrame:
+    calls = k.relations
+    return graph.reach(calls, k.entities.where("id = 'part:1'").select("id"), 2).join(calls.withColumnRenamed("from_id", "id"), "id").select(F.col("id").alias("from_id"), "to_id", "hops")
+
+
+QUERIES["call_graph"] = (call_graph, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 2), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
+
+
+@query("SELECT from_id, count(*) AS n FROM calls GROUP BY 1", "calls")
+def symbol_deps(k: Knowledge) -> DataFrame:
+    return code.symbol_dependencies(k.relations).groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, entity_type, qualified_name, score FROM (SELECT *, CASE WHEN lower(name) = 'fn1' OR lower(qualified_name) = 'fn1' THEN 100 WHEN lower(qualified_name) LIKE '%.fn1' THEN 80 WHEN contains(lower(name), 'fn1') THEN 50 WHEN contains(lower(qualified_name), 'fn1') THEN 40 WHEN contains(lower(file_path), 'fn1') THEN 25 ELSE 0 END + CASE WHEN lower(name) = 'steel' OR lower(qualified_name) = 'steel' THEN 100 WHEN lower(qualified_name) LIKE '%.steel' THEN 80 WHEN contains(lower(name), 'steel') THEN 50 WHEN contains(lower(qualified_name), 'steel') THEN 40 WHEN contains(lower(file_path), 'steel') THEN 25 ELSE 0 END AS score FROM entities) WHERE score > 0 ORDER BY score DESC, entity_type, qualified_name, id LIMIT 20", "entities")
+def code_search(k: Knowledge) -> DataFrame:
+    return search.code_search(k.entities, ["Fn1", "steel"])
+
+
+@query("SELECT id, qualified_name FROM entities WHERE lower(name) = 'fn12' OR lower(qualified_name) LIKE '%.fn12'", "entities")
+def symbol_match(k: Knowledge) -> DataFrame:
+    return code.symbol_matches(k.entities, "FN12").select("id", "qualified_name")
+
+
+@query("SELECT id, string_agg(qualified_name, ',' ORDER BY n) AS related, count(*) AS shown FROM (SELECT from_id AS id, qualified_name, row_number() OVER (PARTITION BY from_id ORDER BY relationship_type, qualified_name, to_id) AS n FROM calls JOIN entities e ON e.id = to_id) WHERE n <= 6 GROUP BY 1", "calls", "entities")
+def entity_briefing(k: Knowledge) -> DataFrame:
+    return code.briefing(k.entities, k.relations)
+
+
+@query("SELECT 0 AS files, 0 AS packages, count(*) FILTER (entity_type = 'function') AS functions, count(*) FILTER (entity_type = 'struct') AS structs, (SELECT count(*) FROM calls) AS relations FROM entities", "entities", "calls")
+def index_counters(k: Knowledge) -> DataFrame:
+    return code.counters(k.entities, k.relations)
+
+
+@query("SELECT d.id AS memory_id, e.id AS code_id, 'short_name' AS strategy FROM dec d JOIN entities e ON e.name = 'Fn' || substr(d.source_id, 4)", "dec", "entities")
+def bridge_links(k: Knowledge) -> DataFrame:
+    memories = k.decisions.select(F.col("id").alias("memory_id"), F.lit("DECISION").alias("kind"), F.concat(F.lit("Fn"), F.expr("substr(source_id, 4)"), F.lit(" "), "title").alias("text"))
+    return code.bridge(memories, k.entities)
+
+
+@query("SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS topic, count(*) AS n FROM entities GROUP BY 1 ORDER BY n DESC, topic LIMIT 1", "entities")
+def pr_topic(k: Knowledge) -> DataFrame:
+    return code.topic_of_files(k.entities.select(F.col("file_path").alias("path")))
+
+
+@query("SELECT id AS path, package_path AS module FROM entities", "entities")
+def module_roots(k: Knowledge) -> DataFrame:
+    paths = k.entities.select(F.concat("package_path", F.lit("/"), F.col("id")).alias("path"))
+    return code.module_roots(paths, k.entities.select(F.col("package_path").alias("folder"))).select(F.element_at(F.split("path", "/"), -1).alias("path"), "module")
+
+
+# ranking ------------------------------------------------------------------------------------------------------------
+
+
+def _discovery(k: Knowledge) -> DataFrame:
+    paths = graph.simple_paths(k.edges, k.nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT')").select("id"))
+    return rank.discovery(k.nodes, graph.degrees(k.edges), paths, k.expertise)
+
+
+@query("SELECT entity_type, entity_id, score FROM disc", "disc")
+def discovery(k: Knowledge) -> DataFrame:
+    return _discovery(k)
+
+
+def _people(k: Knowledge) -> DataFrame:
+    """Discovery scores of contributors and of decisions and events by the links they have."""
+    degree = graph.degrees(k.stored_edges)
+    items = degree.select(F.lit("MEMORY").alias("entity_type"), F.col("id").alias("entity_id"), F.col("degree").cast("double").alias("score"))
+    people = k.expertise.groupBy("contributor_id").agg((F.count(F.lit(1)) + F.countDistinct("domain")).cast("double").alias("score")).select(F.lit("CONTRIBUTOR").alias("entity_type"), F.col("contributor_id").alias("entity_id"), "score")
+    return items.unionByName(people)
+
+
+@query("SELECT contributor_id, CAST(4 * count(*) AS DOUBLE) AS score FROM exp GROUP BY 1", "exp")
+def reviewers_repo(k: Knowledge) -> DataFrame:
+    people = k.expertise.groupBy(F.col("contributor_id").alias("entity_id")).agg((F.count(F.lit(1)) + F.countDistinct("domain")).cast("double").alias("score")).withColumn("entity_type", F.lit("CONTRIBUTOR"))
+    return rank.repository_reviewers(k.contributors, k.expertise, people)
+
+
+STORED = "stored_degree AS (SELECT id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT i.id AS a, d.id AS b FROM intent i JOIN dec d USING (source_id) UNION ALL SELECT DISTINCT d.id, e.id FROM dec_words d JOIN evt_words e USING (word) UNION ALL SELECT DISTINCT f.id, d.id FROM fact_words f JOIN dec_words d USING (word)) x, LATERAL (SELECT unnest([a, b]) AS id) GROUP BY 1)"
+
+
+def reviewers_domain(k: Knowledge) -> DataFrame:
+    who = ownership.with_contributor(k.sources).select(F.col("id").alias("source_id"), "contributor_id")
+    relevant = k.events.where(F.array_contains(ownership.domains_of(F.col("title"), F.col("description")), "Storage")).select("source_id", F.col("id").alias("entity_id"))
+    return rank.domain_reviewers(k.expertise, "storage", relevant.join(who, "source_id").select("contributor_id", "entity_id"), _people(k))
+
+
+QUERIES["reviewers_domain"] = (
+    reviewers_domain,
+    sql("SELECT 1", "intent", "dec_words", "evt_words", "fact_words", "exp").removesuffix(" SELECT 1")
+    + f", {STORED}, items AS (SELECT contributor_id, sum(score) AS items FROM evt JOIN who USING (source_id) JOIN stored_degree s ON s.id = evt.id WHERE regexp_matches(lower(evt.title || chr(10) || evt.description), 'storage|db|database|sqlite|postgres|sql|persistence|query') GROUP BY 1), own AS (SELECT contributor_id, sum(score) AS e FROM exp WHERE domain = 'Storage' GROUP BY 1) SELECT contributor_id, round(coalesce(e, 0) + coalesce(items, 0), 6) AS score FROM own FULL JOIN items USING (contributor_id) WHERE coalesce(e, 0) + coalesce(items, 0) > 0",
+)
+
+
+def reviewers_impact(k: Knowledge) -> DataFrame:
+    """Who wrote the decisions and events that an author's decisions lead to."""
+    who = ownership.with_contributor(k.sources).select(F.col("id").alias("source_id"), "contributor_id")
+    mine = k.decisions.join(who.where(F.col("contributor_id") == _person()), "source_id", "left_semi").select(F.col("id").alias("from_id"))
+    touched = link.decision_event(k.decisions, k.events).join(mine, "from_id", "left_semi").select(F.col("to_id").alias("entity_id")).distinct()
+    items = touched.join(k.events.select(F.col("id").alias("entity_id"), "source_id", ownership.domains_of(F.col("title"), F.col("description")).alias("domains")), "entity_id").join(who, "source_id").select("contributor_id", "entity_id", "domains")
+    return rank.impact_reviewers(items, k.expertise, _people(k))
+
+
+QUERIES["reviewers_impact"] = (
+    reviewers_impact,
+    sql("SELECT 1", "intent", "dec_words", "evt_words", "fact_words", "exp").removesuffix(" SELECT 1")
+    + f", {STORED}, hit AS (SELECT DISTINCT e.id FROM dec_words d JOIN evt_words e USING (word) WHERE d.id IN (SELECT dec.id FROM dec JOIN who USING (source_id) WHERE email = '{PERSON}')), it AS (SELECT contributor_id, evt.id, source_id FROM hit JOIN evt USING (id) JOIN who USING (source_id)), a AS (SELECT contributor_id, count(*) AS n, sum(coalesce(score, 0)) AS d FROM it LEFT JOIN stored_degree USING (id) GROUP BY 1), f AS (SELECT it.contributor_id, sum(exp.score) AS fit FROM it JOIN (SELECT DISTINCT source_id, domain FROM exp_rows WHERE kind = 'events') x USING (source_id) JOIN exp ON exp.contributor_id = it.contributor_id AND exp.domain = x.domain GROUP BY 1) SELECT contributor_id, round(n + d + coalesce(fit, 0), 6) AS score FROM a LEFT JOIN f USING (contributor_id)",
+)
+
+
+@query("SELECT arg_min(name, (r, name)) AS name, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CAST(sum(n) AS BIGINT) AS event_count FROM (SELECT unnest(['Authentication', 'Storage', 'Context Engine', 'MCP', 'Agent Intelligence', 'Infrastructure']) AS name, 'expertise_domain' AS source, 0 AS n, 0 AS r UNION ALL SELECT title, 'feature_event', 1, 1 FROM evt WHERE event_type = 'FEATURE_INTRODUCED') GROUP BY lower(name)", "evt")
+def features(k: Knowledge) -> DataFrame:
+    return rank.features(k.events, k.decisions)
+
+
+@query("SELECT author, CAST(sum(score) AS BIGINT) AS score FROM (SELECT author, CAST(contains(x, 'sqlite') AS INT) + CAST(contains(x, 'latency') AS INT) AS score FROM (SELECT author, lower(concat_ws(' ', title, reference, content)) AS x FROM commits UNION ALL SELECT author, lower(concat_ws(' ', title, reference, content)) FROM records)) WHERE score > 0 GROUP BY 1", "commits", "records")
+def author_evidence(k: Knowledge) -> DataFrame:
+    return rank.author_evidence(k.sources, ["sqlite", "latency"])
+
+
+LEARN = "SELECT CAST(row_number() OVER (ORDER BY list_position(['DECISION', 'FACT', 'EVENT', 'CONTRIBUTOR'], entity_type), score DESC, entity_id) AS BIGINT) AS position, entity_type, entity_id, score FROM disc"
+
+
+@query(LEARN, "disc")
+def learning_repo(k: Knowledge) -> DataFrame:
+    return rank.learning_path(_discovery(k))
+
+
+@query(LEARN + " WHERE entity_type <> 'CONTRIBUTOR' OR entity_id IN (SELECT contributor_id FROM exp WHERE domain = 'Storage')", "disc")
+def learning_domain(k: Knowledge) -> DataFrame:
+    own = k.expertise.where("domain = 'Storage'").select(F.col("contributor_id").alias("entity_id"))
+    found = _discovery(k)
+    return rank.learning_path(found.where("entity_type <> 'CONTRIBUTOR'").unionByName(found.where("entity_type = 'CONTRIBUTOR'").join(own, "entity_id", "left_semi").select(*found.columns)))
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY list_position(['decision', 'fact', 'event'], kind), label, id) AS BIGINT) AS position, kind, id FROM (SELECT 'event' AS kind, id, title AS label, source_id FROM evt UNION ALL SELECT 'decision', id, title, source_id FROM dec UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object, source_id FROM fact) WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}')", "who", "evt", "dec", "fact")
+def learning_contributor(k: Knowledge) -> DataFrame:
+    from pyspark.sql import Window
+
+    own = ownership.trace_contributor(k.sources, _person(), k.events, k.decisions, k.facts)
+    order = F.row_number().over(Window.orderBy(F.array_position(F.array(F.lit("decision"), F.lit("fact"), F.lit("event")), F.col("kind")), "label", "id"))
+    return own.select(order.cast("long").alias("position"), "kind", "id")
+
+
+@query("SELECT 'decision' AS kind, id, title AS label FROM dec UNION ALL SELECT 'intent', id, lower(description) FROM intent UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object FROM fact UNION ALL SELECT 'event', id, title FROM evt", "dec", "intent", "fact", "evt")
+def context_lists(k: Knowledge) -> DataFrame:
+    return _items(k).select("kind", "id", F.when(F.col("kind") == "intent", F.lower("text")).otherwise(F.col("text")).alias("label"))
+
+
+def _items(k: Knowledge) -> DataFrame:
+    return (
+        k.decisions.select(F.lit("decision").alias("kind"), "id", F.col("title").alias("text"))
+        .unionByName(k.intents.select(F.lit("intent").alias("kind"), "id", F.col("description").alias("text")))
+        .unionByName(k.facts.select(F.lit("fact").alias("kind"), "id", F.concat_ws(" ", "subject", "predicate", "object").alias("text")))
+        .unionByName(k.events.select(F.lit("event").alias("kind"), "id", F.col("title").alias("text")))
+    )
+
+
+ITEMS = "items AS (SELECT 'decision' AS kind, id, title AS text FROM dec UNION ALL SELECT 'intent', id, description FROM intent UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object FROM fact UNION ALL SELECT 'event', id, title FROM evt), ranked AS (SELECT kind, id, text, CAST(10 * (CAST(contains(lower(text), 'login') AS INT) + CAST(contains(lower(text), 'token') AS INT) + CAST(contains(lower(text), 'sqlite') AS INT)) AS INT) AS score, CAST((strlen(text) + 3) // 4 AS INT) AS cost FROM items)"
+
+
+def compress_rank(k: Knowledge) -> DataFrame:
+    return rank.compress_rank(_items(k), TOPIC).select("kind", "id", "score", "cost")
+
+
+def compress_pack(k: Knowledge) -> DataFrame:
+    return rank.compress_pack(rank.compress_rank(_items(k), TOPIC), 1500).select("kind", "id", "score", "cost")
+
+
+_ranked = sql("SELECT 1", "dec", "intent", "fact", "evt").removesuffix(" SELECT 1") + f", {ITEMS}"
+QUERIES["compress_rank"] = (compress_rank, _ranked + " SELECT kind, id, score, cost FROM ranked")
+QUERIES["compress_pack"] = (
+    compress_pack,
+    _ranked + ", numbered AS (SELECT *, row_number() OVER (ORDER BY score DESC, text, id) AS n FROM ranked), pack AS (SELECT CAST(0 AS BIGINT) AS n, 0 AS used, '' AS id UNION ALL SELECT x.n, CASE WHEN used + cost <= 1500 THEN used + cost ELSE used END, CASE WHEN used + cost <= 1500 THEN x.id ELSE '' END FROM pack JOIN numbered x ON x.n = pack.n + 1) SELECT kind, id, score, cost FROM pack JOIN numbered USING (id)",
+)
+
+# search -------------------------------------------------------------------------------------------------------------
+
+
+def _docs(k: Knowledge) -> DataFrame:
+    return search.search_documents(k.events, k.decisions, k.facts)
+
+
+@query("SELECT id, entity_type, title, CAST(strlen(content) AS INT) AS size FROM docs", "docs")
+def search_docs(k: Knowledge) -> DataFrame:
+    return _docs(k).select("id", "entity_type", "title", F.octet_length("content").alias("size"))
+
+
+def _bm25_sql(terms: list[str], kind: str = "") -> str:
+    counts = ", ".join(f"len(list_filter(w, lambda x: starts_with(x, '{p}'))) AS tf{i}" for i, p in enumerate(terms))
+    rank_sql = " + ".join(f"ln(1 + (s.n - s.df{i} + 0.5) / (s.df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / s.mean))" for i in range(len(terms)))
+    dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
+    where = " AND ".join(f"tf{i} > 0" for i in range(len(terms))) + (f" AND entity_type = '{kind}'" if kind else "")
+    return f"counted AS (SELECT id, entity_type, len(w) AS length, {counts} FROM (SELECT id, entity_type, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs)), s AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counted), hits AS (SELECT id, entity_type, round(-({rank_sql}), 6) AS rank FROM counted, s WHERE {where} ORDER BY rank, id LIMIT 100)"
+
+
+def bm25(k: Knowledge) -> DataFrame:
+    return search.bm25(_docs(k), "add login")
+
+
+QUERIES["bm25"] = (bm25, sql("SELECT 1", "docs").removesuffix(" SELECT 1") + f", {_bm25_sql(['add', 'login'])} SELECT id, entity_type, rank FROM hits")
+
+
+def _field_sql(field: str, term: str, weak: bool) -> str:
+    return f"CASE WHEN lower({field}) = '{term}' THEN 100 WHEN starts_with(lower({field}), '{term}') THEN 75 WHEN contains(lower({field}), '{term}') THEN {25 if weak else 50} ELSE 0 END"
+
+
+def _match_sql(table: str, kind: str, terms: list[str]) -> str:
+    score = "greatest(0, " + ", ".join(_field_sql(f, w, weak) for w in terms for f, weak in search.FIELDS[kind]) + ")"
+    source = "ownership" if kind in ("CONTRIBUTOR", "EXPERTISE") else "memory"
+    return f"SELECT '{kind}' AS entity_type, id AS entity_id, '{source}' AS source, {score} AS score FROM {table} WHERE {score} > 0"
+
+
+@query(_match_sql("dec", "DECISION", ["adopt m1", "superseded"]), "dec")
+def keyword_match(k: Knowledge) -> DataFrame:
+    return search.match_fields(k.decisions, "DECISION", "memory", search.FIELDS["DECISION"], search.Query(("adopt m1", "superseded")))
+
+
+@query("SELECT 'FACT' AS entity_type, id AS entity_id, 'memory' AS source, 25 AS score FROM fact", "fact")
+def type_query(k: Knowledge) -> DataFrame:
+    return search.match_fields(k.facts, "FACT", "memory", search.FIELDS["FACT"], search.parse_query("type:fact"))
+
+
+def _tables(k: Knowledge) -> dict[str, DataFrame]:
+    return {"DECISION": k.decisions, "FACT": k.facts, "EVENT": k.events, "INTENT": k.intents, "CONTRIBUTOR": k.contributors, "EXPERTISE": k.expertise.withColumn("id", t.sha_key("exp_", "contributor_id", "domain"))}
+
+
+@query("SELECT 'EXPERTISE' AS entity_type, 'exp_' || sha256(contributor_id || ':' || domain) AS entity_id, 75 AS score, 'ownership' AS source FROM exp WHERE starts_with(lower(domain), 'stor')", "exp")
+def domain_query(k: Knowledge) -> DataFrame:
+    return search.federated(_tables(k), _docs(k), search.parse_query("domain:stor"))
+
+
+def federated_search(k: Knowledge) -> DataFrame:
+    return search.federated(_tables(k), _docs(k), search.parse_query("login sqlite"))
+
+
+_hits = " UNION ALL ".join(_match_sql(x, kind, ["login", "sqlite"]) for x, kind in (("dec", "DECISION"), ("fact", "FACT"), ("evt", "EVENT"), ("intent", "INTENT"), ("ctr", "CONTRIBUTOR"), ("expid", "EXPERTISE")))
+QUERIES["federated_search"] = (
+    federated_search,
+    sql("SELECT 1", "docs", "intent", "ctr", "exp").removesuffix(" SELECT 1")
+    + f", {_bm25_sql(['login', 'sqlite'])}, expid AS (SELECT 'exp_' || sha256(contributor_id || ':' || domain) AS id, domain FROM exp), found AS (SELECT entity_type, id AS entity_id, 'memory' AS source, CASE WHEN p = 1 AND rank < -10 THEN 100 WHEN p <= 3 THEN 75 ELSE 50 END AS score FROM (SELECT *, row_number() OVER (ORDER BY rank, id) AS p FROM hits) UNION ALL {_hits}) SELECT entity_type, entity_id, max(score) AS score, arg_max(source, (score, CASE source WHEN 'memory' THEN 4 WHEN 'ownership' THEN 3 ELSE 1 END)) AS source FROM found GROUP BY 1, 2",
+)
+
+# stores -------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS id, first AS created_at, coalesce(l, p_name) AS title FROM part LEFT JOIN (SELECT l_partkey AS p_partkey, arg_max('updated ' || l_orderkey || '-' || l_linenumber, (l_orderkey, l_linenumber)) AS l, 0 AS x FROM lineitem GROUP BY 1) USING (p_partkey), (SELECT 1 AS one) o, LATERAL (SELECT 'first' AS first)")
+def upsert_sources(k: Knowledge) -> DataFrame:
+    old = k.table("part").select(F.col("p_partkey").alias("id"), F.lit("first").alias("created_at"), F.col("p_name").alias("title"), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).alias("b")).alias("version"))
+    new = k.table("lineitem").select(F.col("l_partkey").alias("id"), F.lit("later").alias("created_at"), F.format_string("updated %d-%d", "l_orderkey", "l_linenumber").alias("title"), F.struct(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")).alias("version"))
+    return storage.upsert(old, new.join(old.select("id"), "id", "left_semi")).select("id", "created_at", "title")
+
+
+@query("SELECT c_custkey AS id, 'old' AS state FROM customer UNION ALL SELECT DISTINCT user_id, 'new' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def insert_if_absent(k: Knowledge) -> DataFrame:
+    old = k.table("customer").select(F.col("c_custkey").alias("id"), F.lit("old").alias("state"))
+    return storage.insert_absent(old, k.table("events").select(F.col("user_id").alias("id"), F.lit("new").alias("state")))
+
+
+@query("SELECT c.from_id, c.to_id FROM calls c JOIN entities a ON a.id = c.from_id JOIN entities b ON b.id = c.to_id WHERE a.module <> 'Brand#12' AND b.module <> 'Brand#12'", "calls", "entities")
+def scoped_merge(k: Knowledge) -> DataFrame:
+    gone = k.spark.createDataFrame([("Brand#12",)], "module string")
+    _, relations = storage.replace_modules(k.entities, k.relations, gone, k.entities.where("false"), k.relations.where("false"))
+    return relations.select("from_id", "to_id")
+
+
+@query("SELECT conv_id, turn, count(*) AS answers, max(a) AS answer FROM (SELECT q.conv_id, q.turn, a.text AS a FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') GROUP BY 1, 2")
+def session_answers(k: Knowledge) -> DataFrame:
+    turns = k.table("conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn")
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    return asked.join(said, ["conv_id", "turn"]).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("answers"), F.max("text").alias("answer"))
+
+
+@query("SELECT user_id AS repository_id, event_type AS id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC NULLS LAST, count(*) DESC, event_type) AS INT) AS position FROM events GROUP BY user_id, event_type")
+def session_ranking(k: Knowledge) -> DataFrame:
+    used = k.table("events").groupBy(F.col("user_id").alias("repository_id"), F.col("event_type").alias("id")).agg(F.max("ts").alias("last_accessed"), F.count(F.lit(1)).alias("access_count"))
+    return rank.access_ranking(used).select("repository_id", "id", "position")
