@@ -23,6 +23,7 @@ import unicodedata
 from hashlib import sha256
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, table, text_slices, with_clear_names
 
 VOCABULARY = "word_bpe_49k.json"
-CACHE, LONG_WORD, PREFIX, END = 400_000, 256, 4, "\ue000"
+CACHE, LONG_WORD, END = 400_000, 256, "\ue000"
 NEVER = 1 << 30
 _loaded: dict[str, WordBPE] = {}
 #: Pieces of a text, as in the file's pre_tokenizer; the second form is the same for texts of plain European letters.
@@ -100,11 +101,11 @@ class WordBPE:
         sound |= {i for (i, _), n, a in zip(open_tokens, lengths.tolist(), starts.tolist(), strict=True) if n == 1 and flat[a] == i}
         #: Only tokens that merge to themselves are proposed.
         self.pieces = {s: i for i, s in tokens if i in sound}
-        #: Length of the longest piece by its first letters.
-        self.reach: dict[str, int] = {}
-        for s in self.pieces:
-            if len(s) >= PREFIX:
-                self.reach[s[:PREFIX]] = max(len(s), self.reach.get(s[:PREFIX], 0))
+        self.scanner, self.size = ahocorasick.Automaton(), np.zeros(size, np.int64)
+        for s, i in self.pieces.items():
+            self.scanner.add_word(s, i)
+            self.size[i] = len(s)
+        self.scanner.make_automaton()
         self.forget()
 
     def forget(self) -> None:
@@ -119,17 +120,19 @@ class WordBPE:
         found = self.keys[at] == key
         return np.where(found, self.ranks[at], NEVER), self.made[at]
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match; word in letters, without its end."""
-        word += END
-        pieces, reach, out, at, n = self.pieces, self.reach, [], 0, len(word)
-        while at < n:
-            to = min(n, at + reach.get(word[at : at + PREFIX], PREFIX - 1))
-            while to == n - 1 or word[at:to] not in pieces:  # the end may not stand alone; one letter is always a piece
-                to -= 1
-            out.append(pieces[word[at:to]])
-            at = to
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy longest match of all words in one scan: (flat tokens, tokens per word, words not covered).
+
+        No piece holds END but at its close, so matches don't cross words.  A word stays uncovered where its longest
+        match leaves the end alone, which is no piece; it is merged exactly instead.
+        """
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        edge = np.cumsum(lengths)
+        found = np.fromiter(chain.from_iterable(self.scanner.iter_long(END.join(words) + END)), np.int64).reshape(-1, 2)
+        last, flat = found[:, 0], found[:, 1]
+        owner = np.searchsorted(edge, last, "right")
+        matched = np.bincount(owner, self.size[flat], len(words))
+        return flat, np.bincount(owner, minlength=len(words)), matched != lengths
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """For each pair of tokens whether merging keeps their border.
@@ -229,14 +232,12 @@ class WordBPE:
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat tokens, tokens per word) of distinct words in letters."""
-        proposed = [self.propose(w) if len(w) <= LONG_WORD else [] for w in words]
-        lengths = np.array([len(p) for p in proposed], np.int64)
-        flat = np.fromiter(chain.from_iterable(proposed), np.int64, int(lengths.sum()))
+        flat, lengths, wrong = self.propose(words)
+        wrong |= np.array([len(w) > LONG_WORD for w in words])
         owner = np.repeat(np.arange(len(words)), lengths)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique((flat[inner] << 20) | flat[inner + 1], return_inverse=True)
         bad = ~self.compatible(pairs >> 20, pairs & 0xFFFFF)[back]
-        wrong = lengths == 0
         wrong[owner[inner[bad]]] = True
         if not wrong.any():
             return flat, lengths
