@@ -11,10 +11,12 @@ Two texts link when their sets of 5-word shingles have a Jaccard similarity of 0
    they make up most of a text.
 3. *Groups.*  Each shingle's smallest key is its hub; the distinct (hub, key) pairs are groups that together
    hold every candidate pair.  Pairs are never listed.  A group of more than BLOCK members is dealt as pairs of blocks.
-4. *Signature trees.*  Each group's members, ordered so that like sets lie side by side, form a tree whose nodes hold
-   the OR of their bitmaps, their range of sizes and most bit collisions.  A dual traversal prunes a pair of nodes when
-   the largest possible overlap can't reach the smallest needed one, or when both lie in one component already.  Surviving
-   leaf pairs are checked exactly.
+4. *Signature trees.*  A group's members carry bitmaps of their sets (about 4 bits a shingle).  Ordered so that like sets
+   lie side by side, they form a tree whose nodes hold the OR of their bitmaps, their range of sizes and their
+   most bit collisions.  A dual traversal prunes a pair of nodes when the largest possible overlap can't reach the
+   smallest needed one, or when both lie in one component already.  What survives at the leaves joins candidate
+   groups, each under its smallest key, so the same candidates from several hubs become one.
+   Only members of these groups have their whole sets made again and sent; the same trees then check leaf pairs exactly.
 5. *Components* of the found links, by star contraction; each text takes its component's smallest doc_id.
 
 Hashes of 64 bits stand for shingles and sets (see ``words``).
@@ -76,6 +78,16 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, key.view(np.int64), 0)
 
 
+def bitmaps(sets: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a power of two of bits, 4 a shingle or more, 64 at least; halves may be folded by OR."""
+    width = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    base = np.concatenate(([0], np.cumsum(width // 64)))
+    flat = np.zeros(int(base[-1]), U)
+    place = ((sets >> U(20)) & np.repeat(width - 1, sizes).astype(U)).astype(np.int64)
+    np.bitwise_or.at(flat, np.repeat(base[:-1], sizes) + (place >> 6), U(1) << (place & 63).astype(U))
+    return [flat[a:b].tobytes() for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
 def prefixes(sets: np.ndarray, sizes: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     """Which entries of the sets are in their prefix: heavy ones come last."""
     if not len(sets):
@@ -91,11 +103,11 @@ def prefixes(sets: np.ndarray, sizes: np.ndarray, heavy: np.ndarray) -> np.ndarr
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n) of each text, and each task's frequent shingles as (hash, seen); docs: (doc_id, text)."""
+    """(doc_id, key, n, bits) of each text, and each task's frequent shingles as (hash, seen); docs: (doc_id, text)."""
 
     def run(batches):
         hashes, counts = np.zeros(0, U), np.zeros(0, np.int64)
-        names = ["doc_id", "key", "n", "hash", "seen"]
+        names = ["doc_id", "key", "n", "bits", "hash", "seen"]
         for batch in batches:
             for rows, data, offsets in text_slices(batch, 1):
                 sets, sizes = shingle_sets(data, offsets)
@@ -107,12 +119,12 @@ def describe(docs: DataFrame) -> DataFrame:
                     counts -= np.partition(counts, -SUMMARY - 1)[-SUMMARY - 1]
                     hashes, counts = hashes[counts > 0], counts[counts > 0]
                 nothing = pa.nulls(len(sizes), pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(set_keys(sets, sizes)), pa.array(sizes), nothing, nothing], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(set_keys(sets, sizes)), pa.array(sizes), pa.array(bitmaps(sets, sizes), pa.binary()), nothing, nothing], names)
         if len(hashes):
             nothing = pa.nulls(len(hashes), pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(hashes.view(np.int64)), pa.array(counts)], names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(hashes), pa.binary()), pa.array(hashes.view(np.int64)), pa.array(counts)], names)
 
-    return docs.mapInArrow(run, "doc_id long, key long, n long, hash long, seen long")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, bits binary, hash long, seen long")
 
 
 def heavy_shingles(described: DataFrame, most: int = HEAVY, least: int = HEAVY_FROM) -> np.ndarray:
@@ -210,23 +222,20 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 class SignatureTree:
-    """levels: from leaves to root; each has the nodes' bitmaps, least and most sizes and most collisions.  Node i has children FAN*i ... of the level below."""
+    """levels: from leaves to root; each has the nodes' bitmaps, least and most sizes and most collisions.  Node i has children FAN*i ... of the level below.
 
-    def __init__(self, sets: list[np.ndarray]):
+    Without sets, two leaves link when their bitmaps allow it.
+    """
+
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None):
         self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        width = int(min(1 << 14, max(512, 1 << int(4 * sizes.max() - 1).bit_length())))
-        bits = np.zeros((len(sets), width // 64), U)
-        flat = np.concatenate(sets)
-        place = (flat >> U(20)) % U(width)
-        np.bitwise_or.at(bits, (np.repeat(np.arange(len(sets)), sizes), (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
         lost = sizes - np.bitwise_count(bits).sum(1)
         self.levels = [(bits, sizes, sizes, lost)]
         while len(self.levels[-1][0]) > 1:
             bits, least, most, lost = self.levels[-1]
             at = np.arange(0, len(bits), FAN)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(least, at), np.maximum.reduceat(most, at), np.maximum.reduceat(lost, at)))
-        self.links = Links(len(sets))
+        self.links = Links(len(sizes))
         self.whole = [[True] * len(level[0]) for level in self.levels]
 
     def reach(self, level: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -253,7 +262,7 @@ class SignatureTree:
             if self.one(level, a, b):
                 continue
             if level == 0:
-                if linked(self.sets[a], self.sets[b]):
+                if self.sets is None or linked(self.sets[a], self.sets[b]):  # a leaf pair comes here only if its bitmaps allow it
                     self.links.join(a, b)
                 continue
             n = len(self.levels[level - 1][0])
@@ -281,7 +290,7 @@ class SignatureTree:
                 below = range(i * FAN, min(n, i * FAN + FAN))
                 roots = {self.links.find(j * step) for j in below}
                 self.whole[level][i] = len(roots) == 1 and all(self.whole[level - 1][j] for j in below)
-        return [self.links.find(i) for i in range(len(self.sets))]
+        return [self.links.find(i) for i in range(len(self.levels[0][0]))]
 
 
 def group_links(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -289,52 +298,100 @@ def group_links(keys: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int
     if len(sets) == 2:
         return [(int(keys[1]), int(keys[0]))] if linked(*sets) else []
     order = sorted(range(len(sets)), key=lambda i: (sets[i][0], sets[i][min(1, len(sets[i]) - 1)], len(sets[i])))
-    up = SignatureTree([sets[i] for i in order]).components()
+    own = [sets[i] for i in order]
+    sizes = np.array([len(x) for x in own], np.int64)
+    width = int(min(1 << 14, max(512, 1 << int(4 * sizes.max() - 1).bit_length())))
+    bits = np.zeros((len(own), width // 64), U)
+    place = (np.concatenate(own) >> U(20)) % U(width)
+    np.bitwise_or.at(bits, (np.repeat(np.arange(len(own)), sizes), (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
+    up = SignatureTree(bits, sizes, own).components()
     return [(int(keys[order[i]]), int(keys[order[j]])) for i, j in enumerate(up) if i != j]
 
 
+def group_candidates(keys: np.ndarray, sizes: np.ndarray, bits: list[bytes]) -> list[tuple[int, int]]:
+    """(smallest key, key) of the members that bitmaps leave together, the smallest with itself; keys ascend.
+
+    Linked sets differ in size by 4/3 at most, so their bitmaps have one width or twice the other's: each width's tree takes
+    those of twice the width that are small enough, folded.
+    """
+    words = np.array([len(b) // 8 for b in bits])
+    links = Links(len(keys))
+    for w in np.unique(words).tolist():
+        near = np.flatnonzero(words == w)
+        wide = np.flatnonzero((words == 2 * w) & (3 * sizes <= 4 * sizes[near].max()))
+        if len(near) + len(wide) < 2:
+            continue
+        own = np.concatenate((near, wide))
+        raw = np.zeros((len(own), w), U)
+        for k, i in enumerate(own.tolist()):
+            both = np.frombuffer(bits[i], U)
+            raw[k] = both if k < len(near) else both[:w] | both[w:]
+        order = np.lexsort((sizes[own], raw[:, 0]))
+        up = SignatureTree(raw[order], sizes[own][order]).components()
+        for i, j in enumerate(up):
+            if i != j:
+                links.join(int(own[order[i]]), int(own[order[j]]))
+    root = [links.find(i) for i in range(len(keys))]
+    many = {r for i, r in enumerate(root) if i != r}
+    return [(int(keys[r]), int(keys[i])) for i, r in enumerate(root) if r in many]
+
+
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """members with i, j: all of a group in one task, or, above ``block`` members, each pair of its blocks in one."""
+    large = members.groupBy("hub").count().where(F.col("count") > block).select("hub", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = members.join(stored(large, "large-groups"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    mine = F.pmod(F.shiftright("key", 7), F.col("blocks")).cast("int")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    return dealt.withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(pairs))).select(*members.columns, "p.i", "p.j")
+
+
+def _by_group(rows: DataFrame, find, schema: str) -> DataFrame:
+    """Runs find(keys, rows of the group by key) on each (hub, i, j); rows: hub, i, j, key and more.  Equal keys of a group are one."""
+
+    def run(batches):
+        waiting: dict[tuple, dict[int, tuple]] = {}
+        for batch in batches:
+            for hub, i, j, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                waiting.setdefault((hub, i, j), {})[key] = more
+        out = set()
+        while waiting:
+            _, group = waiting.popitem()
+            if len(group) > 1:
+                keys = np.array(sorted(group), np.int64)
+                out.update(find(keys, [group[k] for k in keys.tolist()]))
+        if out:
+            a, b = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], [c.split()[0] for c in schema.split(", ")])
+
+    return rows.repartition("hub", "i", "j").mapInArrow(run, schema)
+
+
+def refine(members: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(hub, key): the groups that bitmaps leave, each under its smallest key; firsts: (key, n, bits, ...)."""
+    rows = _in_blocks(members, block).join(firsts.select("key", "n", "bits"), "key").select("hub", "i", "j", "key", "n", "bits")
+    return _by_group(rows, lambda keys, own: group_candidates(keys, np.array([n for n, _ in own], np.int64), [b for _, b in own]), "hub long, key long").distinct()
+
+
 def tree_links(docs: DataFrame, members: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between keys that span each group's components.  firsts: (key, doc_id) names a text of each key."""
-    sizes = members.groupBy("hub").count().select("hub", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    large = stored(sizes.where("blocks > 1"), "large-groups")
-    dealt = members.join(large, "hub", "left").groupBy("key").agg(F.collect_list(F.struct("hub", F.coalesce("blocks", F.lit(1)).alias("blocks"))).alias("hubs"))
-    wanted = dealt.join(firsts, "key").select("doc_id", "key", "hubs")
+    """(a, b): links between keys that span each group's components.  firsts: (key, doc_id, ...) names a text of each key."""
+    dealt = _in_blocks(members, block).groupBy("key").agg(F.collect_list(F.struct("hub", "i", "j")).alias("hubs"))
+    wanted = dealt.join(firsts.select("key", "doc_id"), "key")
     rows = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "hubs")
-    schema = "hub long, i int, j int, key long, shingles binary"
 
     def send(batch: pa.RecordBatch):
         for part, data, offsets in text_slices(batch, 1):
             sets, sizes = shingle_sets(data, offsets)
             found, edge, out = set_keys(sets, sizes).tolist(), np.concatenate(([0], np.cumsum(sizes))).tolist(), []
             for n, (key, hubs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                if key != found[n]:  # another text of the same doc_id
-                    continue
-                own = sets[edge[n] : edge[n + 1]].tobytes()
-                for hub in hubs:
-                    if hub["blocks"] == 1:
-                        out.append((hub["hub"], 0, 0, key, own))
-                    else:
-                        mine = (key >> 7) % hub["blocks"]
-                        out += [(hub["hub"], min(mine, j), max(mine, j), key, own) for j in range(hub["blocks"]) if j != mine]
+                if key == found[n]:  # else another text of the same doc_id
+                    own = sets[edge[n] : edge[n + 1]].tobytes()
+                    out += [(h["hub"], h["i"], h["j"], key, own) for h in hubs]
             if out:
                 yield list(zip(*out, strict=True))
 
-    def find(batches):
-        waiting: dict[tuple, dict[int, bytes]] = {}
-        for batch in batches:
-            for hub, i, j, key, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                waiting.setdefault((hub, i, j), {})[key] = own
-        out = set()
-        while waiting:
-            _, group = waiting.popitem()
-            if len(group) > 1:
-                keys = np.array(sorted(group), np.int64)
-                out.update(group_links(keys, [np.frombuffer(group[k], U) for k in keys.tolist()]))
-        if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return arrow_map(rows, send, schema).repartition("hub", "i", "j").mapInArrow(find, "a long, b long")
+    sent = arrow_map(rows, send, "hub long, i int, j int, key long, shingles binary")
+    return _by_group(sent, lambda keys, own: group_links(keys, [np.frombuffer(x, U) for (x,) in own]), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,13 +399,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = _rows(docs, key, text).toDF("doc_id", "text")
     described = stored(describe(rows), "described")
     texts = described.where("hash IS NULL").select("doc_id", "key", "n")
-    firsts = stored(texts.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "firsts")
-    members = stored(groups(rows, heavy_shingles(described)), "members")
+    firsts = stored(described.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "firsts")
+    members = stored(refine(stored(groups(rows, heavy_shingles(described)), "groups"), firsts), "members")
     joined = components(tree_links(rows, members, firsts)).withColumnsRenamed({"vertex": "key"})
-    named = firsts.join(joined, "key")
+    named = firsts.select("key", "doc_id").join(joined, "key")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     changed = stored(named.join(least, "component").where("component_id <> doc_id").select("key", "component_id"), "components")
-    known = firsts.join(changed, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    known = firsts.select("key", "doc_id").join(changed, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = texts.join(stored(known, "known"), "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
