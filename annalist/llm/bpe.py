@@ -26,7 +26,6 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +35,25 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE, LONG_WORD, END = 400_000, 256, "\ue000"
 NEVER = 1 << 30
 _loaded: dict[str, WordBPE] = {}
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _class(kind: str) -> str:
+    """The ranges of all characters whose category starts with kind, for a pattern's brackets."""
+    ranges, start = [], None
+    for c in range(0x110001):
+        inside = c < 0x110000 and unicodedata.category(chr(c)).startswith(kind)
+        if inside and start is None:
+            start = c
+        elif not inside and start is not None:
+            ranges.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(ranges)
+
+
 #: Pieces of a text, as in the file's pre_tokenizer; the second form is the same for texts of plain European letters.
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+".format(L=_class("L"), N=_class("N"), S=SPACES))
+UNASSIGNED = re.compile(f"[{_class('Cn')}]")
 PLAIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 NOT_PLAIN = re.compile("[\x1c-\x1f\x85\xa0²³¹¼-¾]|[^\x00-ɏ]")
 
@@ -60,6 +76,7 @@ class WordBPE:
     """Encoder of a byte-level vocabulary whose words end in ``</w>``."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -250,10 +267,19 @@ class WordBPE:
         return all_flat[np.argsort(all_owner, kind="stable")], lengths
 
     def words(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        return (WORD if NOT_PLAIN.search(text) else PLAIN_WORD).findall(text)
+        low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        if not NOT_PLAIN.search(low):
+            return PLAIN_WORD.findall(low)
+        if not UNASSIGNED.search(text):
+            return WORD.findall(low)
+        # characters newer than Python's tables: cut by the library's
+        from tokenizers import Tokenizer
+
+        if not hasattr(self, "library"):
+            self.library = Tokenizer.from_file(self.path)
+        byte = {c: i for i, c in enumerate(self.letters)}
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(byte.__getitem__, w)).decode() for w, _ in cut]
 
     def pieces_of(self, text: str) -> list[str]:
         """Words and special tokens of a text in order; special tokens start with NUL."""
