@@ -476,3 +476,30 @@ def session_answers(k: Knowledge) -> DataFrame:
 def session_ranking(k: Knowledge) -> DataFrame:
     used = k.table("events").groupBy(F.col("user_id").alias("repository_id"), F.col("event_type").alias("id")).agg(F.max("ts").alias("last_accessed"), F.count(F.lit(1)).alias("access_count"))
     return rank.access_ranking(used).select("repository_id", "id", "position")
+
+# answers ------------------------------------------------------------------------------------------------------------
+
+
+def _cut_sql(x: str) -> str:
+    return f"CASE WHEN length({x}) > 280 THEN left({x}, 280) || '...' ELSE {x} END"
+
+
+@query(rf"SELECT id, {_cut_sql('body')} AS rationale FROM (SELECT id, regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda x: x <> '' AND NOT starts_with(x, '#'))[1:3], ' '), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS body FROM dec)", "dec")
+def decision_rationale(k: Knowledge) -> DataFrame:
+    from .operators.answers import rationale
+
+    return k.decisions.select("id", rationale(F.col("content")).alias("rationale"))
+
+
+@query("SELECT d.id AS decision_id, (SELECT count(*) FROM intent i WHERE i.source_id = d.source_id) AS intents, coalesce(e.n, 0) AS events, coalesce(f.n, 0) AS facts FROM dec d LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT d.id, e.id AS x FROM dec_words d JOIN evt_words e USING (word)) GROUP BY 1) e ON e.id = d.id LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT d.id, f.id AS x FROM dec_words d JOIN fact_words f USING (word)) GROUP BY 1) f ON f.id = d.id", "dec", "intent", "dec_words", "evt_words", "fact_words")
+def trace_decision(k: Knowledge) -> DataFrame:
+    from .operators.answers import traces
+
+    return traces(k.decisions, k.stored_edges)
+
+
+@query("SELECT id, CASE WHEN contains(lower(text), 'migration') THEN 'migration' WHEN contains(lower(text), 'schema') THEN 'schema' WHEN contains(lower(text), 'database') THEN 'database' WHEN contains(lower(text), 'breaking') THEN 'breaking' WHEN contains(lower(text), 'deprecat') THEN 'deprecat' WHEN contains(lower(text), 'ddl') THEN 'ddl' END AS blocker FROM (SELECT id, content AS text FROM dec UNION ALL SELECT id, title FROM evt) WHERE blocker IS NOT NULL", "dec", "evt")
+def ship_check(k: Knowledge) -> DataFrame:
+    from .operators.answers import ship_blockers
+
+    return ship_blockers(k.decisions.select("id", F.col("content").alias("text")).unionByName(k.events.select("id", F.col("title").alias("text"))))

@@ -38,3 +38,15 @@ PRECEDENCE = {"memory": 4, "ownership": 3, "graph": 2, "discovery": 1}
 # fixed values: BM25 parameters, deepest path, rows of the ranked reports
 K1, B = 1.2, 0.75
 MAX_DEPTH, TOP_TEXT, TOP_CODE = 10, 100, 20
+
+# fixed values: folders that hold decision records, with their kind
+RECORD_FOLDERS = (("docs/adr", "adr"), ("docs/adrs", "adr"), ("docs/decisions", "adr"), ("docs/rfc", "adr"), ("adr", "adr"), ("adrs", "adr"), ("docs/architecture", "architecture_doc"))
+
+# fixed values: words that a question's terms leave out
+ASK_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "who", "with", "what", "created", "worked", "touched", "owns", "own", "component", "feature", "server")
+
+# fixed values: words that hold a change back, first words of a task, most items in an answer's lists
+BLOCKERS = ("migration", "schema", "database", "breaking", "deprecat", "ddl")
+TASK_VERBS = ("add", "implement", "fix", "refactor", "update", "create", "build", "integrate", "remove", "migrate", "support", "introduce")
+CAPS = {"related": 15, "evidence": 20, "starts": 8, "areas": 15, "links": 12, "reuse": 15, "ship": 10, "checks": 12, "files": 30}
+TOKEN_BUDGET = 1500
