@@ -96,9 +96,17 @@ def with_clear_names(df: DataFrame, *needed: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in needed])
 
 
-def with_statistics(docs: DataFrame, text: str, names: tuple[str, ...], measure) -> DataFrame:
-    """docs with a double column for each name; ``measure`` takes the bytes and offsets of texts and returns a row of
-    numbers per text.  Other columns pass through as they are, in the JVM, so rows need no join."""
+def named(docs: DataFrame):
+    """docs' columns by their exact names, whatever characters they hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def with_statistics(docs: DataFrame, text: str, names: tuple[str, ...], measure) -> tuple[DataFrame, str]:
+    """docs with one struct column of a double for each name, and that column's name, which no other column has.
+
+    ``measure`` takes the bytes and offsets of texts and returns a row of numbers per text.  All other columns pass through as
+    they are, in the JVM, so rows need no join.
+    """
     import pandas as pd
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -109,7 +117,7 @@ def with_statistics(docs: DataFrame, text: str, names: tuple[str, ...], measure)
 
     measured.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     measured = F.pandas_udf(measured, StructType([StructField(n, DoubleType()) for n in names]))
-    clash = set(names) & set(docs.columns)
-    if clash:
-        raise ValueError(f"docs already has {sorted(clash)}")
-    return docs.select("*", measured(F.col(f"`{text}`").cast("string")).alias("_measured")).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_measured.{n}").alias(n) for n in names])
+    column, taken = "measured", {c.lower() for c in docs.columns}
+    while column in taken:
+        column += "_"
+    return docs.select(*named(docs), measured(F.col(f"`{text}`").cast("string")).alias(column)), column

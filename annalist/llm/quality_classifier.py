@@ -88,13 +88,13 @@ class RuleModel:
     intercept: float
     rules: tuple[tuple[float, tuple[tuple[str, bool, float], ...]], ...]
 
-    def score(self) -> Column:
-        """The probability of label 1 as a Spark expression over the statistics."""
+    def score(self, prefix: str = "") -> Column:
+        """The probability of label 1 as a Spark expression over the statistics (below a struct column, by prefix)."""
         total = F.lit(self.intercept)
         for weight, parts in self.rules:
             holds = F.lit(True)
             for name, above, bound in parts:
-                holds = holds & ((F.col(name) > bound) if above else (F.col(name) <= bound))
+                holds = holds & ((F.col(prefix + name) > bound) if above else (F.col(prefix + name) <= bound))
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 

@@ -6,56 +6,50 @@ Parquet and read again as the next stage's docs.  All but the last keep the colu
 
 from __future__ import annotations
 
+import numpy as np
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm.common import shared_folder, table
+from annalist.llm.common import named, shared_folder, stored, table, with_statistics
 from annalist.llm.near_duplicates import near_duplicates
 from annalist.llm.packing import pack
-from annalist.llm.quality_classifier import RuleModel, THRESHOLD, statistics, STATISTICS, train
-from annalist.llm.quality_rules import base_counts, FEWEST_WORDS, REPEAT_PERCENT, ratios, LEVEL
+from annalist.llm.quality_classifier import STATISTICS, THRESHOLD, statistics, train
+from annalist.llm.quality_rules import FEWEST_WORDS, LEVEL, REPEAT_PERCENT, base_counts, ratios
 
 
 def classify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score reaches the threshold, by a classifier fitted on this stage's labelled documents."""
-    return keep_good(docs, train(docs, table(spark, sf_dir, "labels")))
+    """Documents whose score reaches the threshold, by a classifier fitted on this stage's labelled documents.
 
+    The rows themselves pass through, so no join is needed; null and empty texts are scored like any other.
+    """
+    model = train(docs, table(spark, sf_dir, "labels"))
+    scored, column = with_statistics(docs, "text", STATISTICS, statistics)
+    return scored.where(model.score(f"{column}.") >= THRESHOLD).select(*named(docs))
 
-def keep_good(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """The rows themselves pass through, so no join is needed."""
-    from annalist.llm.common import with_statistics
 
-    scored = with_statistics(docs, "text", STATISTICS, statistics)
-    return scored.where(model.score() >= THRESHOLD).select(*docs.columns)
+def _verdicts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    base = base_counts(data, offsets)
+    failed = (base["n_words"] < FEWEST_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
+    compressor, whole = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False), data.tobytes()
+    good = [ratios(whole[a:b], compressor)[4] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return (~failed & np.array(good, bool)).astype(float)[:, None]
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the compression bands keep."""
-    import numpy as np
-    import zstandard
-
-    from annalist.llm.common import with_statistics
-
-    def verdicts(data, offsets):
-        base = base_counts(data, offsets)
-        failed = (base["n_words"] < FEWEST_WORDS) | (100 * base["n_repeat_words"] > REPEAT_PERCENT * base["n_words"])
-        compressor, whole = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False), data.tobytes()
-        good = [ratios(whole[a:b], compressor)[4] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return (~failed & np.array(good, bool)).astype(float)[:, None]
-
-    return with_statistics(docs, "text", ("kept",), verdicts).where("kept = 1").select(*docs.columns)
+    """Documents that the base rules and the compression bands keep; null and empty texts go."""
+    judged, column = with_statistics(docs, "text", ("kept",), _verdicts)
+    return judged.where(F.col(f"{column}.kept") == 1).select(*named(docs))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates, and one row of each doc_id."""
-    from annalist.llm.common import stored
-
-    # the rows to drop are few and narrow; a null doc_id is never dropped
-    found = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(stored(found, "dropped"), "doc_id", "left_anti").select(*docs.columns)
+    """The document of the smallest doc_id of each group; rows of a null doc_id stay, and equal rows of a kept doc_id too."""
+    dropped = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(stored(dropped, "dropped"), "doc_id", "left_anti").select(*named(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, as op5 returns them."""
     return pack(docs, digest=True)
 
 
@@ -65,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each over what the one before it kept."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

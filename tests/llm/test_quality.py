@@ -74,10 +74,10 @@ def test_rule_columns_equal_numpy(docs):
 
 
 def test_with_statistics(docs):
-    out = with_statistics(docs, "text", ("n",), lambda data, offsets: np.diff(offsets)[:, None].astype(float))
-    assert sorted((len((r.text or "").encode()), r.n) for r in out.collect()) == sorted((len((r.text or "").encode()),) * 2 for r in docs.collect())
-    with pytest.raises(ValueError):
-        with_statistics(docs, "text", ("lang",), None)
+    clash = docs.withColumnRenamed("lang", "measured").withColumnRenamed("source", "upper.x")
+    out, column = with_statistics(clash, "text", ("n",), lambda data, offsets: np.diff(offsets)[:, None].astype(float))
+    assert column == "measured_" and out.columns == [*clash.columns, column]
+    assert sorted((len((r.text or "").encode()), r[column].n) for r in out.collect()) == sorted((len((r.text or "").encode()),) * 2 for r in docs.collect())
 
 
 URLS = [None, "", "no scheme", "http://a.net", "HTTP://X.Example.NET/en/1", "https://example.net/EN/1", "http://b.example.com/de/x?q=1", "http://example.com", "ftp://u.org/fr/#a", "http://notexample.net/en/1", "x://y://z/p", "http://netx/", "http://e.org/fr", "http://h?x=/de/", "http://é.net/ü"]
