@@ -75,7 +75,8 @@ def fact(segment: Column) -> Column:
             title_case(clean_fact(F.regexp_extract(segment, pattern, 2))).alias("object"),
         )
         out = F.when(segment.rlike(pattern), found).otherwise(out)
-    return out
+    any_verb = "|".join(verb for _, verb in PREDICATES)
+    return F.when(segment.rlike(rf"(?i)\b(?:{any_verb})\b"), out)  # most statements fail this one quick test
 
 
 def intent(segment: Column) -> Column:

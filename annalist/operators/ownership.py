@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DOMAIN_KEYWORDS, RECENT_DAYS, WEIGHTS
 from ..functions import text as t
+from ..storage import cut
 
 
 def with_contributor(sources: DataFrame) -> DataFrame:
@@ -46,7 +47,8 @@ def expertise(sources: DataFrame, known: DataFrame, events: DataFrame, decisions
     counts = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(k) for k in WEIGHTS]
     by_source = rows.select("source_id", "kind", F.explode("domains").alias("domain")).groupBy("source_id", "domain").agg(*counts)
     by_person = by_source.join(who, "source_id").groupBy("contributor_id", "domain").agg(*[F.sum(k).alias(k) for k in WEIGHTS], F.max("ts").alias("last"))
-    raw = by_person.join(known.select(F.col("id").alias("contributor_id")), "contributor_id", "left_semi").withColumn("raw", sum(F.col(k) * w for k, w in WEIGHTS.items()))
+    # a row per contributor and domain, read twice here and often afterwards
+    raw = cut(by_person.join(known.select(F.col("id").alias("contributor_id")), "contributor_id", "left_semi").withColumn("raw", sum(F.col(k) * w for k, w in WEIGHTS.items())))
     best = raw.groupBy("domain").agg(F.max("raw").alias("best"))
     latest = sources.where("source_type = 'commit'").agg(F.max("ts").alias("latest"))
     # one row for each domain of a fixed list, and one row: both bounded
