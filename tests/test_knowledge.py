@@ -82,7 +82,7 @@ def test_packing_skips_what_does_not_fit(spark):
 
 
 def test_boost_runs_in_order():
-    assert rank.relation_boost({"a": 10}, [("a", "b"), ("b", "c"), ("x", "y")]) == {"a": 12, "b": 6, "c": 3} or rank.relation_boost({"a": 10}, [("a", "b")])["b"] == 5
+    assert rank.relation_boost({"a": 10}, [("a", "b"), ("b", "c"), ("x", "y")]) == {"a": 12, "b": 6, "c": 2}
 
 
 def test_features_and_authors(spark):
