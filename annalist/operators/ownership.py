@@ -26,10 +26,12 @@ def contributors(sources: DataFrame) -> DataFrame:
 
 
 def domains_of(*texts: Column) -> Column:
-    """The domains with a keyword in any of the texts."""
-    low = F.lower(F.concat_ws("\n", *texts))
-    found = [F.when(F.greatest(*[F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in DOMAIN_KEYWORDS.items()]
-    return F.array_compact(F.array(*found))
+    """The domains with a keyword in any of the texts, which are joined and lower-cased once, as a lambda's argument."""
+
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(F.greatest(*[F.contains(low, F.lit(w)) for w in words]), F.lit(name)) for name, words in DOMAIN_KEYWORDS.items()]))
+
+    return F.transform(F.array(F.lower(F.concat_ws("\n", *texts))), found)[0]
 
 
 def expertise(sources: DataFrame, known: DataFrame, events: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
