@@ -39,7 +39,7 @@ def host(url: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*+([^?#]*)", 1), F.lit(""))
 
 
 def split_url(url: str | None) -> tuple[str, str]:

@@ -109,3 +109,10 @@ def test_url_model_tells_labelled_urls_apart():
     parts = [uf.split_url(u) for u, _ in uf.training_table()]
     p = uf.scores(weights, intercept, [h for h, _ in parts], [x for _, x in parts])
     assert np.mean((p >= 0.5) == [label == 1 for _, label in uf.training_table()]) > 0.97
+
+
+def test_path_belongs_to_the_first_host(spark):
+    urls = ["http://a.com?u=http://b.com/x", "https://example.net#r://q/en/", "http://a.com", "https://example.net?x://y/en/1#z://w/de/", "http://a.com/x?u=http://b.com/y"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = sorted(uf.filter_urls(pages).collect())
+    assert [(r.host, r.path, r.rule) for r in rows] == [("a.com", "", None), ("example.net", "", None), ("a.com", "", None), ("example.net", "", None), ("a.com", "/x", None)]
