@@ -3,7 +3,7 @@
 Compression bands.  A text's ratio is its zstandard size over its size in bytes.  Repetitive text
 compresses far below what prose of its length does; noise (keys, encoded data, tables of random
 cells) hardly compresses at all.  The ratio of any text falls with its length, so the limits are
-given by bands of length.  The whole text is measured, and every fixed chunk of CHUNK bytes, so
+given by bands of length, fitted on clean documents with margins (``fit_bands``).  The whole text is measured, and every fixed chunk of CHUNK bytes, so
 that a bad passage can't hide behind good ones: a text is rejected when its whole ratio leaves its
 band, or when more than a share of its chunks leave the band of a chunk.
 
@@ -25,10 +25,16 @@ from .words import SPACE, Words, repeated, sums
 
 WINDOW, FEWEST_WORDS, REPEAT_PERCENT = 8, 20, 30
 LEVEL, CHUNK, SHORTEST, BAD_CHUNKS = 3, 4096, 256, 0.34
-#: (bytes from which the band holds, lowest and highest ratio of a kept text).
-BANDS = ((256, 0.30, 0.90), (512, 0.28, 0.82), (1024, 0.26, 0.76), (2048, 0.25, 0.70), (4096, 0.23, 0.64), (8192, 0.20, 0.60), (32768, 0.16, 0.56))
-#: The same for full chunks, which are compressed alone.
-CHUNK_BAND = (0.22, 0.68)
+#: Lengths at which a band begins.  Longer texts than the last have no clean sample: they keep a wide lowest ratio.
+STEPS, LONGEST = (256, 384, 448, 512, 640, 768, 896, 1024, 1280, 1536, 1792, 2048, 2560, 3072, 3584, 4096, 5120, 6144, 7168, 8192, 10240), (32768, 0.16)
+#: (bytes from which they hold, margin below the lowest, above the highest ratio of clean documents).  Short texts of rich words
+#: (licenses) lie up to 0.08 above the clean documents; long prose of few words lies up to 0.06 below them.
+MARGINS = ((256, 0.01, 0.08), (2048, 0.01, 0.03), (8192, 0.06, 0.03))
+#: (bytes from which the band holds, lowest and highest ratio of a kept text): fit_bands on the documents of sf0.1 that pass
+#: the base rules, have label 1 and aren't held out.
+BANDS = ((256, 0.589, 0.82), (384, 0.532, 0.778), (448, 0.532, 0.76), (512, 0.532, 0.76), (640, 0.515, 0.757), (768, 0.505, 0.701), (896, 0.496, 0.664), (1024, 0.484, 0.659), (1280, 0.479, 0.639), (1536, 0.47, 0.622), (1792, 0.455, 0.606), (2048, 0.455, 0.551), (2560, 0.454, 0.538), (3072, 0.447, 0.518), (3584, 0.442, 0.513), (4096, 0.429, 0.502), (5120, 0.426, 0.495), (6144, 0.421, 0.488), (7168, 0.417, 0.482), (8192, 0.367, 0.479), (10240, 0.35, 0.474), (32768, 0.16, 0.474))
+#: The same for full chunks, which are compressed alone: 0.448 to 0.482 in clean documents, margins 0.06 and 0.03.
+CHUNK_BAND = (0.388, 0.512)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, worst_low double, worst_high double, bad_chunk_share double"
@@ -66,6 +72,17 @@ def band(size: int) -> tuple[float, float]:
     return low, high
 
 
+def fit_bands(sizes: np.ndarray, found: np.ndarray) -> tuple[tuple[int, float, float], ...]:
+    """Bands from the sizes and ratios of clean documents: their range in each step and the margins, falling with length."""
+    step = np.searchsorted(STEPS, sizes, "right") - 1
+    ranges = [(found[step == k].min(), found[step == k].max()) for k in range(len(STEPS))]
+    below, above = np.array(MARGINS)[np.searchsorted([at for at, _, _ in MARGINS], STEPS, "right") - 1, 1:].T
+    lows = np.minimum.accumulate([a for a, _ in ranges]) - below
+    highs = np.maximum.accumulate([b for _, b in ranges][::-1])[::-1] + above
+    bands = [(at, round(float(a), 3), round(float(b), 3)) for at, a, b in zip(STEPS, lows, highs, strict=True)]
+    return (*bands, (*LONGEST, bands[-1][2]))
+
+
 def ratios(text: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, float, float, float, bool]:
     """Ratio of the whole, lowest and highest of a chunk, share of bad chunks, and the verdict."""
     if len(text) < SHORTEST:

@@ -46,6 +46,38 @@ def test_bands():
     assert judge("short")
 
 
+def test_bands_fit_clean_documents(spark):
+    """The bands are those of the clean documents of sf0.1 that aren't held out; they tell the held-out ones from junk."""
+    import zlib
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    rows = docs.merge(labels, on="doc_id")
+    data = [t.encode() for t in rows.text]
+    base = qr.base_counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(x) for x in data]))
+    passed = (base["n_words"] >= qr.FEWEST_WORDS) & (100 * base["n_repeat_words"] <= qr.REPEAT_PERCENT * base["n_words"]) & (np.array([len(x) for x in data]) >= qr.SHORTEST)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
+    compressor = zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
+    clean = [x for x, p in zip(data, passed & ~held & (rows.quality == 1), strict=True) if p]
+    assert qr.fit_bands(np.array([len(x) for x in clean]), np.array([len(compressor.compress(x)) / len(x) for x in clean])) == qr.BANDS
+    lost = lambda kind: np.mean([not qr.ratios(x, compressor)[4] for x, p in zip(data, passed & held & (rows.quality == kind), strict=True) if p])
+    assert lost(1) <= 0.01 and lost(0) >= 0.5
+
+
+@pytest.mark.parametrize("size", [300, 512, 1024, 2000, 4000, 8000])
+def test_bands_reject_base64_words(size):
+    import base64
+    import random
+
+    import zstandard
+
+    noise = base64.b64encode(random.Random(3).randbytes(size)).decode()
+    text = " ".join(noise[i : i + 8] for i in range(0, len(noise), 8)).encode()[:size]
+    assert not qr.ratios(text, zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False))[4]
+
+
 def test_classifier(spark, docs, empty):
     good = [(i, prose(i, 80), 1) for i in range(300)]
     bad = [(i, " ".join(w + "$$$" for w in prose(i, 80).split()), 0) for i in range(300, 400)]
