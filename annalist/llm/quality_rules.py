@@ -3,9 +3,10 @@
 Compression bands.  A text's ratio is its zstandard size over its size in bytes.  Repetitive text
 compresses far below what prose of its length does; noise (keys, encoded data, tables of random
 cells) hardly compresses at all.  The ratio of any text falls with its length, so the limits are
-given by bands of length, fitted on clean documents with margins (``fit_bands``).  The whole text is measured, and every fixed chunk of CHUNK bytes, so
-that a bad passage can't hide behind good ones: a text is rejected when its whole ratio leaves its
-band, or when more than a share of its chunks leave the band of a chunk.
+given by bands of length, fitted on clean documents with margins (``fit_bands``).  The whole text is measured, and from
+1,024 bytes on every fixed chunk, whose size grows with the text's; where the last is not full, one more ends at the
+text's end.  So a bad passage can't hide behind good ones: a text is rejected when its whole ratio leaves its band, or when
+more than BAD_CHUNKS of its chunks leave the band of a chunk.
 
 Defined results: null and empty texts have no words, so the base rules reject them; texts
 below SHORTEST bytes skip the bands (the frame's fixed cost decides there).  Repeated rows get
@@ -24,7 +25,7 @@ from .common import arrow_map, text_slices, with_clear_names
 from .words import SPACE, Words, repeated, sums
 
 WINDOW, FEWEST_WORDS, REPEAT_PERCENT = 8, 20, 30
-LEVEL, CHUNK, SHORTEST, BAD_CHUNKS = 3, 4096, 256, 0.34
+LEVEL, SHORTEST, BAD_CHUNKS = 3, 256, 0.1
 #: Lengths at which a band begins.  Longer texts than the last have no clean sample: they keep a wide lowest ratio.
 STEPS, LONGEST = (256, 384, 448, 512, 640, 768, 896, 1024, 1280, 1536, 1792, 2048, 2560, 3072, 3584, 4096, 5120, 6144, 7168, 8192, 10240), (32768, 0.16)
 #: (bytes from which they hold, margin below the lowest, above the highest ratio of clean documents).  Short texts of rich words
@@ -33,8 +34,10 @@ MARGINS = ((256, 0.01, 0.08), (2048, 0.01, 0.03), (8192, 0.06, 0.03))
 #: (bytes from which the band holds, lowest and highest ratio of a kept text): fit_bands on the documents of sf0.1 that pass
 #: the base rules, have label 1 and aren't held out.
 BANDS = ((256, 0.589, 0.82), (384, 0.532, 0.778), (448, 0.532, 0.76), (512, 0.532, 0.76), (640, 0.515, 0.757), (768, 0.505, 0.701), (896, 0.496, 0.664), (1024, 0.484, 0.659), (1280, 0.479, 0.639), (1536, 0.47, 0.622), (1792, 0.455, 0.606), (2048, 0.455, 0.551), (2560, 0.454, 0.538), (3072, 0.447, 0.518), (3584, 0.442, 0.513), (4096, 0.429, 0.502), (5120, 0.426, 0.495), (6144, 0.421, 0.488), (7168, 0.417, 0.482), (8192, 0.367, 0.479), (10240, 0.35, 0.474), (32768, 0.16, 0.474))
-#: The same for full chunks, which are compressed alone: 0.448 to 0.482 in clean documents, margins 0.06 and 0.03.
-CHUNK_BAND = (0.388, 0.512)
+#: (bytes from which texts have chunks of this size, the size, lowest and highest ratio of a chunk, which is compressed alone).  In
+#: the same clean documents chunks of these sizes have 0.518 to 0.715, 0.496 to 0.602 and 0.448 to 0.482; margins 0.06 and 0.08, from
+#: 2048 bytes on 0.06 and 0.03.
+CHUNKS = ((1024, 512, 0.458, 0.795), (8192, 1024, 0.436, 0.682), (32768, 4096, 0.388, 0.512))
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, ratio double, worst_low double, worst_high double, bad_chunk_share double"
@@ -90,10 +93,13 @@ def ratios(text: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, fl
     whole = len(compressor.compress(text)) / len(text)
     low, high = band(len(text))
     good = low <= whole <= high
-    chunks = [len(compressor.compress(text[i : i + CHUNK])) / CHUNK for i in range(0, len(text) - CHUNK + 1, CHUNK)]
-    if not chunks:
+    fits = [c for c in CHUNKS if len(text) >= c[0]]
+    if not fits:
         return whole, whole, whole, 0.0, good
-    bad = sum(not CHUNK_BAND[0] <= x <= CHUNK_BAND[1] for x in chunks) / len(chunks)
+    _, size, low, high = fits[-1]
+    starts = [*range(0, len(text) - size + 1, size), *([len(text) - size] if len(text) % size else [])]
+    chunks = [len(compressor.compress(text[i : i + size])) / size for i in starts]
+    bad = sum(not low <= x <= high for x in chunks) / len(chunks)
     return whole, min(chunks), max(chunks), bad, good and bad <= BAD_CHUNKS
 
 

@@ -78,6 +78,41 @@ def test_bands_reject_base64_words(size):
     assert not qr.ratios(text, zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False))[4]
 
 
+@pytest.mark.parametrize("good, bad", [(4200, 3900), (4096, 1900), (11000, 5000), (1200, 211), (1200, 300), (28000, 4500)])
+def test_chunks_find_a_bad_tail(spark, good, bad):
+    import base64
+    import random
+
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("n_chars > 2000").orderBy("doc_id").limit(60)
+    text = " ".join(r.text for r in clean.collect()).encode()[:good]
+    noise = base64.b64encode(random.Random(3).randbytes(bad)).decode()
+    noise = " ".join(noise[i : i + 8] for i in range(0, len(noise), 8)).encode()[:bad]
+    compressor = zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
+    assert len(text) == good and qr.ratios(text, compressor)[4]
+    assert not qr.ratios(text + noise, compressor)[4]
+    assert not qr.ratios(noise + text, compressor)[4]
+
+
+def test_chunks_find_noise_that_plain_words_hide():
+    """Words of a small vocabulary pull the whole ratio down into the band."""
+    import base64
+    import random
+
+    import zstandard
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    text = " ".join(rng.choice(words) for _ in range(1500)).encode()
+    noise = base64.b64encode(rng.randbytes(1500))
+    compressor = zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
+    whole, _, _, bad, kept = qr.ratios(text + b" " + noise, compressor)
+    assert qr.band(len(text) + 2001)[0] <= whole <= qr.band(len(text) + 2001)[1]
+    assert bad > 0.1 and not kept
+
+
 def test_classifier(spark, docs, empty):
     good = [(i, prose(i, 80), 1) for i in range(300)]
     bad = [(i, " ".join(w + "$$$" for w in prose(i, 80).split()), 0) for i in range(300, 400)]
