@@ -183,3 +183,17 @@ def test_path_belongs_to_the_first_host(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rows = sorted(uf.filter_urls(pages).collect())
     assert [(r.host, r.path, r.rule) for r in rows] == [("a.com", "", None), ("example.net", "", None), ("a.com", "", None), ("example.net", "", None), ("a.com", "/x", None)]
+
+
+def test_cut_is_chosen_on_held_out_rows():
+    table = uf.training_table()
+    weights, intercept = uf.fit([row for row in table if not uf.held_out(row[0])])
+    score = lambda urls: uf.scores(weights, intercept, *map(list, zip(*map(uf.split_url, urls), strict=True)))
+    held = [row for row in table if uf.held_out(row[0])]
+    p, labels = score([u for u, _ in held]), np.array([label for _, label in held])
+    assert uf.choose_cut(p, labels) == uf.CUT
+    assert np.mean(p[labels == 1] >= uf.CUT) > 0.9 and np.mean(p[labels == 0] >= uf.CUT) <= 0.02
+    sites = ("free-bets", "cheap-pills", "adult-x", "casino-win", "ads-track", "spam-farm")
+    assert not any(f"//{s}." in u or f".{s}." in u for u, _ in table for s in sites)
+    assert (score([f"https://www.{s}.example.com/en/5462#top" for s in sites]) >= uf.CUT).all()
+    assert (score([f"http://m.{s}.example.org/fr/{k}/" for k, s in enumerate(("tiontion", "therhe", "ththan", "alpine-club", "city-library"))]) < uf.CUT).all()
