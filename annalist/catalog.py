@@ -207,6 +207,14 @@ def call_graph(k: Knowledge) -> DataFrame:
 QUERIES["call_graph"] = (call_graph, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 2), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
 
 
+def call_graph_full(k: Knowledge) -> DataFrame:
+    """The whole call graph of a part to depth 10; call_graph above stops at the nodes two hops off, as its SQL does."""
+    return graph.call_graph(k.relations, k.entities.where("id = 'part:1'").select("id"))
+
+
+QUERIES["call_graph_full"] = (call_graph_full, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 9), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
+
+
 @query("SELECT from_id, count(*) AS n FROM calls GROUP BY 1", "calls")
 def symbol_deps(k: Knowledge) -> DataFrame:
     return code.symbol_dependencies(k.relations).groupBy("from_id").agg(F.count(F.lit(1)).alias("n"))

@@ -47,6 +47,13 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFr
     return seen
 
 
+def call_graph(relations: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(from_id, to_id, hops): all CALLS edges out of the nodes less than depth edges from roots(id), with that node's distance."""
+    calls = relations.where("relationship_type = 'CALLS'").select("from_id", "to_id")
+    near = reach(calls, roots, depth - 1).withColumnRenamed("id", "from_id")
+    return near.join(calls, "from_id").select("from_id", "to_id", "hops")
+
+
 def path_between(edges: DataFrame, start: DataFrame, end: Column, depth: int = MAX_DEPTH) -> DataFrame:
     return simple_paths(edges, start, depth).where(F.element_at("nodes", -1) == end)
 

@@ -40,6 +40,23 @@ def test_reach_and_plan(spark):
     assert {(r.from_id, r.to_id) for r in graph.surprises(g, nodes).collect()} == {(r.from_id, r.to_id) for r in g.collect()} - {("e", "a")}
 
 
+def test_call_graph_goes_to_depth_10(spark):
+    """A walk as the reference's: breadth first, edges out of every node at 0 to 9 hops, also those back to seen nodes."""
+    rng = random.Random(2)
+    calls = {(f"c{i:02d}", f"c{i + 1:02d}") for i in range(14)} | {(f"c{i:02d}", f"c{rng.randint(0, i):02d}") for i in range(14)} | {("c02", "x"), ("x", "y")}
+    distance, queue = {"c00": 0}, ["c00"]
+    for at in queue:
+        for a, b in sorted(calls):
+            if a == at and b not in distance:
+                distance[b] = distance[at] + 1
+                queue.append(b)
+    want = {(a, b, distance[a]) for a, b in calls if distance.get(a, 10) < 10}
+    relations = spark.createDataFrame([(a, b, "CALLS") for a, b in calls] + [("c00", "z", "IMPORTS")], "from_id string, to_id string, relationship_type string")
+    rows = graph.call_graph(relations, start(spark, "c00")).collect()
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert max(r.hops for r in rows) == 9 and "c10" not in {r.from_id for r in rows}
+
+
 def test_components_equal_brute_force(spark):
     rng = random.Random(4)
     pairs = [(f"n{rng.randint(0, 160):03d}", f"n{rng.randint(0, 160):03d}") for _ in range(110)] + [(f"x{i:03d}", f"x{i + 1:03d}") for i in range(40)]
@@ -82,3 +99,24 @@ def test_budgeted_walk(spark):
 def test_quarantine(spark):
     good, bad = graph.require(spark.createDataFrame([("a", "b"), ("", "b"), (None, "b")], "x string, y string"), "x", "y")
     assert (good.count(), bad.count()) == (1, 2)
+
+
+def test_whole_call_graph_of_the_tables(spark):
+    """No edge out of a node at 3 to 9 hops is missing."""
+    from collections import defaultdict
+
+    import __spark_entry__ as entry
+    from annalist.plans.knowledge import Knowledge
+
+    sf = "/root/testdata/sf0.001"
+    out = defaultdict(set)
+    for r in Knowledge(spark, sf).relations.collect():
+        out[r.from_id].add(r.to_id)
+    distance, queue = {"part:1": 0}, ["part:1"]
+    for at in queue:
+        for b in out[at]:
+            if b not in distance:
+                distance[b] = distance[at] + 1
+                queue.append(b)
+    want = {(a, b, distance[a]) for a in queue if distance[a] < 10 for b in out[a]}
+    assert {tuple(r) for r in entry.queries()["call_graph_full"](spark, sf).collect()} == want
