@@ -189,4 +189,4 @@ def media_features(index: DataFrame) -> DataFrame:
 
 def op7_media(spark, sf_dir: str) -> DataFrame:
     index = write_shards(table(spark, sf_dir, "documents"), shared_folder(spark, "media"))
-    return index.select("doc_id", "n_bytes", "digest").join(media_features(index), "digest").drop("digest")
+    return index.select("doc_id", "n_bytes", "digest").join(media_features(index), "digest").join(media_metadata(index), "digest").drop("digest")

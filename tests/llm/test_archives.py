@@ -83,6 +83,13 @@ def test_media(spark, docs, empty):
     assert none.join(media.media_features(none), "digest").count() == 0
 
 
+def test_query_has_the_headers(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = media.op7_media(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert all((r.width, r.width * r.height, r.bits) == (media.ROW, r.payload_bytes, 8) for r in rows)
+
+
 def test_shard_is_a_tar(tmp_path):
     import io
     import tarfile
