@@ -34,8 +34,32 @@ def test_bpe_equals_library(text):
 @given(st.text("abcdeinrst", min_size=1, max_size=400))
 def test_bpe_merges(word):
     expected = WORD.encode(word, add_special_tokens=False).ids
-    assert ENCODER.merge_all([word])[0].tolist() == expected == ENCODER.merge_long(word)
-    assert ENCODER.encode_words([word])[0].tolist() == expected
+    letters, size = np.frombuffer(word.encode(), np.uint8).astype(np.int64), np.array([len(word)])
+    tokens = [*ENCODER.base[letters[:-1]].tolist(), int(ENCODER.last[letters[-1]])]
+    assert ENCODER.merge_all(letters, size)[0].tolist() == expected == ENCODER.merge_long(tokens)
+    assert ENCODER.encode_words(letters, size)[0].tolist() == expected
+
+
+def test_bpe_keeps_words_met_again(monkeypatch):
+    """A full table drops words, never results."""
+    monkeypatch.setattr(bpe, "CACHE", 60)
+    monkeypatch.setattr(bpe, "PAIRS", 40)
+    small = bpe.WordBPE(bpe.file_path(bpe.VOCABULARY))
+    for k in range(30):
+        texts = [f"often again x{k}y{k * 7} {'long' * (k % 5 + 4)} <|endoftext|>" + " ".join("abcdefgh"[i % 8] * (i % 30) + str(i * k) for i in range(20)) for _ in range(2)]
+        ids, counts = small.encode_batch(texts, 1)
+        want = [[*WORD.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert small.table.n < 1000
+
+
+def test_hashed_map():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 1 << 40, 20000))
+    some = bpe.Hashed(16)
+    for part in np.array_split(keys, 7):
+        some.put(part, (part % 1000).astype(np.int32))
+    assert (some.get(keys) == keys % 1000).all() and (some.get(keys + (1 << 41)) == -1).all()
 
 
 def test_bpe_rows(docs, empty):
@@ -60,16 +84,35 @@ def test_simple8b_round_trip(ids, block):
 
 def test_simple8b_files(spark, docs, empty):
     files = simple8b.write_ids(docs, shared_folder(spark, "ids"))
-    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in simple8b.read_ids(spark, files, digest=True).collect())
-    at, want = 0, []
-    for i, t in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = np.array([*WORD.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        want.append((at, i, len(ids), crc32(ids.tobytes())))
-        at += len(ids)
-    assert got == want
-    assert simple8b.read_ids(spark, simple8b.write_ids(empty, shared_folder(spark, "none")), digest=True).count() == 0
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in simple8b.read_ids(files, digest=True).collect())
+    at, own, order = 0, {}, []
+    for r in docs.collect():
+        ids = np.array([*WORD.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        own.setdefault(r.doc_id, []).append((len(ids), crc32(ids.tobytes())))
+    for start, doc_id, n, crc in got:  # documents lie without gaps in ascending doc_id order, nulls first
+        assert start == at and (n, crc) in own[doc_id]
+        own[doc_id].remove((n, crc))
+        order.append((doc_id is not None, doc_id or 0))
+        at += n
+    assert not any(own.values()) and order == sorted(order)
+    assert simple8b.read_ids(simple8b.write_ids(empty, shared_folder(spark, "none")), digest=True).count() == 0
     with pytest.raises(ValueError):
-        simple8b.read_file(b"S8BIDS01" + b"\0" * 60)
+        simple8b.read_file(b"S8BIDS02" + b"\0" * 60)
+
+
+def test_simple8b_files_are_cut_by_size(spark):
+    rows = spark.range(3000).selectExpr("3000 - id AS doc_id", "concat('word ', id) AS text")
+    files = simple8b.write_ids(rows, shared_folder(spark, "many"), file_bytes=2048)
+    got = simple8b.read_ids(files).orderBy("start").collect()
+    assert files.count() > 8 and [r.doc_id for r in got] == list(range(1, 3001))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    assert all(r.ids == [*WORD.encode(f"word {3000 - r.doc_id}", add_special_tokens=False).ids, 1] for r in got[::97])
+
+
+def test_simple8b_least_doc_id(spark):
+    rows = spark.createDataFrame([(-(1 << 63), "a"), (None, "b c"), (3, None)], "doc_id long, text string")
+    got = simple8b.read_ids(simple8b.write_ids(rows, shared_folder(spark, "least"))).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(1 << 63), 3] and [r.n_tokens for r in got] == [3, 2, 1]
 
 
 def test_wordpiece_counts(docs, empty):
