@@ -9,12 +9,12 @@ File: MAGIC, words (little-endian unsigned 64 bit), then the tail: word offset o
 n_tokens of each document, and six counts with MAGIC again.  Ids of documents lie one after another in
 ascending doc_id order; the listing of the files follows that order.
 
-Texts are encoded where they are read; only ids (of two bytes each where the vocabulary allows) are stored and range partitioned by
-doc_id, so a lost executor costs no encoding.  Each task writes files of about FILE_BYTES under temporary names and renames them, so
+Texts are encoded where they are read; only ids (of two bytes each where the vocabulary allows) are exchanged, by ranges of doc_id
+that approximate percentiles give (any ranges are right; these are even).  Each task writes files of about FILE_BYTES under temporary names and renames them, so
 a task that runs again replaces them by the same bytes.  The listing is a stored table; the driver keeps one number per range.
 
 Defined results: null and empty texts have the end id alone; rows with equal doc_id are kept, each as a
-document, in the order of a hash of their ids (a doc_id that many rows share is spread over ranges by it); a null doc_id sorts
+document, in the order of their ids' crc32 (a doc_id that many rows share is spread over ranges by it); a null doc_id sorts
 first; an empty table gives no files and no rows.  A very long text is one document of one file, whatever its size.
 """
 
@@ -179,16 +179,22 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id
     path, spark = file_path(vocabulary), docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    source = _rows(docs, key, text).toDF("doc_id", "text")
+    marks = ", ".join(f"{i / parts}" for i in range(1, parts))
+    found = source.agg(F.expr(f"percentile_approx(doc_id, array({marks}), 20 * {parts})")).first()[0] if parts > 1 else None
+    bounds = np.array(found or [], np.int64)  # one number per range
+
     def encode(batch: pa.RecordBatch):
         unit = "<u2" if max(encoder(path).vocabulary_size, end_id + 1) <= 1 << 16 else "<u4"
         for rows, ids, counts in encoded_slices(batch, 1, path, end_id):
             raw = ids.astype(unit)
             offsets = np.concatenate(([0], np.cumsum(counts))) * raw.itemsize
-            own = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)])
-            yield [rows.column(0), np.full(len(counts), raw.itemsize), own.cast(pa.binary())]
+            own = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            view = memoryview(raw).cast("B")
+            tie = np.array([crc32(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+            yield [rows.column(0), tie, range_of(rows.column(0), tie, bounds), np.full(len(counts), raw.itemsize), own]
 
-    encoded = stored(arrow_map(_rows(docs, key, text).toDF("doc_id", "text"), encode, "doc_id long, unit int, ids binary"), "encoded")
-    rows = encoded.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "ids")
+    rows = arrow_map(source, encode, "doc_id long, tie long, part int, unit int, ids binary").repartitionById(parts, F.col("part")).sortWithinPartitions("doc_id", "tie", "ids")
 
     def run(batches):
         from pyspark import TaskContext
@@ -215,6 +221,14 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id
     return stored(rows.select("doc_id", "unit", "ids").mapInArrow(run, "part int, before long, file string, n long"), "id-files")
 
 
+def range_of(doc_ids: pa.Array, tie: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each row: ascending by (doc_id, tie).  A doc_id that several bounds name is dealt over their ranges by its tie."""
+    ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(bounds, ids), np.searchsorted(bounds, ids, "right")
+    part = low + ((high - low + 1) * tie >> 32)
+    return np.where(doc_ids.is_null().to_numpy(zero_copy_only=False), 0, part).astype(np.int32)
+
+
 def _chunks(batch: pa.RecordBatch, most: int = 1 << 7):
     for a in range(0, len(batch), most):
         yield batch.slice(a, most)

@@ -109,6 +109,17 @@ def test_simple8b_files_are_cut_by_size(spark):
     assert all(r.ids == [*WORD.encode(f"word {3000 - r.doc_id}", add_special_tokens=False).ids, 1] for r in got[::97])
 
 
+def test_simple8b_hot_doc_id(spark):
+    """A doc_id that most rows share is spread over the ranges."""
+    rows = spark.range(2000).selectExpr("if(id % 4 > 0, 7, id) AS doc_id", "concat('word ', id) AS text")
+    files = simple8b.write_ids(rows, shared_folder(spark, "hot"))
+    got = simple8b.read_ids(files).orderBy("start").collect()
+    assert files.count() == 4 and files.agg({"n": "max"}).first()[0] < 0.5 * sum(r.n_tokens for r in got)
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and len(got) == 2000
+    want = sorted([*WORD.encode(f"word {i}", add_special_tokens=False).ids, 1] for i in range(2000))
+    assert sorted(list(r.ids) for r in got) == want
+
+
 def test_simple8b_least_doc_id(spark):
     rows = spark.createDataFrame([(-(1 << 63), "a"), (None, "b c"), (3, None)], "doc_id long, text string")
     got = simple8b.read_ids(simple8b.write_ids(rows, shared_folder(spark, "least"))).orderBy("start").collect()
