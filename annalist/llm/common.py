@@ -18,10 +18,12 @@ SLICE_BYTES = 2 << 20
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is missing (tests, local mode) a temporary folder is set once per session.
+    Where the setting is missing a temporary folder is set once per session, in local mode alone: elsewhere no other machine sees it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="annalist-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -48,8 +50,8 @@ def filesystem(uri: str):
 
 
 def publish(uri: str, data: bytes) -> None:
-    """Writes a whole file under a temporary name and renames it, so that a task that is run twice
-    (a lost executor, speculation) never leaves half a file."""
+    """Writes a whole file under a temporary name and renames it.  With ``attempt`` in the name no two attempts of a task write the same
+    file, and only those that a finished task lists are read."""
     files, path = filesystem(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     temp = f"{path}.{uuid.uuid4().hex}.tmp"
@@ -58,6 +60,14 @@ def publish(uri: str, data: bytes) -> None:
     files.move(temp, path)
 
 
+def attempt() -> str:
+    """A name for files of this attempt of a task; names of later partitions sort later."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId():08d}"
+
+
 def text_slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Row slices of about SLICE_BYTES with their text as UTF-8 bytes and row offsets; null texts are empty."""
     texts = batch.column(column).cast(pa.large_string())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _rows
-from .common import arrow_map, filesystem, publish, shared_folder, stored, table, text_slices
+from .common import arrow_map, attempt, filesystem, publish, shared_folder, stored, table, text_slices
 
 ROW, LEVEL, SHARD_BYTES, HEADER = 64, 6, 64 << 20, 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -108,12 +108,10 @@ def write_shards(docs: DataFrame, folder: str, key: str = "doc_id", text: str =
     schema = "doc_id long, n_bytes long, digest binary, shard string, offset long, length long"
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, count, shard, waiting = TaskContext.get().partitionId(), 0, Shard(), []
+        count, shard, waiting = 0, Shard(), []
 
         def close() -> pa.RecordBatch:
-            name = f"{folder}/shard-{part:06d}-{count:04d}.tar"
+            name = f"{folder}/shard-{attempt()}-{count:04d}.tar"
             publish(name, shard.finish())
             ids, sizes, digests, places = zip(*waiting, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array([name] * len(ids)), pa.array([p[0] for p in places]), pa.array([p[1] for p in places])], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])

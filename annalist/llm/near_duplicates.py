@@ -10,7 +10,8 @@ Two texts link when their sets of 5-word shingles have a Jaccard similarity of 0
    by shingle, packed as blobs.  Passages that many texts share are heavy, so they reach no prefix unless
    they make up most of a text.
 3. *Groups.*  Each shingle's smallest key is its hub; the distinct (hub, key) pairs are groups that together
-   hold every candidate pair.  Pairs are never listed.  A group of more than BLOCK members is dealt as pairs of blocks.
+   hold every candidate pair.  Pairs are never listed.  A group of more than BLOCK members is dealt by bands of size, and a band
+   of more than BLOCK as pairs of blocks.
 4. *Signature trees.*  A group's members carry bitmaps of their sets (about 4 bits a shingle).  Ordered so that like sets
    lie side by side, they form a tree whose nodes hold the OR of their bitmaps, their range of sizes and their
    most bit collisions.  A dual traversal prunes a pair of nodes when the largest possible overlap can't reach the
@@ -22,8 +23,9 @@ Two texts link when their sets of 5-word shingles have a Jaccard similarity of 0
 Hashes of 64 bits stand for shingles and sets (see ``words``).
 
 Defined results: null, empty and blank texts have 0 shingles and are their own component; fewer than 5 words are one
-shingle, the whole sequence; repeated rows share a component; a null doc_id takes part in no link and has a
-null component; extra columns are not read; an empty table gives no rows.
+shingle, the whole sequence; rows of one doc_id are one document, whatever their texts: they share a component, and what links to
+any of them is linked to all; a null doc_id takes part in no link and has a null component; very long texts are compared
+whole; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from .common import arrow_map, stored, table, text_slices
 from .components import components
 from .words import STEP, U, Words, mix
 
-SHINGLE, HEAVY, HEAVY_FROM, SUMMARY, BLOCK, FAN, FLUSH = 5, 65_536, 32, 8_192, 8_192, 8, 1 << 21
+SHINGLE, HEAVY, HEAVY_FROM, SUMMARY, BLOCK, BAND, FAN, FLUSH = 5, 65_536, 32, 8_192, 8_192, 1.34, 8, 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -337,45 +339,66 @@ def group_candidates(keys: np.ndarray, sizes: np.ndarray, bits: list[bytes]) ->
 
 
 def _in_blocks(members: DataFrame, block: int) -> DataFrame:
-    """members with i, j: all of a group in one task, or, above ``block`` members, each pair of its blocks in one."""
-    large = members.groupBy("hub").count().where(F.col("count") > block).select("hub", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    dealt = members.join(stored(large, "large-groups"), "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    """members(hub, key, n) with band, i, j: all of a group in one task, or, above ``block`` members, by bands of size and blocks.
+
+    Linked sets differ in size by 4/3 at most, so each member of a large group goes to its own band of sizes (powers of BAND) and to the
+    one below, and two linked members meet in one band at least.  A band of more than ``block`` members is dealt as pairs of blocks.
+    """
+    large = stored(members.groupBy("hub").count().where(F.col("count") > block).select("hub", F.lit(True).alias("large")), "large-groups")
+    own = F.floor(F.log(F.col("n").cast("double")) / np.log(BAND)).cast("int")
+    dealt = members.join(large, "hub", "left").withColumn("band", F.explode(F.when(F.col("large"), F.array(own, own - 1)).otherwise(F.array(F.lit(-9)))))
+    bands = dealt.where("large").groupBy("hub", "band").count().select("hub", "band", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    dealt = dealt.drop("large").join(stored(bands, "bands"), ["hub", "band"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     mine = F.pmod(F.shiftright("key", 7), F.col("blocks")).cast("int")
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != mine), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    return dealt.withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(pairs))).select(*members.columns, "p.i", "p.j")
+    return dealt.withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(pairs))).select(*members.columns, "band", "p.i", "p.j")
 
 
 def _by_group(rows: DataFrame, find, schema: str) -> DataFrame:
-    """Runs find(keys, rows of the group by key) on each (hub, i, j); rows: hub, i, j, key and more.  Equal keys of a group are one."""
+    """Runs find(keys, rows of the group by key) on each (hub, band, i, j); rows: those, key and more.  Equal keys of a group are one.
+
+    Groups come one after another, so a task holds one group at a time.
+    """
+    group_of = ["hub", "band", "i", "j"]
 
     def run(batches):
-        waiting: dict[tuple, dict[int, tuple]] = {}
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def done() -> list[tuple[int, int]]:
+            if len(members) < 2:
+                return []
+            keys = np.array(sorted(members), np.int64)
+            return find(keys, [members[k] for k in keys.tolist()])
+
+        now, members, out = None, {}, []
         for batch in batches:
-            for hub, i, j, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                waiting.setdefault((hub, i, j), {})[key] = more
-        out = set()
-        while waiting:
-            _, group = waiting.popitem()
-            if len(group) > 1:
-                keys = np.array(sorted(group), np.int64)
-                out.update(find(keys, [group[k] for k in keys.tolist()]))
+            for hub, band, i, j, key, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (hub, band, i, j) != now:
+                    out += done()
+                    now, members = (hub, band, i, j), {}
+                members[key] = more
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+                out = []
+        out = done()
         if out:
-            a, b = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], [c.split()[0] for c in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
 
-    return rows.repartition("hub", "i", "j").mapInArrow(run, schema)
+    return rows.repartition(*group_of).sortWithinPartitions(*group_of).mapInArrow(run, schema)
 
 
 def refine(members: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(hub, key): the groups that bitmaps leave, each under its smallest key; firsts: (key, n, bits, ...)."""
-    rows = _in_blocks(members, block).join(firsts.select("key", "n", "bits"), "key").select("hub", "i", "j", "key", "n", "bits")
+    sized = members.join(firsts.select("key", "n", "bits"), "key").select("hub", "key", "n", "bits")
+    rows = _in_blocks(sized, block).select("hub", "band", "i", "j", "key", "n", "bits")
     return _by_group(rows, lambda keys, own: group_candidates(keys, np.array([n for n, _ in own], np.int64), [b for _, b in own]), "hub long, key long").distinct()
 
 
 def tree_links(docs: DataFrame, members: DataFrame, firsts: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between keys that span each group's components.  firsts: (key, doc_id, ...) names a text of each key."""
-    dealt = _in_blocks(members, block).groupBy("key").agg(F.collect_list(F.struct("hub", "i", "j")).alias("hubs"))
+    dealt = _in_blocks(members.join(firsts.select("key", "n"), "key").select("hub", "key", "n"), block)
+    dealt = dealt.groupBy("key").agg(F.collect_list(F.struct("hub", "band", "i", "j")).alias("hubs"))
     wanted = dealt.join(firsts.select("key", "doc_id"), "key")
     rows = docs.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "key", "hubs")
 
@@ -386,11 +409,11 @@ def tree_links(docs: DataFrame, members: DataFrame, firsts: DataFrame, block: in
             for n, (key, hubs) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
                 if key == found[n]:  # else another text of the same doc_id
                     own = sets[edge[n] : edge[n + 1]].tobytes()
-                    out += [(h["hub"], h["i"], h["j"], key, own) for h in hubs]
+                    out += [(h["hub"], h["band"], h["i"], h["j"], key, own) for h in hubs]
             if out:
                 yield list(zip(*out, strict=True))
 
-    sent = arrow_map(rows, send, "hub long, i int, j int, key long, shingles binary")
+    sent = arrow_map(rows, send, "hub long, band int, i int, j int, key long, shingles binary")
     return _by_group(sent, lambda keys, own: group_links(keys, [np.frombuffer(x, U) for (x,) in own]), "a long, b long")
 
 
@@ -399,16 +422,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows = _rows(docs, key, text).toDF("doc_id", "text")
     described = stored(describe(rows), "described")
     texts = described.where("hash IS NULL").select("doc_id", "key", "n")
-    firsts = stored(described.where("n > 0 AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "firsts")
+    vertices = described.where("n > 0 AND doc_id IS NOT NULL")
+    firsts = stored(vertices.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bits").alias("bits")), "firsts")
     members = stored(refine(stored(groups(rows, heavy_shingles(described)), "groups"), firsts), "members")
-    joined = components(tree_links(rows, members, firsts)).withColumnsRenamed({"vertex": "key"})
+    # documents with several texts: their sets are one vertex
+    several = stored(texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id"), "several")
+    own = vertices.select("doc_id", "key").join(several, "doc_id", "left_semi").distinct()
+    same = own.join(own.groupBy("doc_id").agg(F.min("key").alias("a")), "doc_id").select("a", F.col("key").alias("b"))
+    joined = components(tree_links(rows, members, firsts).unionByName(same)).withColumnsRenamed({"vertex": "key"})
     named = firsts.select("key", "doc_id").join(joined, "key")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     changed = stored(named.join(least, "component").where("component_id <> doc_id").select("key", "component_id"), "components")
-    known = firsts.select("key", "doc_id").join(changed, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = texts.join(stored(known, "known"), "key", "left")
+    known = stored(firsts.select("key", "doc_id").join(changed, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id")), "known")
+    out = texts.join(known, "key", "left")
+    if not several.isEmpty():  # a text without words takes the component of its document's other texts
+        shared = own.join(known, "key").groupBy("doc_id").agg(F.min("component_id").alias("shared"))
+        out = out.join(shared, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "shared"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+#: DuckDB SQL for op8_near_duplicates' rows: shared shingles are counted pair by pair, so it is for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT DISTINCT a AS origin, a AS node FROM both_ways UNION SELECT r.origin, l.b FROM reached r JOIN both_ways l ON l.a = r.node),
+least_ids AS (SELECT origin, min(node) AS component_id FROM reached GROUP BY origin)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM sets LEFT JOIN least_ids ON origin = doc_id
+"""
+
+
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -11,7 +11,8 @@
 Terms that more than half of all documents have get an idf of 0 and are not looked up.  No shuffle but for the sums.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; a null doc_id is
-kept; shards follow the order of the written table, so sequence ids depend on how the input is split, while the
+kept; an empty table gives no rows; a very long text fills windows of its own and is never cut short; of equal scores the earlier
+document comes first, and where no unused document shares a term the first unused one fills; shards follow the order of the written table, so sequence ids depend on how the input is split, while the
 pieces always cover each document exactly once.
 """
 
@@ -118,21 +119,37 @@ class Index:
         self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
         self.idf, self.n = idf, len(docs)
 
-    def scores(self, query: np.ndarray) -> np.ndarray:
+    def scores(self, query: np.ndarray) -> np.ndarray | None:
+        """BM25 of each document; None where the query has no term of positive idf."""
         terms = np.unique(query)
         terms = terms[self.idf[terms] > 0].astype(np.int64)
+        if not len(terms):
+            return None
         first, size = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         ends = np.cumsum(size)
         at = np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
         return np.bincount(self.doc[at], self.weight[at], self.n)
 
 
+def neighbours(index: Index, query: np.ndarray, unused: np.ndarray, first: int = 64):
+    """Unused documents that share a term with the query, best first, of equal ones that of the smaller number; ordered as far as asked for."""
+    scores = index.scores(query)
+    if scores is None:
+        return
+    left = np.flatnonzero((scores > 0) & unused)
+    while len(left):
+        own = scores[left]
+        most = own >= np.partition(own, len(own) - first)[len(own) - first] if len(own) > first else np.ones(len(own), bool)
+        top, left, first = left[most], left[~most], 4 * first
+        yield from top[np.lexsort((top, -scores[top]))].tolist()
+
+
 def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) that hold each id of the shard once."""
     index = Index(docs, idf, mean_length)
     unused = np.ones(len(docs), bool)
     sequences: list[list[tuple[int, int, int]]] = []
-    cursor, seed, start = 0, -1, 0
+    cursor, free, seed, start = 0, 0, -1, 0
     while True:
         if seed < 0:
             while cursor < len(docs) and not unused[cursor]:
@@ -149,13 +166,17 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: in
             seed = -1
             continue
         pieces, space = [(seed, start, n - start)], window - (n - start)
-        rank = np.where(unused, index.scores(docs[seed]), -1.0)
+        near = neighbours(index, docs[seed], unused)
         seed = -1
         while space:
-            best = int(np.argmax(rank))
-            if rank[best] < 0:
-                break
-            rank[best], unused[best] = -1.0, False
+            best = next(near, -1)
+            if best < 0:  # nothing unused shares a term: the first unused document
+                while free < len(docs) and not unused[free]:
+                    free += 1
+                if free == len(docs):
+                    break
+                best = free
+            unused[best] = False
             take = min(space, len(docs[best]))
             pieces.append((best, 0, take))
             space -= take

@@ -10,7 +10,9 @@ Only the statistics are inputs: never labels, lang, source or doc_id.  The fit t
 the driver holds does not grow with the corpus.  Scoring covers all rows.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other row;
-repeated rows get equal scores; with no usable label (or labels of one kind) the score is the
+repeated rows get equal scores; a labelled doc_id of several texts is learnt once, from the least row of statistics, and one of
+several labels once with each; rows of a null doc_id are scored and never learnt from; an empty table gives no rows; very long
+texts are measured whole; with no usable label (or labels of one kind) the score is the
 constant share of label 1, or 0.5 without labels.
 """
 
@@ -191,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> RuleM
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_rows)
     # max_rows bounds the broadcast side at 12 bytes a row
     rows = text_statistics(with_clear_names(docs, "doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi"))
-    rows = rows.dropDuplicates(["doc_id"]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality").toPandas()
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("least")).select("doc_id", "least.*")
+    rows = rows.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "quality").toPandas()
     return fit_rules(rows[list(STATISTICS)].to_numpy(float).reshape(-1, len(STATISTICS)), rows["quality"].to_numpy())
 
 

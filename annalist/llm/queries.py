@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import near_duplicates, warc
 from .bpe import op1_bpe
 from .media import op7_media
 from .near_duplicates import op8_near_duplicates
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.ORACLE_SQL, "op8_near_duplicates": near_duplicates.ORACLE_SQL}

@@ -10,8 +10,8 @@ n_tokens of each document, and six counts with MAGIC again.  Ids of documents li
 ascending doc_id order; the listing of the files follows that order.
 
 Texts are encoded where they are read; only ids (of two bytes each where the vocabulary allows) are exchanged, by ranges of doc_id
-that approximate percentiles give (any ranges are right; these are even).  Each task writes files of about FILE_BYTES under temporary names and renames them, so
-a task that runs again replaces them by the same bytes.  The listing is a stored table; the driver keeps one number per range.
+that approximate percentiles give (any ranges are right; these are even).  Each task writes files of about FILE_BYTES under names of its
+own attempt, and only those that a finished task lists are read.  The listing is a stored table; the driver keeps one number per range.
 
 Defined results: null and empty texts have the end id alone; rows with equal doc_id are kept, each as a
 document, in the order of their ids' crc32 (a doc_id that many rows share is spread over ranges by it); a null doc_id sorts
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, _rows, encoded_slices, encoder, file_path
-from .common import arrow_map, filesystem, publish, shared_folder, stored, table
+from .common import arrow_map, attempt, filesystem, publish, shared_folder, stored, table
 
 MAGIC, BLOCK, END_ID = b"S8BIDS02", 1024, 1
 #: Coded bytes that end a file; ids coded at once; blocks decoded at once.
@@ -202,7 +202,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id
         writer, part, before, k = FileWriter(), TaskContext.get().partitionId(), 0, 0
 
         def close():
-            name = f"{folder}/ids-{part:06d}-{k:05d}.s8b"
+            name = f"{folder}/ids-{attempt()}-{k:05d}.s8b"
             publish(name, writer.finish())
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([before]), pa.array([name]), pa.array([writer.n])], ["part", "before", "file", "n"])
 

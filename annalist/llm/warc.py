@@ -6,10 +6,10 @@ smallest page_id holds the response, the others are revisit records that refer t
 
 Plan: digests and the first page of each repeated digest come from one aggregate over (digest, page_id)
 only; payloads move once, by page_id, to the tasks that write archives.  A hot digest meets the written
-table of firsts in a join whose both sides Spark can split.  Dictionaries are trained per archive on its first
-records (at most TRAIN_BYTES), which changes sizes, never contents.
+table of firsts in a join whose both sides Spark can split.  Every archive has a dictionary, trained on its first records (at
+most TRAIN_BYTES) or, where those are few, made of them; it changes sizes, never contents.
 
-Files are written under a temporary name and renamed, so a task that runs again replaces its own.
+Each attempt of a task writes files of its own names; the stored listing names those of finished tasks, and only they are read.
 
 Defined results: null html is an empty payload; a null url has no target; pages with a null page_id are responses;
 equal rows are kept as records of their own (the first page_id's are all responses); an empty table gives no archive.
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, filesystem, publish, shared_folder, stored, table, with_clear_names
+from .common import arrow_map, attempt, filesystem, publish, shared_folder, stored, table, with_clear_names
 
 DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
 LEVEL, FILE_BYTES, DICTIONARY_BYTES, TRAIN_BYTES, READ = 3, 64 << 20, 64 << 10, 4 << 20, 16 << 10
@@ -53,6 +53,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(fields).encode() + block + b"\r\n\r\n"
 
 
+def dictionary_of(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
+    """A dictionary of the first records; where they are too few to train one, they are its content themselves."""
+    if len(samples) >= 16 and sum(map(len, samples)) >= 8 * DICTIONARY_BYTES:
+        try:
+            return zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL)
+        except zstandard.ZstdError:  # samples that have nothing in common
+            pass
+    return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 class ArchiveWriter:
     """Collects records; trains the dictionary when TRAIN_BYTES have come or at the end."""
 
@@ -73,13 +83,11 @@ class ArchiveWriter:
         self.written += len(self.parts[-1])
 
     def _train(self) -> None:
-        self.written, dictionary = 0, None
-        samples = [x[: 16 << 10] for x in self.waiting]
-        if len(samples) >= 16 and sum(map(len, samples)) >= 8 * DICTIONARY_BYTES:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, samples, level=LEVEL)
-            frame = zstandard.ZstdCompressor(level=9).compress(dictionary.as_bytes())
-            self.parts.append(struct.pack("<II", DICTIONARY_MAGIC, len(frame)) + frame)
-        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True) if dictionary else zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
+        self.written = 0
+        dictionary = dictionary_of([x[: 16 << 10] for x in self.waiting])
+        frame = zstandard.ZstdCompressor(level=9).compress(dictionary.as_bytes())
+        self.parts.append(struct.pack("<II", DICTIONARY_MAGIC, len(frame)) + frame)
+        self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         for data in self.waiting:
             self._put(data)
         self.waiting = []
@@ -156,34 +164,32 @@ def plan_records(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     return rows.withColumn("digest", F.unhex(F.sha1("payload"))).join(revisits, ["page_id", "digest"], "left").drop("digest")
 
 
-def write_archives(records: DataFrame, folder: str) -> list[str]:
-    """Writes records of ``plan_records``; the archives' names."""
+def write_archives(records: DataFrame, folder: str) -> DataFrame:
+    """Writes records of ``plan_records``; the listing of the archives as a stored table (file)."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, count, writer = TaskContext.get().partitionId(), 0, None
+        count, writer = 0, None
         for batch in batches:
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 writer = writer or ArchiveWriter()
                 writer.add(record(page_id, url, payload, refers_to))
                 if writer.full():
-                    yield out(part, count, writer)
+                    yield out(count, writer)
                     count, writer = count + 1, None
         if writer:
-            yield out(part, count, writer)
+            yield out(count, writer)
 
-    def out(part: int, count: int, writer: ArchiveWriter) -> pa.RecordBatch:
-        name = f"{folder}/pages-{part:06d}-{count:04d}.warc.zst"
+    def out(count: int, writer: ArchiveWriter) -> pa.RecordBatch:
+        name = f"{folder}/pages-{attempt()}-{count:04d}.warc.zst"
         publish(name, writer.finish())
         return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    return sorted(r.file for r in records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string").collect())  # one row per archive
+    return stored(records.select("page_id", "url", "payload", "refers_to").mapInArrow(run, "file string"), "archives")
 
 
-def read_archives(spark, files: list[str], payloads: bool = False) -> DataFrame:
-    """One row per record of the archives; the payload of responses on request."""
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(max(1, len(files)), "file")
+def read_archives(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """One row per record of the listed archives; the payload of responses on request."""
+    listed = files.select("file").repartitionByRange(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *["payload"] * payloads]
 
     def run(batch: pa.RecordBatch):
@@ -204,6 +210,20 @@ def read_archives(spark, files: list[str], payloads: bool = False) -> DataFrame:
     return arrow_map(listed, run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, " + "payload binary, " * payloads + "file string, offset long")
 
 
+#: DuckDB SQL for op4_warc's rows.  A SHA-1 of 40 hex digits is 8 times 5 digits, each 4 letters of base32.
+ORACLE_SQL = """
+WITH rows AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+sums AS (SELECT page_id, url, strlen(payload) AS payload_bytes, payload, sha1(payload) AS hex FROM rows),
+firsts AS (SELECT *, CASE WHEN page_id IS NOT NULL THEN min(page_id) OVER (PARTITION BY payload) END AS first FROM sums)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to, url
+FROM firsts
+"""
+
+
 def op4_warc(spark, sf_dir: str) -> DataFrame:
     files = write_archives(plan_records(table(spark, sf_dir, "pages")), shared_folder(spark, "warc"))
-    return read_archives(spark, files)
+    return read_archives(files).drop("file", "offset")

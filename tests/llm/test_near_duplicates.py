@@ -73,6 +73,14 @@ def test_odd_rows(docs, empty):
     assert nd.near_duplicates(empty).count() == 0
 
 
+def test_one_component_for_each_doc_id(spark):
+    """Rows of one doc_id are one document, also where one of them is empty."""
+    t, u, v = prose(1), prose(9), prose(20)
+    rows = [(3, t), (15, t), (15, u), (20, u), (21, v), (21, None), (22, v + " more"), (23, None), (15, "")]
+    got = result(nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute(rows) and {c for i, _, c in got if i in (3, 15, 20)} == {3} and (21, 0, 21) in got
+
+
 def test_large_groups_are_dealt_in_blocks(spark, corpus):
     """Blocks of 16 members find the same components."""
     rows = spark.createDataFrame(corpus, "doc_id long, text string")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from annalist.llm import quality_classifier as qc
 from annalist.llm import quality_rules as qr
@@ -33,6 +34,22 @@ def test_base_rules(spark, docs, empty):
     assert qr.quality_rules(empty).count() == 0
 
 
+def test_short_texts_have_bands():
+    """Texts below 256 bytes are judged too: repetition and noise go, prose stays."""
+    import base64
+    import random
+
+    rng, compressor = random.Random(4), zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
+    prose = "The committee met on Tuesday to discuss the new road through the valley, and nobody could say how much it would cost or when work might begin. Farmers asked for a bridge instead."
+    for n in (100, 120, 140, 170, len(prose)):
+        assert qr.ratios(prose[:n].encode(), compressor)[4], n
+        noise = base64.b64encode(rng.randbytes(300)).decode()
+        words = " ".join(noise[i : i + 6] for i in range(0, 300, 6))[: n + 20]
+        assert not qr.ratios(("buy now cheap " * 20)[:n].encode(), compressor)[4]
+        if n >= 140:
+            assert not qr.ratios(words.encode(), compressor)[4], n
+
+
 def test_bands():
     import random
     import zstandard
@@ -57,11 +74,12 @@ def test_bands_fit_clean_documents(spark):
     rows = docs.merge(labels, on="doc_id")
     data = [t.encode() for t in rows.text]
     base = qr.base_counts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0] + [len(x) for x in data]))
-    passed = (base["n_words"] >= qr.FEWEST_WORDS) & (100 * base["n_repeat_words"] <= qr.REPEAT_PERCENT * base["n_words"]) & (np.array([len(x) for x in data]) >= qr.SHORTEST)
+    passed = (base["n_words"] >= qr.FEWEST_WORDS) & (100 * base["n_repeat_words"] <= qr.REPEAT_PERCENT * base["n_words"])
+    long = np.array([len(x) for x in data]) >= qr.STEPS[0]
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows.doc_id])
     compressor = zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
-    clean = [x for x, p in zip(data, passed & ~held & (rows.quality == 1), strict=True) if p]
-    assert qr.fit_bands(np.array([len(x) for x in clean]), np.array([len(compressor.compress(x)) / len(x) for x in clean])) == qr.BANDS
+    clean = [x for x, p in zip(data, passed & long & ~held & (rows.quality == 1), strict=True) if p]
+    assert qr.SHORT_BANDS + qr.fit_bands(np.array([len(x) for x in clean]), np.array([len(compressor.compress(x)) / len(x) for x in clean])) == qr.BANDS
     lost = lambda kind: np.mean([not qr.ratios(x, compressor)[4] for x, p in zip(data, passed & held & (rows.quality == kind), strict=True) if p])
     assert lost(1) <= 0.01 and lost(0) >= 0.5
 
