@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder only where none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annalist-"))
+    """Uses ``spark.checkpoint.dir``; sets a folder only where none is set, in local mode alone: elsewhere no other machine sees it."""
+    if spark.sparkContext.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="annalist-")
+    spark.sparkContext.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
