@@ -29,10 +29,14 @@ def query(body: str | None = None, *needs: str):
 
 
 def queries() -> dict:
+    from . import catalog_answers  # noqa: F401 - registers more
+
     return {name: (lambda spark, sf_dir, f=f: f(Knowledge(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import catalog_answers  # noqa: F401 - registers more
+
     return {name: text for name, (_, text) in QUERIES.items() if text}
 
 
@@ -54,9 +58,9 @@ def extract_facts(k: Knowledge) -> DataFrame:
     return k.facts.select("id", "source_id", "subject", "predicate", "object")
 
 
-@query("SELECT id, source_id, lower(description) AS description FROM intent", "intent")
+@query("SELECT id, source_id, description FROM intent", "intent")
 def extract_intents(k: Knowledge) -> DataFrame:
-    return k.intents.select("id", "source_id", F.lower("description").alias("description"))
+    return k.intents.select("id", "source_id", "description")
 
 
 @query("SELECT source_id, name, email, contributor_id FROM who", "who")
@@ -64,7 +68,7 @@ def parse_authors(k: Knowledge) -> DataFrame:
     return ownership.with_contributor(k.sources).select(F.col("id").alias("source_id"), "name", "email", "contributor_id")
 
 
-@query(r"SELECT url, list_aggregate(list_distinct(regexp_extract_all(url, '[A-Za-z0-9_\-]+(?:/[A-Za-z0-9_\-.]+)+\.[A-Za-z0-9]+')), 'count') AS paths, CASE split_part(ltrim(regexp_extract(url, '://[^/]+/?(.*)$', 1), '/'), '/', 1) WHEN 'docs' THEN 'documentation' WHEN 'pkg' THEN 'public' ELSE 'module' END AS layer FROM pages")
+@query(r"SELECT url, list_aggregate(list_distinct(regexp_extract_all(url, '[A-Za-z0-9_\-]+(?:/[A-Za-z0-9_\-.]+)+\.[A-Za-z0-9]+')), 'count') AS paths, CASE WHEN len(p) = 1 AND p[1] = '' THEN '' WHEN p[1] = 'api' THEN CASE WHEN len(p) > 1 THEN p[2] || ' (HTTP/API layer)' ELSE 'HTTP/API layer' END WHEN p[1] = 'pkg' THEN CASE WHEN len(p) > 1 THEN p[2] || ' (public API surface)' ELSE 'public API surface' END WHEN len(p) > 1 THEN p[-1] || ' package' ELSE '' END AS layer FROM (SELECT url, string_split(regexp_replace(regexp_extract(url, '://[^/]+/?(.*)$', 1), '^/+|/+$', '', 'g'), '/') AS p FROM pages)")
 def page_paths(k: Knowledge) -> DataFrame:
     rest = F.regexp_replace(F.regexp_extract("url", r"://[^/]+/?(.*)$", 1), "^/+", "")
     return k.table("pages").select("url", F.size(t.file_paths(F.col("url"))).cast("long").alias("paths"), code.package_layer(rest).alias("layer"))
@@ -110,7 +114,7 @@ def link_fact_decision(k: Knowledge) -> DataFrame:
     return link.fact_decision(k.facts, k.decisions).select("from_id", "to_id")
 
 
-@query("SELECT a.id AS from_id, b.id AS to_id, 'explicit_reference' AS evidence FROM dec a JOIN dec b ON CAST(substr(a.source_id, 4) AS BIGINT) % 7 = 0 AND CAST(substr(b.source_id, 4) AS BIGINT) = CAST(substr(a.source_id, 4) AS BIGINT) + 1", "dec")
+@query("SELECT from_id, to_id, CASE WHEN contains(c, '[' || i || ']') OR contains(c, '](' || r || ')') OR contains(c, 'see ' || i) OR contains(c, 'depends on ' || i) OR contains(c, 'depends on: ' || i) OR contains(c, 'see ' || r) OR contains(c, 'depends on ' || r) OR contains(c, 'depends on: ' || r) THEN 'explicit_reference' WHEN contains(c, r) THEN 'source_reference' ELSE 'decision_id' END AS evidence FROM (SELECT a.id AS from_id, b.id AS to_id, a.c, b.i, b.r FROM (SELECT id, lower(content) AS c FROM dec) a JOIN (SELECT id, lower(id) AS i, lower(reference) AS r FROM dec) b ON a.id <> b.id AND (contains(a.c, b.r) OR contains(a.c, b.i)))", "dec")
 def derive_decision_dep(k: Knowledge) -> DataFrame:
     return link.decision_dependencies(k.decisions)
 
@@ -200,19 +204,10 @@ def surprises(k: Knowledge) -> DataFrame:
 
 
 def call_graph(k: Knowledge) -> DataFrame:
-    calls = k.relations
-    return graph.reach(calls, k.entities.where("id = 'part:1'").select("id"), 2).join(calls.withColumnRenamed("from_id", "id"), "id").select(F.col("id").alias("from_id"), "to_id", "hops")
-
-
-QUERIES["call_graph"] = (call_graph, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 2), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
-
-
-def call_graph_full(k: Knowledge) -> DataFrame:
-    """The whole call graph of a part to depth 10; call_graph above stops at the nodes two hops off, as its SQL does."""
     return graph.call_graph(k.relations, k.entities.where("id = 'part:1'").select("id"))
 
 
-QUERIES["call_graph_full"] = (call_graph_full, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 9), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
+QUERIES["call_graph"] = (call_graph, sql("SELECT 1", "calls").removesuffix(" SELECT 1") + ", r AS (SELECT 'part:1' AS id, 0 AS hops UNION SELECT to_id, hops + 1 FROM r JOIN calls ON from_id = r.id WHERE hops < 9), near AS (SELECT id, min(hops) AS hops FROM r GROUP BY 1) SELECT from_id, to_id, hops FROM near JOIN calls ON from_id = near.id")
 
 
 @query("SELECT from_id, count(*) AS n FROM calls GROUP BY 1", "calls")
@@ -242,11 +237,10 @@ def index_counters(k: Knowledge) -> DataFrame:
 
 @query("SELECT d.id AS memory_id, e.id AS code_id, 'short_name' AS strategy FROM dec d JOIN entities e ON e.name = 'Fn' || substr(d.source_id, 4)", "dec", "entities")
 def bridge_links(k: Knowledge) -> DataFrame:
-    memories = k.decisions.select(F.col("id").alias("memory_id"), F.lit("DECISION").alias("kind"), F.concat(F.lit("Fn"), F.expr("substr(source_id, 4)"), F.lit(" "), "title").alias("text"))
-    return code.bridge(memories, k.entities)
+    return k.bridge.select("memory_id", "code_id", "strategy")
 
 
-@query("SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS topic, count(*) AS n FROM entities GROUP BY 1 ORDER BY n DESC, topic LIMIT 1", "entities")
+@query("SELECT split_part(file_path, '/', 2) AS topic, count(*) AS n FROM entities GROUP BY 1 ORDER BY n DESC, topic LIMIT 1", "entities")
 def pr_topic(k: Knowledge) -> DataFrame:
     return code.topic_of_files(k.entities.select(F.col("file_path").alias("path")))
 
@@ -261,7 +255,7 @@ def module_roots(k: Knowledge) -> DataFrame:
 
 
 def _discovery(k: Knowledge) -> DataFrame:
-    paths = graph.simple_paths(k.edges, k.nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT')").select("id"))
+    paths = graph.path_counts(k.edges, k.nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT')").select("id"))
     return rank.discovery(k.nodes, graph.degrees(k.edges), paths, k.expertise)
 
 
@@ -343,11 +337,8 @@ def learning_domain(k: Knowledge) -> DataFrame:
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY list_position(['decision', 'fact', 'event'], kind), label, id) AS BIGINT) AS position, kind, id FROM (SELECT 'event' AS kind, id, title AS label, source_id FROM evt UNION ALL SELECT 'decision', id, title, source_id FROM dec UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object, source_id FROM fact) WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}')", "who", "evt", "dec", "fact")
 def learning_contributor(k: Knowledge) -> DataFrame:
-    from pyspark.sql import Window
-
     own = ownership.trace_contributor(k.sources, _person(), k.events, k.decisions, k.facts)
-    order = F.row_number().over(Window.orderBy(F.array_position(F.array(F.lit("decision"), F.lit("fact"), F.lit("event")), F.col("kind")), "label", "id"))
-    return own.select(order.cast("long").alias("position"), "kind", "id")
+    return rank.numbered(own, F.array_position(F.array(F.lit("decision"), F.lit("fact"), F.lit("event")), F.col("kind")), "label", "id").select("position", "kind", "id")
 
 
 @query("SELECT 'decision' AS kind, id, title AS label FROM dec UNION ALL SELECT 'intent', id, lower(description) FROM intent UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object FROM fact UNION ALL SELECT 'event', id, title FROM evt", "dec", "intent", "fact", "evt")
@@ -389,9 +380,9 @@ def _docs(k: Knowledge) -> DataFrame:
     return search.search_documents(k.events, k.decisions, k.facts)
 
 
-@query("SELECT id, entity_type, title, CAST(strlen(content) AS INT) AS size FROM docs", "docs")
+@query("SELECT id, entity_type, title, md5(content) AS content FROM docs", "docs")
 def search_docs(k: Knowledge) -> DataFrame:
-    return _docs(k).select("id", "entity_type", "title", F.octet_length("content").alias("size"))
+    return _docs(k).select("id", "entity_type", "title", F.md5("content").alias("content"))
 
 
 def _bm25_sql(terms: list[str], kind: str = "") -> str:
@@ -399,11 +390,11 @@ def _bm25_sql(terms: list[str], kind: str = "") -> str:
     rank_sql = " + ".join(f"ln(1 + (s.n - s.df{i} + 0.5) / (s.df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * length / s.mean))" for i in range(len(terms)))
     dfs = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(terms)))
     where = " AND ".join(f"tf{i} > 0" for i in range(len(terms))) + (f" AND entity_type = '{kind}'" if kind else "")
-    return f"counted AS (SELECT id, entity_type, len(w) AS length, {counts} FROM (SELECT id, entity_type, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM docs)), s AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counted), hits AS (SELECT id, entity_type, round(-({rank_sql}), 6) AS rank FROM counted, s WHERE {where} ORDER BY rank, id LIMIT 100)"
+    return f"counted AS (SELECT id, entity_type, len(w) AS length, {counts} FROM (SELECT id, entity_type, list_filter(regexp_split_to_array(lower(title || ' ' || content), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS w FROM docs)), s AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counted), hits AS (SELECT id, entity_type, round(-({rank_sql}), 6) AS rank FROM counted, s WHERE {where} ORDER BY rank, id LIMIT 100)"
 
 
 def bm25(k: Knowledge) -> DataFrame:
-    return search.bm25(_docs(k), "add login")
+    return search.bm25(k.index, "add login")
 
 
 QUERIES["bm25"] = (bm25, sql("SELECT 1", "docs").removesuffix(" SELECT 1") + f", {_bm25_sql(['add', 'login'])} SELECT id, entity_type, rank FROM hits")
@@ -430,23 +421,23 @@ def type_query(k: Knowledge) -> DataFrame:
 
 
 def _tables(k: Knowledge) -> dict[str, DataFrame]:
-    return {"DECISION": k.decisions, "FACT": k.facts, "EVENT": k.events, "INTENT": k.intents, "CONTRIBUTOR": k.contributors, "EXPERTISE": k.expertise.withColumn("id", t.sha_key("exp_", "contributor_id", "domain"))}
+    return {"DECISION": k.decisions, "FACT": k.facts, "EVENT": k.events, "INTENT": k.intents, "CONTRIBUTOR": k.contributors, "EXPERTISE": k.expertise_rows}
 
 
-@query("SELECT 'EXPERTISE' AS entity_type, 'exp_' || sha256(contributor_id || ':' || domain) AS entity_id, 75 AS score, 'ownership' AS source FROM exp WHERE starts_with(lower(domain), 'stor')", "exp")
+@query("SELECT 'EXPERTISE' AS entity_type, id AS entity_id, 75 AS score, 'ownership' AS source FROM expid WHERE starts_with(lower(domain), 'stor')", "expid")
 def domain_query(k: Knowledge) -> DataFrame:
-    return search.federated(_tables(k), _docs(k), search.parse_query("domain:stor"))
+    return search.federated(_tables(k), k.index, search.parse_query("domain:stor"))
 
 
 def federated_search(k: Knowledge) -> DataFrame:
-    return search.federated(_tables(k), _docs(k), search.parse_query("login sqlite"))
+    return search.federated(_tables(k), k.index, search.parse_query("login sqlite"))
 
 
 _hits = " UNION ALL ".join(_match_sql(x, kind, ["login", "sqlite"]) for x, kind in (("dec", "DECISION"), ("fact", "FACT"), ("evt", "EVENT"), ("intent", "INTENT"), ("ctr", "CONTRIBUTOR"), ("expid", "EXPERTISE")))
 QUERIES["federated_search"] = (
     federated_search,
-    sql("SELECT 1", "docs", "intent", "ctr", "exp").removesuffix(" SELECT 1")
-    + f", {_bm25_sql(['login', 'sqlite'])}, expid AS (SELECT 'exp_' || sha256(contributor_id || ':' || domain) AS id, domain FROM exp), found AS (SELECT entity_type, id AS entity_id, 'memory' AS source, CASE WHEN p = 1 AND rank < -10 THEN 100 WHEN p <= 3 THEN 75 ELSE 50 END AS score FROM (SELECT *, row_number() OVER (ORDER BY rank, id) AS p FROM hits) UNION ALL {_hits}) SELECT entity_type, entity_id, max(score) AS score, arg_max(source, (score, CASE source WHEN 'memory' THEN 4 WHEN 'ownership' THEN 3 ELSE 1 END)) AS source FROM found GROUP BY 1, 2",
+    sql("SELECT 1", "docs", "intent", "ctr", "expid").removesuffix(" SELECT 1")
+    + f", {_bm25_sql(['login', 'sqlite'])}, found AS (SELECT entity_type, id AS entity_id, 'memory' AS source, CASE WHEN p = 1 AND rank < -10 THEN 100 WHEN p <= 3 THEN 75 ELSE 50 END AS score FROM (SELECT *, row_number() OVER (ORDER BY rank, id) AS p FROM hits) UNION ALL {_hits}) SELECT entity_type, entity_id, max(score) AS score, arg_max(source, (score, CASE source WHEN 'memory' THEN 4 WHEN 'ownership' THEN 3 ELSE 1 END)) AS source FROM found GROUP BY 1, 2",
 )
 
 # stores -------------------------------------------------------------------------------------------------------------

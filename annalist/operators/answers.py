@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from ..constants import ASK_STOP_WORDS, BLOCKERS, CAPS, TASK_VERBS
 from ..functions import text as t
 
-# fixed values: what a question's form asks for, in order
+# fixed values: what a question's form asks for, in the order they are tried
 QUESTIONS = (
     ("concept", r"what is (?:the )?(?:struct |type |function )?(.+?)"),
     ("concept", r"what does (?:the )?(.+?) do"),
     ("concept", r"how does (?:the )?(.+?) work"),
     ("concept", r"tell me about (?:the )?(.+?)"),
+    ("ownership", r"who owns\s+(.+?)"),
     ("authorship", r"who created\s+(.+?)"),
     ("authorship", r"who worked on\s+(.+?)"),
     ("authorship", r"who touched\s+(.+?)"),
-    ("ownership", r"who owns\s+(.+?)"),
     ("rationale", r"why (?:are we |do we )?(?:use|using|uses|used)\s+(.+?)"),
     ("dependency", r"what depends on\s+(.+?)"),
 )
@@ -59,21 +59,26 @@ def task_topic(text: str) -> str:
 
 
 def route(question: str) -> Route:
-    """What a question asks for: an entity by id, then a task, then by form, else a search."""
+    """What a question asks for: a task, then by its form, then an entity by id, else a search."""
     text = question.strip()
     if not text:
         raise ValueError("an empty question")
-    for kind, pattern in STRICT:
-        if m := re.fullmatch(rf"(?i){pattern}\??", text):
-            return Route(kind, m[1])
     if is_task(text):
         return Route("task", task_topic(text))
-    for kind, pattern in QUESTIONS:
+    for kind, pattern in (*QUESTIONS, *STRICT):
         if m := re.fullmatch(rf"(?i){pattern}\??", text):
             return Route(kind, m[1].strip())
     return Route("search", text)
 
 
+def strict_route(question: str) -> Route | None:
+    """A question by id alone (the strict form of questions), whatever else it could mean."""
+    for kind, pattern in STRICT:
+        if m := re.fullmatch(rf"(?i){pattern}\??", question.strip()):
+            return Route(kind, m[1])
+    return None
+
+
 def ask_terms(question: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", question.lower()) if len(w) >= 3 and w not in ASK_STOP_WORDS))
 
@@ -104,7 +109,7 @@ def ship_blockers(items: DataFrame) -> DataFrame:
 
 
 def advisories(expertise: list[str], reviewers: list[str], areas: list[str], knowledge: list[str]) -> list[tuple[str, str]]:
-    """(category, message) of what a change's author should look at."""
+    """(category, message) of what a change's author should look at.  Fixed values: the messages."""
     out = []
     if expertise and not reviewers:
         out.append(("ownership", "Domain expertise detected but no reviewers recommended — confirm owners before merge"))

@@ -16,7 +16,7 @@ from ..functions import text as t
 SUFFIXES = {
     ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
     ".py": "python", ".rs": "rust", ".java": "java", ".cs": "csharp", ".rb": "ruby", ".kt": "kotlin", ".kts": "kotlin", ".swift": "swift",
-    ".php": "php", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".scala": "scala", ".lua": "lua",
+    ".php": "php", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".c": "c", ".h": "c", ".scala": "scala", ".sc": "scala", ".lua": "lua",
     ".sh": "bash", ".bash": "bash", ".sql": "sql", ".dart": "dart", ".ex": "elixir", ".exs": "elixir", ".zig": "zig",
 }
 
@@ -104,13 +104,13 @@ def imports(name: str, text: str) -> list[str]:
 
 
 def parse_symbols(files: DataFrame) -> DataFrame:
-    """files(path, text) to one row per symbol; equal qualified names keep the first."""
+    """files(path, text) to one row per symbol; equal qualified names, which begin with the path, keep the first of their file."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         for frame in frames:
-            rows = [s for path, lang, text in zip(frame.path, frame.language, frame.text, strict=True) for s in symbols(path, lang, text or "")]
-            yield pd.DataFrame(rows, columns=names).drop_duplicates(["entity_type", "qualified_name"])
+            rows = [s for path, lang, text in zip(frame.path, frame.language, frame.text, strict=True) for s in {(x[1], x[3]): x for x in reversed([*symbols(path, lang, text or "")])}.values()]
+            yield pd.DataFrame(rows, columns=names)
 
     return files.withColumn("language", language(F.col("path"))).where("language IS NOT NULL").select("path", "language", "text").mapInPandas(run, SCHEMA)
 
@@ -192,17 +192,28 @@ def counters(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return entities.agg(*counts).join(relations.agg(F.count(F.lit(1)).alias("relations")), how="cross")
 
 
+# fixed values: the role of a package by its first folder
+LAYERS = {"cmd": "CLI entry and command wiring", "pkg": "public API surface", "internal": "core implementation", "api": "HTTP/API layer", "web": "web/UI layer"}
+
+
 def package_layer(path: Column) -> Column:
-    """The role of a package by its first part."""
-    roles = {"cmd": "entrypoint", "internal": "internal", "pkg": "public", "tests": "test", "test": "test", "docs": "documentation"}
-    first = F.split(path, "/")[0]
-    out = F.lit("module")
-    for part, role in roles.items():
-        out = F.when(first == part, role).otherwise(out)
-    return out
+    """The role of a package: by its first folder, with the second's name if it has one; else its last folder."""
+    parts = F.split(F.regexp_replace(path, "^/+|/+$", ""), "/")
+    layer = F.lit(None).cast("string")
+    for part, role in LAYERS.items():
+        layer = F.when(parts[0] == part, role).otherwise(layer)
+    many = F.size(parts) > 1
+    named = F.when(many, F.concat(F.get(parts, F.lit(1)), F.lit(" ("), layer, F.lit(")"))).otherwise(layer)
+    return F.when(parts[0] == "", "").when(layer.isNotNull(), named).when(many, F.concat(F.element_at(parts, -1), F.lit(" package"))).otherwise("")
+
+
+def entity_role(kind: Column, name: Column, package: Column) -> Column:
+    hint = package_layer(package)
+    return F.when(hint != "", F.concat(kind, F.lit(" "), name, F.lit(" — "), hint)).otherwise(F.concat(kind, F.lit(" "), name, F.lit(" in package "), package))
 
 
 def topic_of_files(files: DataFrame) -> DataFrame:
-    """(topic, n) of the most common first two folders; the smallest on a tie."""
-    key = F.array_join(F.slice(F.split("path", "/"), 1, 2), "/")
-    return files.select(key.alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(1)
+    """(topic, n) of the most common topic; the smallest on a tie.  A file's topic is its folder below internal, pkg or cmd, else its name without suffix."""
+    parts = F.split("path", "/")
+    key = F.when((F.size(parts) >= 2) & parts[0].isin("internal", "pkg", "cmd"), F.get(parts, F.lit(1))).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", ""))
+    return files.select(key.alias("topic")).where("topic <> ''").groupBy("topic").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "topic").limit(1)

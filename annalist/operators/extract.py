@@ -24,21 +24,21 @@ def decisions(sources: DataFrame) -> DataFrame:
     return sources.where("source_type IN ('adr', 'architecture_doc')").select(t.sha_key("decision_", "id").alias("id"), "repository_id", "title", status.alias("status"), F.col("id").alias("source_id"), "reference", "content")
 
 
-def _statements(sources: DataFrame, kinds: tuple[str, ...], rule) -> DataFrame:
-    """(repository_id, source_id, found): what a rule finds in each statement.
+def _statements(sources: DataFrame, kinds: tuple[str, ...], rule, or_title: bool) -> DataFrame:
+    """(repository_id, source_id, found): what a rule finds in each statement of a source's content; of its title where that is empty, if or_title.
 
     The rule runs inside the generator, so that later projections and filters don't evaluate it again.
     """
-    text = F.when(F.col("source_type") == "commit", F.col("title")).otherwise(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("title")))
+    text = F.when(F.col("source_type") == "commit", F.col("title")).otherwise(F.coalesce(F.nullif(F.col("content"), F.lit("")), F.col("title") if or_title else F.lit("")))
     return sources.where(F.col("source_type").isin(*kinds)).select("repository_id", F.col("id").alias("source_id"), F.explode(F.array_compact(F.transform(t.segments(text), rule))).alias("found"))
 
 
 def facts(sources: DataFrame) -> DataFrame:
     """Subject, predicate and object of each statement that states one; equal facts of one source are one row."""
-    found = _statements(sources, ("adr",), t.fact).select("repository_id", "source_id", "found.*").where("subject <> '' AND object <> ''")
+    found = _statements(sources, ("adr",), t.fact, False).select("repository_id", "source_id", "found.*").where("subject <> '' AND object <> ''")
     return found.withColumn("id", t.sha_key("fact_", F.concat("source_id", "subject", "predicate", "object"))).dropDuplicates(["id"])
 
 
 def intents(sources: DataFrame) -> DataFrame:
-    found = _statements(sources, ("adr", "commit"), t.intent).withColumnRenamed("found", "description")
+    found = _statements(sources, ("adr", "commit"), t.intent, True).withColumnRenamed("found", "description")
     return found.withColumn("id", t.sha_key("intent_", "source_id", F.lower("description"))).dropDuplicates(["id"])

@@ -6,6 +6,7 @@ stays small and a lost executor costs one hop.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 
 import pandas as pd
@@ -33,6 +34,36 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, in
     return out if out is not None else starts.select(F.array("id").alias("nodes"), F.lit(0).alias("hops")).where("false")
 
 
+def path_counts(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, paths): how many simple paths of 1 to depth edges leave each start.
+
+    Nodes on no cycle within reach of one are counted without listing a path: walks from a node are its edges and its neighbours' shorter
+    walks, one join and aggregate a hop, and none of them visits a node twice.  Paths are listed only from starts that reach a cycle.
+    """
+    step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("_next"))
+    core = cut(step.distinct())  # what is left after nodes without an edge out are taken off again and again holds all cycles
+    size = core.count()
+    for _ in range(depth + 1):
+        core = cut(core.join(core.select(F.col("id").alias("_next")).distinct(), "_next", "left_semi").select("id", "_next"))
+        left = core.count()
+        if left == size:
+            break
+        size = left
+    cyclic = core.select("id").distinct()  # all that reach a cycle, or a chain of more than depth edges, which listing counts too
+    counts, total = None, None
+    for _ in range(depth):
+        again = step if counts is None else step.join(counts.withColumnsRenamed({"id": "_next", "n": "_n"}), "_next")
+        counts = cut(again.groupBy("id").agg((F.count(F.lit(1)) if counts is None else F.sum("_n")).cast("long").alias("n")).join(cyclic, "id", "left_anti"))
+        if counts.isEmpty():
+            break
+        total = counts if total is None else total.unionByName(counts)
+    free = starts.select("id").join(cyclic, "id", "left_anti").join(total, "id").groupBy("id").agg(F.sum("n").alias("paths")) if total is not None else starts.select("id", F.lit(0).cast("long").alias("paths")).where("false")
+    if size == 0:
+        return free
+    listed = simple_paths(edges, starts.select("id").join(cyclic, "id", "left_semi"), depth)
+    return free.unionByName(listed.groupBy(F.col("nodes")[0].alias("id")).agg(F.count(F.lit(1)).alias("paths")))
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(id, hops): the nodes within depth edges and their least distance, starts at 0.  Visits a node once, so dense graphs cost no more."""
     step = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("_next")).distinct()
@@ -101,6 +132,7 @@ def with_component_ids(members: DataFrame, repository_id: str) -> DataFrame:
 
 def reason(start_type: Column, start: Column, end_type: Column, end: Column) -> Column:
     """Why the start of a path affects its end."""
+    # fixed values: the sentences
     say = lambda pattern, *parts: F.format_string(pattern, *parts)
     cases = {
         ("DECISION", "DECISION"): say("Decision %s impacts Decision %s because Decision %s depends on Decision %s.", start, end, end, start),
@@ -145,10 +177,10 @@ def budgeted_walk(edges: pd.DataFrame, costs: dict[str, int], edge_costs: dict[s
     for e in edges.sort_values("id").itertuples():
         around.setdefault(e.from_id, []).append((e.id, e.to_id))
         around.setdefault(e.to_id, []).append((e.id, e.from_id))
-    nodes, taken, used, queue, paid = [start], [], costs.get(start, 0), [start], set()
+    nodes, taken, used, queue, paid = [start], [], costs.get(start, 0), deque([start]), set()
     seen = {start}
     while queue:
-        here = queue.pop(0)
+        here = queue.popleft()
         for edge, other in around.get(here, ()):
             if edge in paid and not compat:
                 continue

@@ -37,19 +37,34 @@ def stored_edges(intents: DataFrame, decisions: DataFrame, events: DataFrame, fa
     return intent_decision(intents, decisions).unionByName(decision_event(decisions, events)).unionByName(fact_decision(facts, decisions))
 
 
+_NAME = r"[^\s\[\]()<>\"'`,;]*[./_][^\s\[\]()<>\"'`,;]*"
+
+
 def decision_dependencies(decisions: DataFrame) -> DataFrame:
-    """A decision whose text names another's reference or id depends on it: the strongest wording counts.
+    """A decision whose text names another's reference or id depends on it: an explicit wording, else its reference, else its id.
 
-    The names are extracted from each text and joined by equality, instead of testing all pairs.
+    Explicit are ``[id]``, ``](reference)`` and either after "see", "depends on" or "depends on:".  The names in a text (runs without blanks
+    and brackets that hold a dot, a slash or an underscore, and their ends after each slash) are joined by equality, instead of testing all pairs.
     """
     low = F.lower(F.col("content"))
-    named = decisions.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(r"(?:see |depends on:? |\]\()?(?:decision_[0-9a-f]{64}|[a-z0-9_\-]+(?:/[a-z0-9_\-.]+)*\.md)"), F.lit(0)))).alias("found"))
-    parts = named.select("from_id", F.regexp_extract("found", r"^(see |depends on:? |\]\()?(.*)$", 1).alias("wording"), F.regexp_extract("found", r"^(see |depends on:? |\]\()?(.*)$", 2).alias("name"))
-    keys = decisions.select(F.col("id").alias("to_id"), F.explode(F.array(F.struct(F.lower("reference").alias("name"), F.lit("source_reference").alias("plain"), F.lit(2).alias("rank")), F.struct(F.lower("id").alias("name"), F.lit("decision_id").alias("plain"), F.lit(3).alias("rank")))).alias("k")).select("to_id", "k.*")
-    hits = parts.join(keys, "name").where("from_id <> to_id")
-    kind = F.when(F.col("wording") != "", "explicit_reference").otherwise(F.col("plain"))
-    best = hits.groupBy("from_id", "to_id").agg(F.min(F.struct(F.when(F.col("wording") != "", 1).otherwise(F.col("rank")), kind.alias("evidence"))).alias("best"))
-    return best.select("from_id", "to_id", F.col("best.evidence").alias("evidence"))
+    mark = rf"^(see |depends on:? |\]\(|\[)?({_NAME})([\])])?$"
+
+    def names(found: Column) -> Column:
+        wording, closing = F.regexp_extract(found, mark, 1), F.regexp_extract(found, mark, 3)
+        name = F.regexp_replace(F.regexp_extract(found, mark, 2), r"[.:!?*]+$", "")
+        said = F.when(wording.isin("see ", "depends on ", "depends on: "), "any").when((wording == "](") & (closing == ")"), "reference").when((wording == "[") & (closing == "]"), "id").otherwise("")
+        parts = F.split(name, "/")
+        ends = F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda n: F.struct(F.array_join(F.slice(parts, n, F.size(parts)), "/").alias("name"), F.lit("").alias("said")))
+        return F.filter(F.concat(F.array(F.struct(name.alias("name"), said.alias("said"))), ends), lambda x: x["name"].rlike(r"[./]|^decision_"))
+
+    every = F.regexp_extract_all(low, F.lit(rf"(?:see |depends on:? |\]\(|\[)?{_NAME}[\])]?"), F.lit(0))
+    named = decisions.select(F.col("id").alias("from_id"), F.explode(F.array_distinct(F.flatten(F.transform(every, names)))).alias("n")).select("from_id", "n.*")
+    keys = decisions.select(F.col("id").alias("to_id"), F.explode(F.array(F.struct(F.lower("reference").alias("name"), F.lit("reference").alias("kind")), F.struct(F.lower("id").alias("name"), F.lit("id").alias("kind")))).alias("k")).select("to_id", "k.*").where("name <> ''")
+    hits = named.join(keys, "name").where("from_id <> to_id")
+    explicit = (F.col("said") == "any") | (F.col("said") == F.col("kind"))
+    rank = F.when(explicit, 1).when(F.col("kind") == "reference", 2).otherwise(3)
+    best = hits.groupBy("from_id", "to_id").agg(F.min(rank).alias("rank"))
+    return best.select("from_id", "to_id", F.element_at(F.array(*[F.lit(x) for x in ("explicit_reference", "source_reference", "decision_id")]), F.col("rank")).alias("evidence"))
 
 
 def fact_support(facts: DataFrame) -> DataFrame:

@@ -10,10 +10,9 @@ from ..functions import text as t
 from ..storage import cut
 
 
-def discovery(nodes: DataFrame, degrees: DataFrame, paths_from: DataFrame, expertise: DataFrame) -> DataFrame:
-    """(entity_type, entity_id, score): relations and impact paths of memories; expertise and distinct domains of contributors."""
-    counted = paths_from.groupBy(F.col("nodes")[0].alias("id")).agg(F.count(F.lit(1)).alias("paths"))
-    memory = nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT')").join(degrees, "id", "left").join(counted, "id", "left")
+def discovery(nodes: DataFrame, degrees: DataFrame, path_counts: DataFrame, expertise: DataFrame) -> DataFrame:
+    """(entity_type, entity_id, score): relations and impact paths of memories; expertise and distinct domains of contributors.  path_counts: (id, paths)."""
+    memory = nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT')").join(degrees, "id", "left").join(path_counts, "id", "left")
     people = expertise.groupBy("contributor_id").agg((F.count(F.lit(1)) + F.countDistinct("domain")).cast("double").alias("score"))
     return memory.select(F.col("node_type").alias("entity_type"), F.col("id").alias("entity_id"), (F.coalesce("degree", F.lit(0)) + F.coalesce("paths", F.lit(0))).cast("double").alias("score")).unionByName(
         people.select(F.lit("CONTRIBUTOR").alias("entity_type"), F.col("contributor_id").alias("entity_id"), "score")
@@ -73,17 +72,26 @@ def author_evidence(sources: DataFrame, terms: list[str]) -> DataFrame:
     return sources.select(who.alias("author"), score.cast("long").alias("score")).where("score > 0").groupBy("author").agg(F.sum("score").alias("score"))
 
 
-def learning_path(found: DataFrame, order: tuple[str, ...] = ("DECISION", "FACT", "EVENT", "CONTRIBUTOR")) -> DataFrame:
-    """Discovery by type in a fixed order, numbered.
+def numbered(rows: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """rows with their place in a total order, from 1: sorted by ranges, counted by range, and numbered inside each.
 
-    Each type is numbered by its own window and starts after those before it; the types' counts are a handful of rows.
+    No window without a key: each range is numbered by its own task and starts after those before it, whose counts (a row per range)
+    are summed on the driver.
     """
+    at = cut(rows.orderBy(*order).withColumn("_range", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()))
+    before, total = [], 0
+    for r in at.groupBy("_range").agg(F.count(F.lit(1)).alias("n"), F.min("_n").alias("first")).orderBy("_range").collect():
+        before.append((r["_range"], total - r["first"] + 1))
+        total += r.n
+    base = rows.sparkSession.createDataFrame(before, "_range int, _base long")
+    return at.join(F.broadcast(base), "_range").withColumn(name, F.col("_n") + F.col("_base")).drop("_range", "_n", "_base")
+
+
+def learning_path(found: DataFrame, order: tuple[str, ...] = ("DECISION", "FACT", "EVENT", "CONTRIBUTOR")) -> DataFrame:
+    """Discovery by type in a fixed order, numbered."""
     rank = F.array_position(F.array(*[F.lit(k) for k in order]), F.col("entity_type")).cast("int")
-    rows = cut(found.withColumn("bucket", rank).where("bucket > 0"))  # read three times
-    counts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b.bucket") < F.col("a.bucket"), "left").groupBy(F.col("a.bucket").alias("bucket")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("score"), "entity_id"))
-    return rows.withColumn("own", own).join(F.broadcast(before), "bucket").select((F.col("base") + F.col("own")).cast("long").alias("position"), "entity_type", "entity_id", "score")
+    rows = found.withColumn("bucket", rank).where("bucket > 0")
+    return numbered(rows, "bucket", F.desc("score"), "entity_id").select("position", "entity_type", "entity_id", "score")
 
 
 def compress_rank(items: DataFrame, topic: str) -> DataFrame:
@@ -101,7 +109,9 @@ def compress_pack(ranked: DataFrame, budget: int) -> DataFrame:
     if budget <= 0:
         return ranked.where("false")
     order = [F.desc("score"), F.col("text"), F.col("id")]
-    near = ranked.where((F.col("cost") <= budget) & (F.col("cost") > 0)).withColumn("_n", F.row_number().over(Window.partitionBy("cost").orderBy(*order))).where(F.col("_n") <= F.floor(F.lit(budget) / F.col("cost")))
+    place = F.row_number().over(Window.partitionBy("cost").orderBy(*order))
+    near = ranked.where((F.col("cost") <= budget) & (F.col("cost") > 0)).withColumn("_n", place).where(F.col("_n") <= budget)  # a literal limit: each task keeps no more
+    near = near.where(F.col("_n") <= F.floor(F.lit(budget) / F.col("cost")))
     free = ranked.where("cost = 0")
     listed = near.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "text", "id", "kind", "cost"))).alias("all"))
     start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("ids"))

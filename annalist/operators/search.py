@@ -52,30 +52,48 @@ def search_documents(events: DataFrame, decisions: DataFrame, facts: DataFrame)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
 def query_words(text: str) -> list[str]:
+    """A query's terms as the index cuts them: - and _ part words, other marks fall out."""
     import re
 
-    return list(dict.fromkeys(re.findall("[a-z0-9_]+", text.lower().replace("-", " "))))
+    kept = re.sub("[^a-z0-9_ ]", "", text.lower().replace("-", " "))
+    return list(dict.fromkeys(kept.replace("_", " ").split()))
 
 
-def _prefixed(term: str) -> Column:
-    """How many of a document's words start with a term."""
-    return F.size(F.filter("w", lambda x: x.startswith(term)))
+@dataclass(frozen=True)
+class Index:
+    """postings(word, id, entity_type, tf, length) in ranges of word, so a prefix reads few row groups; stats(n, mean) of all documents."""
+
+    postings: DataFrame
+    stats: DataFrame
+
 
+def index_documents(documents: DataFrame) -> Index:
+    """Counts each document's words; hot words are spread over ranges by id."""
+    own = documents.select("id", "entity_type", words(F.concat_ws(" ", "title", "content")).alias("w"))
+    rows = own.select("id", "entity_type", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("word", "id", "entity_type", "length").agg(F.count(F.lit(1)).alias("tf"))
+    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
+    return Index(rows.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), stats)
 
-def bm25(documents: DataFrame, query: str, entity_type: str = "", top: int = TOP_TEXT) -> DataFrame:
+
+def bm25(index: Index, query: str, entity_type: str = "", top: int = TOP_TEXT) -> DataFrame:
     """(id, rank) of the documents that hold a word with each term as prefix, best (most negative) first.
 
-    Terms are counted in each document's own word list, so nothing but per-term counts and the matching rows is shuffled.
+    Only the postings of the terms are read; the prefixes reach the scan as filters.
     """
     terms = query_words(query)
-    own = words(F.concat_ws(" ", "title", "content"))
-    counted = documents.select("id", "entity_type", own.alias("w")).select("id", "entity_type", F.size("w").alias("length"), *[_prefixed(p).alias(f"tf{i}") for i, p in enumerate(terms)])
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
-    hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))) or "false")
+    if not terms:
+        return index.postings.select("id", "entity_type", F.lit(0.0).alias("rank")).where("false")
+    wanted = F.lit(False)
+    for p in terms:
+        wanted = wanted | F.col("word").startswith(p)
+    counted = index.postings.where(wanted).groupBy("id", "entity_type", "length").agg(*[F.sum(F.when(F.col("word").startswith(p), F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, p in enumerate(terms)])
+    found = counted.agg(*[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"df{i}") for i in range(len(terms))])
+    stats = index.stats.join(F.broadcast(found), how="cross")  # one row
+    hits = counted.where(" AND ".join(f"tf{i} > 0" for i in range(len(terms))))
     if entity_type:
         hits = hits.where(F.col("entity_type") == entity_type)
     rank = F.lit(0.0)
@@ -83,7 +101,6 @@ def bm25(documents: DataFrame, query: str, entity_type: str = "", top: int = TOP
         idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         tf = F.col(f"tf{i}")
         rank = rank - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    # stats is one row
     return hits.join(F.broadcast(stats), how="cross").select("id", "entity_type", F.round(rank, 6).alias("rank")).orderBy("rank", "id").limit(top)
 
 
@@ -123,17 +140,24 @@ def best_hits(hits: DataFrame) -> DataFrame:
     return best.select("entity_type", "entity_id", "b.score", "b.source")
 
 
-def federated(tables: dict[str, DataFrame], documents: DataFrame, query: Query) -> DataFrame:
-    """Hits of all sources; only branches that the type and domain allow are built."""
+def federated(tables: dict[str, DataFrame], index: Index, query: Query, found: DataFrame | None = None) -> DataFrame:
+    """Hits of all sources; only branches that the type and domain allow are built.
+
+    found: discovery's (entity_type, entity_id).  Its items are matched again over their rows' own fields, so they score as the memories
+    do and rank behind them; they add hits only for entities that a table given here lacks.
+    """
     branches = []
     if query.terms and query.type in ("", "DECISION", "FACT", "EVENT") and not query.domain:
-        branches.append(text_hits(bm25(documents, " ".join(query.terms), query.type)))
+        branches.append(text_hits(bm25(index, " ".join(query.terms), query.type)))
     for kind, rows in tables.items():
         if query.domain and kind != "EXPERTISE":
             continue
         own = rows.where(F.contains(F.lower("domain"), F.lit(query.domain.lower()))) if query.domain else rows
         asked = Query(query.terms or (query.domain,), query.type) if query.domain else query
         branches.append(match_fields(own, kind, "ownership" if kind in ("CONTRIBUTOR", "EXPERTISE") else "memory", FIELDS[kind], asked))
+        if found is not None and not query.domain and kind in ("DECISION", "FACT", "EVENT", "CONTRIBUTOR") and (query.terms or query.type):
+            ids = found.where(F.col("entity_type") == kind).select(F.col("entity_id").alias("id"))
+            branches.append(match_fields(rows.join(ids, "id", "left_semi"), kind, "discovery", FIELDS[kind], query))
     return best_hits(union_all(branches))
 
 

@@ -7,8 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import extract, link, ownership
+from ..functions import text
+from ..operators import code, extract, link, ownership, search
 from ..sources import adapters
+from ..storage import fingerprint, once
 
 NODES = (
     ("region", "'region:' || CAST(r_regionkey AS STRING)", "DECISION"),
@@ -35,9 +37,19 @@ ENTITY = {
 
 
 class Knowledge:
+    """Extracted tables and the search index are written once to the shared folder and read from there, so a query parses no raw text
+    that an earlier one has parsed.  Decisions keep their records' texts, which are read where they lie."""
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    @cached_property
+    def _state(self) -> tuple:
+        return fingerprint(self.spark, f"{self.sf_dir}/events.parquet", f"{self.sf_dir}/documents.parquet")
+
+    def _once(self, name: str, build) -> DataFrame:
+        return once(self.spark, self._state, name, build)
+
     def table(self, name: str) -> DataFrame:
         return adapters.read(self.spark, self.sf_dir, name)
 
@@ -55,7 +67,7 @@ class Knowledge:
 
     @cached_property
     def events(self) -> DataFrame:
-        return extract.events(self.commits)
+        return self._once("events", lambda: extract.events(self.commits))
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -63,19 +75,24 @@ class Knowledge:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return extract.facts(self.records)
+        return self._once("facts", lambda: extract.facts(self.records))
 
     @cached_property
     def intents(self) -> DataFrame:
-        return extract.intents(self.sources)
+        return self._once("intents", lambda: extract.intents(self.sources))
 
     @cached_property
     def contributors(self) -> DataFrame:
-        return ownership.contributors(self.sources)
+        return self._once("contributors", lambda: ownership.contributors(self.sources))
 
     @cached_property
     def expertise(self) -> DataFrame:
-        return ownership.expertise(self.sources, self.contributors, self.events, self.decisions, self.facts)
+        return self._once("expertise", lambda: ownership.expertise(self.sources, self.contributors, self.events, self.decisions, self.facts))
+
+    @cached_property
+    def index(self) -> search.Index:
+        documents = lambda: search.search_documents(self.events, self.decisions, self.facts)
+        return search.Index(self._once("postings", lambda: search.index_documents(documents()).postings), self._once("statistics", lambda: search.index_documents(documents()).stats))
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -97,6 +114,17 @@ class Knowledge:
         b = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.expr("'part:' || CAST(l_partkey AS STRING)").alias("to_id"))
         return a.join(b, ["l_orderkey", "n"]).select("from_id", "to_id", F.lit("CALLS").alias("relationship_type")).distinct()
 
+    @cached_property
+    def expertise_rows(self) -> DataFrame:
+        """expertise with its id."""
+        return self.expertise.withColumn("id", text.sha_key("exp_", F.lit(adapters.REPO), "contributor_id", "domain"))
+
+    @cached_property
+    def bridge(self) -> DataFrame:
+        """(relationship_type, memory_id, code_id, strategy): the code that decisions name."""
+        memories = self.decisions.select(F.col("id").alias("memory_id"), F.lit("DECISION").alias("kind"), F.concat(F.lit("Fn"), F.expr("substr(source_id, 4)"), F.lit(" "), "title").alias("text"))
+        return code.bridge(memories, self.entities).withColumn("relationship_type", F.lit("DECISION_REFERENCES_CODE"))
+
     @cached_property
     def stored_edges(self) -> DataFrame:
         return link.stored_edges(self.intents, self.decisions, self.events, self.facts)

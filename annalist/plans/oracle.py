@@ -69,6 +69,28 @@ PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "exp_rows": (("commits", "dec", "fact", "evt"), f"SELECT id AS source_id, 'commits' AS kind, unnest({_domains('title')}) AS domain FROM commits UNION ALL SELECT source_id, 'decisions', unnest({_domains('title')}) FROM dec UNION ALL SELECT source_id, 'facts', unnest({_domains('subject || chr(10) || predicate || chr(10) || object')}) FROM fact UNION ALL SELECT source_id, 'events', unnest({_domains('title || chr(10) || description')}) FROM evt"),
     "exp_raw": (("exp_rows", "who", "ctr"), "SELECT contributor_id, domain, count(*) FILTER (kind = 'commits') AS commits, count(*) FILTER (kind = 'decisions') AS decisions, count(*) FILTER (kind = 'facts') AS facts, count(*) FILTER (kind = 'events') AS events, max(ts) AS last FROM exp_rows JOIN who USING (source_id) WHERE contributor_id IN (SELECT id FROM ctr) GROUP BY 1, 2"),
     "exp": (("exp_raw",), "SELECT contributor_id, domain, round((commits * 1.0 + decisions * 5.0 + facts * 2.0 + events * 3.0) / max(commits * 1.0 + decisions * 5.0 + facts * 2.0 + events * 3.0) OVER (PARTITION BY domain), 6) AS score, commits, decisions, facts, events, coalesce((SELECT max(ts) FROM who WHERE source_type = 'commit') <= last + INTERVAL 30 DAY, false) AS recent FROM exp_raw"),
+    "expid": (("exp",), "SELECT *, 'exp_' || sha256('repo_main:' || contributor_id || ':' || domain) AS id FROM exp"),
+    "bridge": (("dec", "entities"), "SELECT 'DECISION_REFERENCES_CODE' AS relationship_type, d.id AS memory_id, e.id AS code_id FROM dec d JOIN entities e ON e.name = 'Fn' || substr(d.source_id, 4)"),
+    "stored": (
+        ("dec", "intent", "dec_words", "evt_words", "fact_words"),
+        "SELECT i.id AS from_id, d.id AS to_id, 'INTENT_DRIVES_DECISION' AS kind FROM intent i JOIN dec d USING (source_id) UNION ALL SELECT DISTINCT d.id, e.id, 'DECISION_RESULTS_IN_EVENT' FROM dec_words d JOIN evt_words e USING (word) UNION ALL SELECT DISTINCT f.id, d.id, 'FACT_SUPPORTS_DECISION' FROM fact_words f JOIN dec_words d USING (word)",
+    ),
+    "labels_of": (("dec", "intent", "fact", "evt"), "SELECT id, 'DECISION' AS kind, title AS label FROM dec UNION ALL SELECT id, 'INTENT', description FROM intent UNION ALL SELECT id, 'FACT', subject || ' ' || predicate || ' ' || object FROM fact UNION ALL SELECT id, 'EVENT', title FROM evt"),
+    "kgraph": (
+        ("stored", "expid", "ctr", "dec", "fact"),
+        "SELECT 'edg_' || sha256('repo_main:' || a || ':' || b || ':' || kind) AS id, a AS from_node_id, b AS to_node_id, kind AS edge_type, category FROM (SELECT 'nod_' || sha256('repo_main:' || ta || ':' || x) AS a, 'nod_' || sha256('repo_main:' || tb || ':' || y) AS b, kind, category FROM ("
+        "SELECT CASE kind WHEN 'INTENT_DRIVES_DECISION' THEN 'INTENT' WHEN 'FACT_SUPPORTS_DECISION' THEN 'FACT' ELSE 'DECISION' END AS ta, from_id AS x, CASE kind WHEN 'DECISION_RESULTS_IN_EVENT' THEN 'EVENT' ELSE 'DECISION' END AS tb, to_id AS y, kind, 'STORED' AS category FROM stored "
+        "UNION ALL SELECT 'EXPERTISE', id, 'CONTRIBUTOR', contributor_id, 'CONTRIBUTOR_EXPERT_IN_DOMAIN', 'STORED' FROM expid WHERE contributor_id IN (SELECT id FROM ctr) "
+        "UNION ALL SELECT 'DECISION', a.id, 'DECISION', b.id, 'DECISION_DEPENDS_ON_DECISION', 'DERIVED' FROM (SELECT id, lower(content) AS c FROM dec) a JOIN (SELECT id, lower(id) AS i, lower(reference) AS r FROM dec) b ON a.id <> b.id AND (contains(a.c, b.r) OR contains(a.c, b.i)) "
+        "UNION ALL SELECT 'FACT', a.id, 'FACT', b.id, 'FACT_SUPPORTS_FACT', 'DERIVED' FROM (SELECT DISTINCT a.id, b.id AS id2 FROM fact a JOIN fact b ON lower(a.object) = lower(b.subject) AND a.id <> b.id) a JOIN fact b ON b.id = a.id2 "
+        "UNION ALL SELECT 'EXPERTISE', a.id, 'EXPERTISE', b.id, 'DOMAIN_RELATES_TO_DOMAIN', 'DERIVED' FROM expid a JOIN expid b ON a.contributor_id = b.contributor_id AND a.domain < b.domain))",
+    ),
+    "knodes": (
+        ("dec", "fact", "evt", "intent", "ctr", "expid"),
+        "SELECT 'nod_' || sha256('repo_main:' || node_type || ':' || entity_id) AS id, node_type, entity_id FROM (SELECT 'DECISION' AS node_type, id AS entity_id FROM dec UNION ALL SELECT 'FACT', id FROM fact UNION ALL SELECT 'EVENT', id FROM evt UNION ALL SELECT 'INTENT', id FROM intent UNION ALL SELECT 'CONTRIBUTOR', id FROM ctr UNION ALL SELECT 'EXPERTISE', id FROM expid)",
+    ),
+    "kdegree": (("kgraph",), "SELECT id, count(*) AS degree FROM (SELECT from_node_id AS id FROM kgraph UNION ALL SELECT to_node_id FROM kgraph) GROUP BY 1"),
+    "ktop": (("knodes", "kdegree"), "SELECT n.id, node_type, entity_id, coalesce(degree, 0) AS degree FROM knodes n LEFT JOIN kdegree USING (id) ORDER BY 4 DESC, node_type, n.id LIMIT 200"),
     "nodes": ((), " UNION ALL ".join(f"SELECT {e} AS id, '{k}' AS node_type FROM {t}" for t, e, k in NODES)),
     "edges": ((), " UNION ALL ".join(f"SELECT {a} AS from_id, {b} AS to_id, '{k}' AS edge_type FROM {t}" for t, a, b, k in EDGES)),
     "entities": ((), f"SELECT {select_list(ENTITY)} FROM part"),

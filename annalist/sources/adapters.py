@@ -30,7 +30,7 @@ RECORDS = {
     "title": "'Adopt m' || CAST(doc_id AS STRING)",
     "author": "'User ' || CAST(doc_id % 150 AS STRING) || ' <u' || CAST(doc_id % 150 AS STRING) || '@example.com>'",
     "ts": "CAST(NULL AS TIMESTAMP)",
-    "content": "text || chr(10) || 'Service ' || source || ' uses ' || lang || '.' || chr(10) || 'Module' || CAST(doc_id AS STRING) || ' depends on Module' || CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING) || ' and token m' || CAST(doc_id AS STRING) || ' calls storage. Reduce latency of m' || CAST(doc_id AS STRING) || '.' || CASE WHEN doc_id % 5 = 0 THEN ' Breaking schema change.' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'See docs/adr/' || CAST(doc_id + 1 AS STRING) || '.md' ELSE '' END",
+    "content": "text || chr(10) || 'Service ' || source || ' uses ' || lang || '.' || chr(10) || 'Module' || CAST(doc_id AS STRING) || ' depends on Module' || CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING) || ' and token m' || CAST(doc_id AS STRING) || ' calls storage. Reduce latency of m' || CAST(doc_id AS STRING) || '.' || CASE WHEN doc_id % 5 = 0 THEN ' Breaking schema change.' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'See docs/adr/' || CAST(doc_id + 1 AS STRING) || '.md' ELSE '' END || CASE doc_id % 11 WHEN 0 THEN chr(10) || 'As in docs/adr/' || CAST(doc_id + 2 AS STRING) || '.md.' WHEN 1 THEN chr(10) || 'The [record](docs/adr/' || CAST(doc_id + 3 AS STRING) || '.md) says more' ELSE '' END",
     "status": "CASE doc_id % 3 WHEN 0 THEN 'Accepted' WHEN 1 THEN 'Superseded' ELSE '' END",
 }
 

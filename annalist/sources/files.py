@@ -46,13 +46,13 @@ def markdown_records(spark: SparkSession, root: str, folder: str, kind: str, rep
 
 
 # fixed values: folders that hold no sources
-SKIPPED = (".git", "vendor", "bin", "node_modules", "build", "dist", "out", "target", ".next", ".nuxt", ".output", ".cache", "__pycache__")
+SKIPPED = (".git", "vendor", "bin", "node_modules", "build", "dist", "out", "target", ".next", ".nuxt", ".output", ".cache", "__pycache__", "_build", "coverage", ".agents")
 
 
-def source_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(path, text) of the files below root outside skipped folders; generated Go files fall out."""
+def source_tree(spark: SparkSession, root: str, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """(path, text) of the files below root outside skipped folders (and those of a project's own tools, if named); generated Go files fall out."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
     path = F.regexp_replace(F.col("_metadata.file_path"), "^.*?" + root.rstrip("/").replace(".", "[.]") + "/", "")
     rows = files.select(path.alias("path"), F.col("value").alias("text"))
     head = F.array_join(F.slice(F.split("text", "\n"), 1, 5), "\n")
-    return rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED])) & ~(F.col("path").endswith(".go") & head.contains("Code generated")))
+    return rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in (*SKIPPED, *skipped)])) & ~(F.col("path").endswith(".go") & head.contains("Code generated")))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,13 +28,45 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_kept: dict[tuple, tuple[str, object]] = {}
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> tuple:
+    """What tells one state of some Parquet tables from another: their files and the time of their folder."""
+    out = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        status = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place)
+        out.append((path, status.getModificationTime(), hash(tuple(sorted(spark.read.parquet(path).inputFiles())))))
+    return tuple(out)
+
+
+def once(spark: SparkSession, key: tuple, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that build gives, written to the shared folder at its first use in this application and read from there afterwards.
+
+    key: what the table depends on (see ``fingerprint``); a changed input gives a new table.
+    """
+    known = (spark.sparkContext.applicationId, key, name)
+    if known not in _kept:
+        with_checkpoints(spark)
+        df, path = build(), f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        _kept[known] = (path, df.schema)
+    path, schema = _kept[known]
+    return spark.read.schema(schema).parquet(path)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "id", kept: tuple[str, ...] = ("created_at",), version: str = "version") -> DataFrame:
-    """old with new's rows put in by key: the last version wins; the kept columns stay as they were first written."""
+    """old with new's rows put in by key: the last version wins; the kept columns stay as they were first written.
+
+    Both ends come from one aggregate, which combines on the map side, so a key that many rows share is no hot task.
+    """
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    last = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(version))
-    first = Window.partitionBy(key).orderBy("_new", version).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = both.withColumns({c: F.first(c).over(first) for c in kept}).withColumn("_rank", F.row_number().over(last))
-    return rows.where("_rank = 1").select(*old.columns)
+    at = F.struct("_new", version)
+    rest = [c for c in old.columns if c != key]
+    firsts = [F.min_by(F.struct(c), at).alias(f"_{c}") for c in kept]
+    rows = both.groupBy(key).agg(F.max_by(F.struct(*rest), at).alias("_last"), *firsts)
+    return rows.select(key, *[F.col(f"_{c}.{c}").alias(c) if c in kept else F.col(f"_last.{c}").alias(c) for c in rest]).select(*old.columns)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

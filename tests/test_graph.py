@@ -119,4 +119,4 @@ def test_whole_call_graph_of_the_tables(spark):
                 distance[b] = distance[at] + 1
                 queue.append(b)
     want = {(a, b, distance[a]) for a in queue if distance[a] < 10 for b in out[a]}
-    assert {tuple(r) for r in entry.queries()["call_graph_full"](spark, sf).collect()} == want
+    assert {tuple(r) for r in entry.queries()["call_graph"](spark, sf).collect()} == want

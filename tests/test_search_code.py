@@ -14,9 +14,9 @@ def test_query_parser():
 
 def test_text_search(spark):
     docs = spark.createDataFrame([("evt_1", "EVENT", "Expose Repository Intelligence Through MCP Tools", "MCP integration"), ("evt_2", "EVENT", "Update Copyright Year", "LICENSE README"), ("fact_1", "FACT", "Metadata Panel DEPENDS_ON user-service", "user service integration boundary")], "id string, entity_type string, title string, content string")
-    find = lambda text, kind="": [r.id for r in search.bm25(docs, text, kind).collect()]
+    find = lambda text, kind="": [r.id for r in search.bm25(search.index_documents(docs), text, kind).collect()]
     assert find("MCP", "EVENT") == ["evt_1"] and find("MCP", "DECISION") == [] and find("user-service") == ["fact_1"] and find("integ mcp") == ["evt_1"] and find("") == []
-    assert [(r.entity_id, r.score) for r in search.text_hits(search.bm25(docs, "integration")).orderBy("entity_id").collect()] == [("evt_1", 75), ("fact_1", 75)]
+    assert [(r.entity_id, r.score) for r in search.text_hits(search.bm25(search.index_documents(docs), "integration")).orderBy("entity_id").collect()] == [("evt_1", 75), ("fact_1", 75)]
 
 
 def test_field_search(spark):
@@ -91,12 +91,19 @@ def test_calls(spark):
 
 @pytest.mark.parametrize(
     "question,kind,subject",
-    [("What is the struct Handler?", "concept", "Handler"), ("who owns Storage?", "ownership", "Storage"), ("Why are we using Redis?", "rationale", "Redis"), ("what depends on auth", "dependency", "auth"), ("ABC-12: add login", "task", "add login"), ("add login", "task", "add login"), ("What depends on fact f1?", "fact_impact", "f1"), ("what is this repository?", "overview", ""), ("redis cache", "search", "redis cache")],
+    [("What is the struct Handler?", "concept", "Handler"), ("who owns Storage?", "ownership", "Storage"), ("Why are we using Redis?", "rationale", "Redis"), ("what depends on auth", "dependency", "auth"), ("ABC-12: add login", "task", "add login"), ("add login", "task", "add login"), ("What depends on fact f1?", "dependency", "fact f1"), ("what is this repository?", "concept", "this repository"), ("Why was decision d_1 made?", "decision_guidance", "d_1"), ("what caused event e-2", "event_guidance", "e-2"), ("redis cache", "search", "redis cache")],
 )
 def test_routes(question, kind, subject):
     assert answers.route(question) == answers.Route(kind, subject)
 
 
+def test_strict_routes():
+    """Asked as a question by id, the same words name an entity."""
+    assert answers.strict_route("What depends on fact f1?") == answers.Route("fact_impact", "f1")
+    assert answers.strict_route("what is this repository?") == answers.Route("overview", "")
+    assert answers.strict_route("redis cache") is None
+
+
 def test_answer_helpers(spark):
     assert answers.ask_terms("Who created the Redis cache, redis?") == ["redis", "cache"]
     assert answers.capped(list(range(12)), "ship") == (list(range(10)), 2)
