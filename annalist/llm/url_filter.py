@@ -5,7 +5,8 @@ hashed n-grams of host and path decides; it is fitted on the small labelled tabl
 is fixed, so the weights (BUCKETS doubles) are all that goes to the executors.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-judged by the model on empty text (its intercept).  Repeated rows get equal verdicts.
+judged by the model on empty text (its intercept).  Repeated rows get equal verdicts, rows of a null page_id their own; an empty table
+gives no rows; urls of any length are judged whole; extra columns are not read.
 """
 
 from __future__ import annotations

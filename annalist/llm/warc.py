@@ -12,7 +12,8 @@ most TRAIN_BYTES) or, where those are few, made of them; it changes sizes, never
 Each attempt of a task writes files of its own names; the stored listing names those of finished tasks, and only they are read.
 
 Defined results: null html is an empty payload; a null url has no target; pages with a null page_id are responses;
-equal rows are kept as records of their own (the first page_id's are all responses); an empty table gives no archive.
+equal rows are kept as records of their own (the first page_id's are all responses); an empty table gives no archive; a very long
+payload is one record of one frame; extra columns are not read.
 """
 
 from __future__ import annotations

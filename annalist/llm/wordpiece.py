@@ -8,10 +8,10 @@ no edge follows failure links and adds their counts, so lengths come without bui
 
 Pieces that start a word carry the vocabulary's mark of a preceding space; all others continue one.
 Every single byte is a piece, so no word lacks pieces.  All distinct words of a slice of text are run side
-by side, one byte of each at a time.
+by side, one byte of each at a time; the few that are longer than all others are finished one by one.
 
-Defined results: null and empty texts have 0 words and 0 tokens; repeated rows get equal counts; extra
-columns are not read.
+Defined results: null and empty texts have 0 words and 0 tokens; repeated rows get equal counts, rows of a null doc_id their own; an
+empty table gives no rows; texts and words of any length are counted whole; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,16 +22,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _rows, byte_letters, file_path
+from .bpe import Hashed, _rows, byte_letters, file_path
 from .common import arrow_map, table, text_slices
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 400_000
+#: Words that a worker keeps, bytes that these have in all, and words that are few enough to go one by one.
+CACHE, CACHE_BYTES, FEW = 400_000, 16 << 20, 8
 _loaded: dict[str, Automaton] = {}
 
 
 class Automaton:
-    """start, pieces: state after the word mark and the two roots; edge: next state by (state, byte), -1 for none."""
+    """States 0 and 1 are the roots of a word's start and of later pieces; an edge's key is state * 256 + byte."""
 
     def __init__(self, first: list[bytes], later: list[bytes]):
         """first: pieces at a word's start (without mark); later: pieces inside a word.  Any byte must be a piece of each kind."""
@@ -53,10 +54,9 @@ class Automaton:
         n = len(children)
         self.link, self.pop = np.full(n, -1, np.int64), np.zeros(n, np.int64)
         self.n = n
-        self.edge = np.full((n, 256), -1, np.int32)
-        for at, edges in enumerate(children):
-            for byte, to in edges.items():
-                self.edge[at, byte] = to
+        self.edges = {at * 256 + byte: to for at, edges in enumerate(children) for byte, to in edges.items()}
+        self.edge = Hashed()
+        self.edge.put(np.array(list(self.edges), np.int64), np.array(list(self.edges.values()), np.int32))
         # by depth: a piece's own end pops itself; else follow the parent's links until the byte has an edge
         parent = {to: (at, byte) for at, edges in enumerate(children) for byte, to in edges.items()}
         for state in sorted(parent, key=depth.__getitem__):
@@ -69,6 +69,7 @@ class Automaton:
                 link, pops = int(self.link[link]), pops + int(self.pop[link])
             self.link[state], self.pop[state] = (children[link][byte], pops) if link >= 0 else (-1, 0)
         self.counts: dict[bytes, int] = {}
+        self.size = 0
 
     def run(self, words: list[bytes]) -> np.ndarray:
         """Number of pieces of each word, all words one byte at a time."""
@@ -81,7 +82,11 @@ class Automaton:
         live, at = len(words), 0
         while live:
             live = int(np.searchsorted(-lengths, -at, "left"))  # those longer than `at`
-            byte = data[starts[:live] + at]
+            if live <= FEW and at:
+                for i in range(live):
+                    state[i], count[i] = self._finish(int(state[i]), int(count[i]), data[starts[i] + at : starts[i] + lengths[i]].tobytes())
+                break
+            byte = data[starts[:live] + at].astype(np.int64)
             self._step(state, count, live, byte)
             at += 1
         todo = np.flatnonzero(state != 1)  # pop what is left until the root of later pieces
@@ -93,27 +98,38 @@ class Automaton:
         out[order] = count
         return out
 
+    def _finish(self, state: int, count: int, rest: bytes) -> tuple[int, int]:
+        """State and count after the rest of one word."""
+        edges, link, pop = self.edges, self.link, self.pop
+        for byte in rest:
+            while (to := edges.get(state * 256 + byte)) is None:
+                count += int(pop[state])
+                state = int(link[state])
+            state = to
+        return state, count
+
     def _step(self, state: np.ndarray, count: np.ndarray, live: int, byte: np.ndarray) -> None:
-        to = self.edge[state[:live], byte]
+        to = self.edge.get(state[:live] * 256 + byte)
         stuck = np.flatnonzero(to < 0)
         while len(stuck):
             s = state[stuck]
             count[stuck] += self.pop[s]
             state[stuck] = self.link[s]
-            to[stuck] = self.edge[state[stuck], byte[stuck]]
+            to[stuck] = self.edge.get(state[stuck] * 256 + byte[stuck])
             stuck = stuck[to[stuck] < 0]
         state[:live] = to
 
     def count_words(self, found: list[list[bytes]]) -> np.ndarray:
         """Pieces of all words of each text."""
-        if len(self.counts) > CACHE:
-            self.counts = {}
+        if len(self.counts) > CACHE or self.size > CACHE_BYTES:
+            self.counts, self.size = {}, 0
         new = set()
         for words in found:
             new.update(words)
         new -= self.counts.keys()
         if new:
             new = list(new)
+            self.size += sum(map(len, new))
             self.counts.update(zip(new, self.run(new).tolist(), strict=True))
         return np.array([sum(map(self.counts.__getitem__, words)) for words in found], np.int64)
 

@@ -153,6 +153,9 @@ def test_wordpiece_counts(docs, empty):
         assert machine.run(words).tolist() == [brute(w) for w in words]
 
     check()
+    rng = np.random.default_rng(7)
+    for words in ([bytes(rng.integers(97, 105, n).astype(np.uint8)) for n in (5000, 3, 900, 1, 40)], [b"ab" * 3000], [b"x"] * 3):
+        assert machine.run(words).tolist() == [brute(w) for w in words]
     got = sorted((r.doc_id or 0, r.n_words, r.n_tokens) for r in wordpiece.token_counts(docs).collect())
     want = sorted((r.doc_id or 0, len((r.text or "").encode().split()), sum(map(brute, (r.text or "").encode().split()))) for r in docs.collect())
     assert got == want
