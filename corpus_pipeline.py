@@ -2,6 +2,9 @@
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir), its result is written as
 Parquet and read again as the next stage's docs.  All but the last keep the columns of ``documents``.
+
+Defined results of every stage: an empty table gives no rows; texts of any length are read whole; extra columns, whatever their names,
+pass through (the last stage does not read them); repeated rows are judged alike; a null in any other column changes nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from annalist.llm.quality_rules import FEWEST_WORDS, LEVEL, REPEAT_PERCENT, base
 def classify_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the threshold, by a classifier fitted on this stage's labelled documents.
 
-    The rows themselves pass through, so no join is needed; null and empty texts are scored like any other.
+    The rows themselves pass through, so no join is needed; null and empty texts are scored like any other; rows of a null doc_id are scored
+    and never learnt from; without usable labels every row has one score, which keeps or drops all.
     """
     model = train(docs, table(spark, sf_dir, "labels"))
     scored, column = with_statistics(docs, "text", STATISTICS, statistics)
@@ -37,19 +41,19 @@ def _verdicts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the compression bands keep; null and empty texts go."""
+    """Documents that the base rules and the compression bands keep; null and empty texts go, a null doc_id is no reason."""
     judged, column = with_statistics(docs, "text", ("kept",), _verdicts)
     return judged.where(F.col(f"{column}.kept") == 1).select(*named(docs))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group; rows of a null doc_id stay, and equal rows of a kept doc_id too."""
+    """The document of the smallest doc_id of each group; rows of a null doc_id stay, all rows of a kept doc_id too, and texts without words."""
     dropped = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(stored(dropped, "dropped"), "doc_id", "left_anti").select(*named(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, as op5 returns them."""
+    """The pieces of all documents, as op5 returns them; null and empty texts are their end id, a null doc_id is kept."""
     return pack(docs, digest=True)
 
 
