@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as t
+from . import symbols
+from .symbols import imports  # noqa: F401
 
 # fixed values: file suffixes and their languages
 SUFFIXES = {
@@ -20,37 +19,6 @@ SUFFIXES = {
     ".sh": "bash", ".bash": "bash", ".sql": "sql", ".dart": "dart", ".ex": "elixir", ".exs": "elixir", ".zig": "zig",
 }
 
-#: For each language: (pattern of a declaration's line, entity, prefix of its signature).  Group 1 is the name.
-GRAMMAR = {
-    "go": [(r"^type\s+(\w+)\s+struct\b", "struct", "type"), (r"^type\s+(\w+)\s+interface\b", "interface", "type"), (r"^type\s+(\w+)\s+", "type_alias", "type"), (r"^func\s+(?!init\b)(\w+)\s*[\[(]", "function", "func"), (r"^func\s+\(\s*\w*\s*\*?\w+[^)]*\)\s*(\w+)\s*\(", "method", "func")],
-    "typescript": [(r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", "struct", "class"), (r"^\s*(?:export\s+)?interface\s+(\w+)", "interface", "interface"), (r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)", "function", "function")],
-    "rust": [(r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)", "struct", "struct"), (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(\w+)", "interface", "trait"), (r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", "function", "fn")],
-    "java": [(r"^\s*(?:(?:public|private|protected|static|final|abstract|sealed)\s+)*(?:class|enum|record)\s+(\w+)", "struct", "class"), (r"^\s*(?:(?:public|private|protected|static)\s+)*interface\s+(\w+)", "interface", "interface")],
-    "csharp": [(r"^\s*(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly)\s+)*(?:class|struct|record)\s+(\w+)", "struct", "class"), (r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(\w+)", "interface", "interface")],
-    "ruby": [(r"^\s*class\s+([\w:]+)", "struct", "class"), (r"^\s*module\s+([\w:]+)", "package", "module"), (r"^def\s+([\w?!=]+)", "function", "def")],
-    "kotlin": [(r"^\s*(?:(?:public|private|internal|open|abstract|sealed|data|enum)\s+)*(?:class|object)\s+(\w+)", "struct", "class"), (r"^\s*(?:(?:public|private|internal|sealed|fun)\s+)*interface\s+(\w+)", "interface", "interface"), (r"^(?:(?:public|private|internal|inline|suspend)\s+)*fun\s+(?:<[^>]*>\s*)?(\w+)", "function", "fun")],
-    "swift": [(r"^\s*(?:(?:public|private|internal|open|final)\s+)*(?:class|struct|enum|actor)\s+(\w+)", "struct", "class"), (r"^\s*(?:(?:public|private|internal)\s+)*protocol\s+(\w+)", "interface", "protocol"), (r"^(?:(?:public|private|internal)\s+)*func\s+(\w+)", "function", "func")],
-    "php": [(r"^\s*(?:(?:final|abstract|readonly)\s+)*class\s+(\w+)", "struct", "class"), (r"^\s*interface\s+(\w+)", "interface", "interface"), (r"^function\s+&?(\w+)", "function", "function")],
-    "cpp": [(r"^\s*(?:class|struct)\s+(\w+)[^;]*$", "struct", "class"), (r"^(?!\s*(?:if|for|while|switch|return|else)\b)[\w:<>&*~\s]+?\b(\w+)\s*\([^;]*\)\s*(?:const\s*)?\{?\s*$", "function", "")],
-    "c": [(r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{", "struct", "struct"), (r"^\}\s*(\w+)\s*;", "struct", "struct"), (r"^(?!\s*(?:if|for|while|switch|return|else)\b)[\w*\s]+?\b(\w+)\s*\([^;]*\)\s*\{?\s*$", "function", "")],
-    "scala": [(r"^\s*(?:(?:private|protected|final|sealed|abstract|case|implicit)\s+)*(?:class|object)\s+(\w+)", "struct", "class"), (r"^\s*(?:sealed\s+)?trait\s+(\w+)", "interface", "trait"), (r"^def\s+(\w+)", "function", "def")],
-    "lua": [(r"^(?:local\s+)?(\w+)\s*=\s*\{", "struct", "table"), (r"^(?:local\s+)?function\s+(\w+)\s*\(", "function", "function")],
-    "bash": [(r"^\s*(?:function\s+)?([\w-]+)\s*\(\)", "function", ""), (r"^\s*function\s+([\w-]+)\s*\{", "function", "")],
-    "sql": [(r"(?i)^\s*create\s+(?:temp(?:orary)?\s+)?table\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)", "struct", "table"), (r"(?i)^\s*create\s+(?:or\s+replace\s+)?view\s+(?:if\s+not\s+exists\s+)?[\"`]?([\w.]+)", "type_alias", "view")],
-    "dart": [(r"^\s*(?:abstract\s+)?class\s+(\w+)", "struct", "class"), (r"^(?!\s*(?:if|for|while|switch|return|else|import)\b)[\w<>?]+\s+(\w+)\s*\([^;]*\)\s*(?:async\s*)?(?:\{|=>)", "function", "")],
-    "elixir": [(r"^\s*defmodule\s+([\w.]+)", "struct", "defmodule"), (r"^\s*defp?\s+(\w+[?!]?)", "function", "def")],
-    "zig": [(r"^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*(?:extern\s+|packed\s+)?struct\b", "struct", "struct"), (r"^(?:pub\s+)?fn\s+(\w+)", "function", "fn")],
-}
-GRAMMAR["javascript"] = GRAMMAR["typescript"]
-IMPORTS = {
-    "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"([^"]+)"', "typescript": r"""^\s*import\b.*?["']([^"']+)["']""", "javascript": r"""^\s*import\b.*?["']([^"']+)["']""", "rust": r"^\s*use\s+([^;]+);", "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)",
-    "csharp": r"^\s*using\s+([\w.]+)\s*;", "ruby": r"""^\s*require(?:_relative)?\s+["']([^"']+)""", "kotlin": r"^\s*import\s+([\w.*]+)", "swift": r"^\s*import\s+(\w+)", "php": r"""^\s*(?:use\s+([\w\\]+)|(?:require|include)(?:_once)?\s*\(?["']([^"']+))""",
-    "cpp": r'^\s*#include\s*[<"]([^>"]+)', "c": r'^\s*#include\s*[<"]([^>"]+)', "scala": r"^\s*import\s+([\w.{}, ]+)", "lua": r"""require\s*\(?["']([^"']+)""", "bash": r"^\s*(?:source|\.)\s+(\S+)", "dart": r"""^\s*(?:import|export)\s+["']([^"']+)""",
-    "elixir": r"^\s*(?:import|alias|require|use)\s+([\w.]+)", "zig": r'@import\("([^"]+)"\)',
-}
-SCHEMA = "path string, entity_type string, name string, qualified_name string, receiver string, start_line int, end_line int, signature string"
-
-
 def language(path: Column) -> Column:
     """The language by suffix; null where code is not indexed (tests of Go and Python included)."""
     low = F.lower(path)
@@ -61,58 +29,63 @@ def language(path: Column) -> Column:
     return F.when(low.endswith("_test.go") | (base.startswith("test_") & base.endswith(".py")), None).otherwise(out)
 
 
-def python_symbols(path: str, text: str) -> Iterator[tuple]:
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError):
-        return
-    kinds = (ast.FunctionDef, ast.AsyncFunctionDef)
-    for node in tree.body:
-        if isinstance(node, ast.ClassDef):
-            yield path, "struct", node.name, f"{path}.{node.name}", None, node.lineno, node.end_lineno, f"class {node.name}"
-            for x in node.body:
-                if isinstance(x, kinds):
-                    yield path, "method", x.name, f"{path}.{node.name}.{x.name}", node.name, x.lineno, x.end_lineno, f"def {x.name}"
-        elif isinstance(node, kinds):
-            yield path, "function", node.name, f"{path}.{node.name}", None, node.lineno, node.end_lineno, f"def {node.name}"
-
-
-def symbols(path: str, name: str, text: str) -> Iterator[tuple]:
-    """Outermost declarations of one file, in order."""
-    yield path, "file", path.rpartition("/")[2], path, None, 1, text.count("\n") + 1, path
-    if name == "python":
-        yield from python_symbols(path, text)
-        return
-    rules = [(re.compile(p), kind, prefix) for p, kind, prefix in GRAMMAR.get(name, ())]
-    for n, line in enumerate(text.split("\n"), 1):
-        for pattern, kind, prefix in rules:
-            if m := pattern.match(line):
-                receiver = None
-                if kind == "method" and (r := re.match(r"^func\s+\(\s*\w*\s*\*?(\w+)", line)):
-                    receiver = r[1]
-                yield path, kind, m[1].rpartition(".")[2] if name == "elixir" else m[1], f"{path}.{receiver + '.' if receiver else ''}{m[1]}", receiver, n, n, f"{prefix} {m[1]}".strip() + ("()" if name == "bash" else "")
-                break
-
-
-def imports(name: str, text: str) -> list[str]:
-    if name == "python":
-        pattern = r"^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+))"
-    else:
-        pattern = IMPORTS.get(name)
-    found = [next(g for g in m.groups() if g) for line in text.split("\n") if pattern and (m := re.search(pattern, line))]
-    return list(dict.fromkeys(x.strip().removeprefix("./") for x in found))
+def _parsed(files: DataFrame, parse: Callable, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([row for path, lang, text in zip(frame.path, frame.language, frame.text, strict=True) for row in parse(path, lang, text or "")], columns=names)
+
+    return files.withColumn("language", language(F.col("path"))).where("language IS NOT NULL").select("path", "language", "text").mapInPandas(run, schema)
+
+
+def first_symbols(path: str, lang: str, text: str) -> list[tuple]:
+    """A file's symbols; of equal kinds and qualified names the first."""
+    return [*{(x[1], x[3]): x for x in reversed([*symbols.symbols(path, lang, text)])}.values()]
 
 
 def parse_symbols(files: DataFrame) -> DataFrame:
-    """files(path, text) to one row per symbol; equal qualified names, which begin with the path, keep the first of their file."""
+    """files(path, text) to one row per symbol.  Qualified names begin with the path, in Go with the package: there files of one package may
+    share a name, which keeps its first file's row."""
+    rows = _parsed(files, first_symbols, symbols.SCHEMA)
+    rest = [c for c in rows.columns if c not in ("entity_type", "qualified_name")]
+    go = rows.where("language = 'go'").groupBy("entity_type", "qualified_name").agg(F.min(F.struct(*rest)).alias("r")).select("entity_type", "qualified_name", "r.*")
+    return rows.where("language <> 'go'").unionByName(go)
+
+
+def package_symbols(rows: DataFrame) -> DataFrame:
+    """The packages of parsed symbols, in their columns: the root's is named main, others by their last folder."""
+    base = F.when(F.col("package_path") == ".", "main").otherwise(F.element_at(F.split("package_path", "/"), -1))
+    own = rows.groupBy("package_path").agg(F.min("language").alias("language"))
+    made = {"path": F.col("package_path"), "entity_type": F.lit("package"), "name": base, "qualified_name": F.col("package_path"), "package_path": F.col("package_path"), "language": F.col("language"), "signature": F.lit("")}
+    return own.select(*[made.get(c, F.lit(None).cast(kind)).alias(c) for c, kind in rows.dtypes])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        for frame in frames:
-            rows = [s for path, lang, text in zip(frame.path, frame.language, frame.text, strict=True) for s in {(x[1], x[3]): x for x in reversed([*symbols(path, lang, text or "")])}.values()]
-            yield pd.DataFrame(rows, columns=names)
 
-    return files.withColumn("language", language(F.col("path"))).where("language IS NOT NULL").select("path", "language", "text").mapInPandas(run, SCHEMA)
+def parse_claims(files: DataFrame) -> DataFrame:
+    """files(path, text) to the relations that they name (see ``symbols.claims``)."""
+    return _parsed(files, symbols.claims, symbols.CLAIMS)
+
+
+def resolve_claims(claims: DataFrame, entities: DataFrame, module: str = "") -> DataFrame:
+    """(relationship_type, from_id, to_id, line): claims whose ends are entities, joined by name; each relation once, at its first line.
+
+    entities: (id, entity_type, name, qualified_name, package_path).  IMPORTS lead to a package: in Go one below the module's path.
+    """
+    types = entities.where("entity_type IN ('struct', 'interface', 'type_alias')").select("package_path", F.col("name"), "entity_type", "id")
+    least = types.groupBy("package_path", "name").agg(F.min(F.when(F.col("entity_type") == "struct", F.col("id"))).alias("struct_id"), F.min(F.when(F.col("entity_type") == "interface", F.col("id"))).alias("interface_id"), F.min("id").alias("type_id"))
+    left = least.select("package_path", F.col("name").alias("from_name"), F.col("struct_id").alias("from_id"))
+    typed = claims.where("relationship_type IN ('DEPENDS_ON', 'IMPLEMENTS')").join(left, ["package_path", "from_name"]).join(least.withColumnRenamed("name", "to_name").drop("struct_id"), ["package_path", "to_name"])
+    typed = typed.select("relationship_type", "from_id", F.when(F.col("relationship_type") == "IMPLEMENTS", F.col("interface_id")).otherwise(F.col("type_id")).alias("to_id"), "line").where("from_id <> to_id")
+    packages = entities.where("entity_type = 'package'").groupBy("package_path").agg(F.min("id").alias("package_id"))
+    files = entities.where("entity_type = 'file'").groupBy(F.col("qualified_name").alias("from_name")).agg(F.min("id").alias("from_id"))
+    target = F.col("to_name")
+    if module:
+        target = F.when(F.col("path").endswith(".go"), F.when(target == module, ".").when(target.startswith(module + "/"), F.substring(target, len(module) + 2, 1 << 20))).otherwise(target)
+    imported = claims.where("relationship_type = 'IMPORTS'").withColumn("to_package", target).join(files, "from_name").join(packages.select(F.col("package_path").alias("to_package"), F.col("package_id").alias("to_id")), "to_package")
+    ends = entities.where("entity_type = 'endpoint'").select("package_path", F.col("name").alias("to_name"), F.col("id").alias("to_id"))
+    exposed = claims.where("relationship_type = 'EXPOSES_ENDPOINT'").join(packages.withColumnRenamed("package_id", "from_id"), "package_path").join(ends, ["package_path", "to_name"])
+    keep = ("relationship_type", "from_id", "to_id", "line")
+    return typed.unionByName(imported.select(*keep)).unionByName(exposed.select(*keep)).where("from_id IS NOT NULL AND to_id IS NOT NULL").groupBy(*keep[:3]).agg(F.min("line").alias("line"))
 
 
 def module_roots(paths: DataFrame, markers: DataFrame) -> DataFrame:

@@ -33,29 +33,90 @@ def test_best_hit_prefers_score_then_source(spark):
 
 
 FILES = {
-    "web/api.ts": ("export class Client {\n}\nexport async function load() {\n}\nimport x from './util'", {"web/api.ts.Client", "web/api.ts.load"}),
-    "app/h.py": ("import os\nclass Handler:\n    def run(self): pass\ndef health(): pass", {"app/h.py.Handler", "app/h.py.Handler.run", "app/h.py.health"}),
-    "lib.rs": ("pub struct S {}\npub trait T {}\nfn run() {}", {"lib.rs.S", "lib.rs.T", "lib.rs.run"}),
-    "H.java": ("public class H {\n}\ninterface I {}", {"H.java.H", "H.java.I"}),
-    "h.go": ("type A struct {\n}\ntype B interface {\n}\nfunc init() {}\nfunc Run(x int) {}\nfunc (a *A) Do() {}", {"h.go.A", "h.go.B", "h.go.Run", "h.go.A.Do"}),
-    "s.sql": ("CREATE TABLE IF NOT EXISTS users (id int);\ncreate view v as select 1;", {"s.sql.users", "s.sql.v"}),
-    "h.ex": ("defmodule App.Handler do\n  def run do\n", {"h.ex.App.Handler", "h.ex.run"}),
-    "h.sh": ("run() {\n}", {"h.sh.run"}),
-    "h.c": ("typedef struct {\n} Box;\nint main(void) {\n", {"h.c.Box", "h.c.main"}),
-    "h.rb": ("module M\nclass K\nend", {"h.rb.M", "h.rb.K"}),
-    "broken.py": ("def (", set()),
+    "web/api.ts": ("export class Client {\n  get(u: string) {\n    if (u) { }\n  }\n}\nexport async function load() {\n  function inner() {}\n}\nimport x from './util'", {"Client": (1, 5, "class Client"), "Client.get": (2, 4, "Client.get(...)"), "load": (6, 8, "function load(...)")}),
+    "app/h.py": ("import os\nclass Handler:\n    def run(self): pass\ndef health(): pass", {"Handler": (2, 3, "class Handler"), "Handler.run": (3, 3, "Handler.run(...)"), "health": (4, 4, "def health(...)")}),
+    "lib.rs": ("pub struct S {}\npub trait T { fn q(); }\nimpl<'a> T for S {\n  pub fn q() { let c = '}'; }\n}\nfn run() {}", {"S": (1, 1, "struct S"), "T": (2, 2, "trait T"), "S.q": (4, 4, "S.q(...)"), "run": (6, 6, "fn run(...)")}),
+    "H.java": ('public class H {\n  private int f = g();\n  H() {}\n  @Override public String toString() { return "{"; }\n  void run(int a,\n     int b) {\n  }\n  class B { void z() {} }\n}\ninterface I { void m(); }', {"H": (1, 9, "class H"), "H.toString": (4, 4, "H.toString(...)"), "H.run": (5, 7, "H.run(...)"), "I": (10, 10, "interface I")}),
+    "H.cs": ("namespace N {\n public class H : B {\n  public H() { }\n  public async Task<int> Run(int x) {\n  }\n  int P { get; set; }\n  void E() => Foo();\n }\n}", {"H": (2, 8, "class_declaration H"), "H.Run": (4, 5, "H.Run(...)"), "H.E": (7, 7, "H.E(...)")}),
+    "s.sql": ("CREATE TABLE IF NOT EXISTS users (\n id int\n);\ncreate view v as select 1;", {"users": (1, 3, "table users"), "v": (4, 4, "view v")}),
+    "h.ex": ("defmodule App.Handler do\n  def run do\n  end\nend\n", {"App.Handler": (1, 4, "defmodule App.Handler"), "run": (2, 3, "def run(...)")}),
+    "h.sh": ("run() {\n}", {"run": (1, 2, "run()")}),
+    "h.c": ("typedef struct {\n} Box;\nint main(void) {\n}\nint proto(int);\n", {"Box": (1, 2, "struct Box"), "main": (3, 4, "main(...)")}),
+    "h.cpp": ("class H {\n public:\n  int run(int a) const { return a; }\n  void decl();\n};\nclass Fwd;\n", {"H": (1, 5, "class H"), "H.run": (3, 3, "H::run(...)")}),
+    "h.rb": ("module M\nend\nclass K\n  def a\n    if x\n    end\n  end\n  def self.b; end\nend", {"M": (1, 2, "module M"), "K": (3, 9, "class K"), "K.a": (4, 7, "K#a(...)")}),
+    "h.kt": ("class H {\n  fun run() = 1\n}\nfun top() {}\n", {"H": (1, 3, "class H"), "H.run": (2, 2, "H.run(...)"), "top": (4, 4, "fun top(...)")}),
+    "h.swift": ("struct H {\n  func run() -> Int {\n    1\n  }\n}\nprotocol P { func q() }\n", {"H": (1, 5, "class H"), "H.run": (2, 4, "H.run(...)"), "P": (6, 6, "protocol P")}),
+    "h.php": ("<?php\nclass H {\n  public function run($a) { }\n}\nfunction top() {\n}\n", {"H": (2, 4, "class H"), "H.run": (3, 3, "H->run(...)"), "top": (5, 6, "function top(...)")}),
+    "h.scala": ("object H {\n  def run(): Int = {\n    1\n  }\n}\ntrait T\n", {"H": (1, 5, "object H"), "H.run": (2, 4, "H.run(...)"), "T": (6, 6, "trait T")}),
+    "h.lua": ("local H = {\n}\nfunction H.run(x)\n  if x then\n  end\nend\n", {"H": (1, 2, "table H"), "H.run": (3, 6, "H.run(...)")}),
+    "h.dart": ("class H {\n  H(this.a);\n  void run() {\n  }\n}\n", {"H": (1, 5, "class H"), "H.run": (3, 4, "H.run(...)")}),
+    "h.zig": ("pub const H = struct {\n  pub fn run() void {\n  }\n};\n", {"H": (1, 4, "struct H"), "H.run": (2, 3, "H.run(...)")}),
+    "broken.py": ("def (", {}),
 }
+GO = """package a
+
+import (
+	"net/http"
+	q "m/pkg/b"
+)
+
+type T struct {
+	X, Y int
+	*U
+	M map[string][]func(a int) error
+}
+
+type U interface {
+	Do(x int) error
+	Z()
+}
+
+type (
+	V struct{}
+	W = string
+)
+
+var _ U = (*T)(nil)
+
+func init() {}
+
+// func Gone() {
+func Run(f interface{}) interface{} {
+	return nil
+}
+
+func (t *T) Do(x int) error {
+	return nil
+}
+
+func HandleX(w http.ResponseWriter) {}
+"""
 
 
 def test_symbols(spark):
-    rows = [(p, t) for p, (t, _) in FILES.items()] + [("x_test.go", "func A() {}"), ("a/test_x.py", "def a(): pass"), ("readme.md", "# x")]
+    rows = [(p, t) for p, (t, _) in FILES.items()] + [("x_test.go", "func A() {}"), ("a/test_x.py", "def a(): pass"), ("readme.md", "# x"), ("empty.go", ""), ("null.java", None)]
     found = code.parse_symbols(spark.createDataFrame(rows, "path string, text string")).where("entity_type <> 'file'").collect()
-    for path, (_, names) in FILES.items():
-        assert {r.qualified_name for r in found if r.path == path} == names
+    for path, (_, wanted) in FILES.items():
+        assert {r.qualified_name: (r.start_line, r.end_line, r.signature) for r in found if r.path == path} == {f"{path}.{n}": x for n, x in wanted.items()}, path
     assert {r.path for r in found} <= set(FILES)
+    assert {r.receiver for r in found if r.entity_type == "method"} == {"Client", "Handler", "S", "H", "K"}
     assert code.imports("typescript", FILES["web/api.ts"][0]) == ["util"] and code.imports("python", "from a.b import c\nimport d") == ["a.b", "d"]
 
 
+def test_go_symbols_and_relations(spark):
+    files = spark.createDataFrame([("pkg/a/t.go", GO), ("pkg/a/z.go", "package a\nfunc Run() {}\n"), ("pkg/b/b.go", "package b\n")], "path string, text string")
+    rows = code.parse_symbols(files)
+    found = {(r.entity_type, r.qualified_name): (r.path, r.start_line, r.end_line, r.signature) for r in rows.where("entity_type <> 'file'").collect()}
+    at = lambda *x: ("pkg/a/t.go", *x)
+    assert found == {
+        ("struct", "pkg/a.T"): at(8, 12, "X int; Y int; *U; M map[string][]func(...)"), ("interface", "pkg/a.U"): at(14, 17, "Do(...); Z()"), ("struct", "pkg/a.V"): at(20, 20, ""), ("type_alias", "pkg/a.W"): at(21, 21, "type W string"),
+        ("function", "pkg/a.Run"): at(29, 31, "func Run(...)"), ("method", "pkg/a.T.Do"): at(33, 35, "func (T) Do(...)"), ("function", "pkg/a.HandleX"): at(37, 37, "func HandleX(...)"), ("endpoint", "pkg/a.HandleX"): at(37, 37, ""),
+    }
+    both = rows.unionByName(code.package_symbols(rows)).withColumn("id", F.concat_ws(":", "entity_type", "qualified_name"))
+    links = code.resolve_claims(code.parse_claims(files), both, "m")
+    assert {(r.relationship_type, r.from_id, r.to_id, r.line) for r in links.collect()} == {("IMPORTS", "file:pkg/a/t.go", "package:pkg/b", 5), ("DEPENDS_ON", "struct:pkg/a.T", "interface:pkg/a.U", 10), ("IMPLEMENTS", "struct:pkg/a.T", "interface:pkg/a.U", 24), ("EXPOSES_ENDPOINT", "package:pkg/a", "endpoint:pkg/a.HandleX", 37)}
+
+
 def test_modules(spark):
     paths = spark.createDataFrame([("a/b/c.go",), ("a/x.go",), ("z/y.go",)], "path string")
     markers = spark.createDataFrame([("a",), ("a/b",)], "folder string")
