@@ -43,7 +43,8 @@ def parse_query(text: str) -> Query:
 
 def search_documents(events: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
     """(id, entity_type, title, content) of what can be found; intents are not indexed."""
-    body = F.regexp_replace(F.array_join(F.filter(F.split(F.coalesce("content", F.lit("")), "\n"), lambda x: ~t.squeeze(x).startswith("#")), " "), r"(?U)\s+", " ")
+    # lines that begin with # fall out; then all blanks become one
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("content", F.lit("")), r"(?mdU)^[\s&&[^\n]]*#[^\n]*", ""), r"(?U)\s+", " ")
     return (
         events.select("id", F.lit("EVENT").alias("entity_type"), "title", F.concat_ws(" ", "description", "event_type").alias("content"))
         .unionByName(decisions.select("id", F.lit("DECISION").alias("entity_type"), "title", t.squeeze(F.concat_ws(" ", "status", body)).alias("content")))
@@ -52,7 +53,7 @@ def search_documents(events: DataFrame, decisions: DataFrame, facts: DataFrame)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), "")
 
 
 def query_words(text: str) -> list[str]:
@@ -71,12 +72,22 @@ class Index:
     stats: DataFrame
 
 
-def index_documents(documents: DataFrame) -> Index:
-    """Counts each document's words; hot words are spread over ranges by id."""
+def postings(documents: DataFrame) -> DataFrame:
+    """Each document's words with their counts; hot words are spread over ranges by id."""
     own = documents.select("id", "entity_type", words(F.concat_ws(" ", "title", "content")).alias("w"))
     rows = own.select("id", "entity_type", F.size("w").alias("length"), F.explode("w").alias("word")).groupBy("word", "id", "entity_type", "length").agg(F.count(F.lit(1)).alias("tf"))
-    stats = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("mean"))
-    return Index(rows.repartitionByRange("word", "id").sortWithinPartitions("word", "id"), stats)
+    return rows.repartitionByRange("word", "id").sortWithinPartitions("word", "id")
+
+
+def statistics(documents: DataFrame, counted: DataFrame) -> DataFrame:
+    """(n, mean): documents and their mean length, which is the sum of all counts over n, so no text is cut into words again."""
+    total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words"))
+    return documents.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total), how="cross").select("n", (F.col("words") / F.col("n")).alias("mean"))  # one row each
+
+
+def index_documents(documents: DataFrame) -> Index:
+    counted = postings(documents)
+    return Index(counted, statistics(documents, counted))
 
 
 def bm25(index: Index, query: str, entity_type: str = "", top: int = TOP_TEXT) -> DataFrame:

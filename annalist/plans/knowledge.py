@@ -92,7 +92,8 @@ class Knowledge:
     @cached_property
     def index(self) -> search.Index:
         documents = lambda: search.search_documents(self.events, self.decisions, self.facts)
-        return search.Index(self._once("postings", lambda: search.index_documents(documents()).postings), self._once("statistics", lambda: search.index_documents(documents()).stats))
+        counted = self._once("postings", lambda: search.postings(documents()))
+        return search.Index(counted, self._once("statistics", lambda: search.statistics(documents(), counted)))
 
     @cached_property
     def nodes(self) -> DataFrame:
