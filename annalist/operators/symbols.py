@@ -10,6 +10,7 @@ import ast
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 SCHEMA = "path string, entity_type string, name string, qualified_name string, receiver string, start_line int, end_line int, signature string, package_path string, language string"
 CLAIMS = "path string, package_path string, relationship_type string, from_name string, to_name string, line int"
@@ -29,8 +30,8 @@ GRAMMAR = {
     "kotlin": [(r"[ \t]*(?:(?:public|private|internal|open|abstract|sealed|data|enum|inner|annotation)\s+)*(?:class|object)\s+(\w+)", "struct", "class "), (r"[ \t]*(?:(?:public|private|internal|sealed|fun)\s+)*interface\s+(\w+)", "interface", "interface "), (r"[ \t]*" + _WORDS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w<>?]+\.)?(\w+)", "function", "fun ")],
     "swift": [(r"[ \t]*(?:(?:public|private|internal|open|final|indirect)\s+)*(?:class(?!\s+(?:func|var)\b)|struct|enum|actor)\s+(\w+)", "struct", "class "), (r"[ \t]*(?:(?:public|private|internal)\s+)*protocol\s+(\w+)", "interface", "protocol "), (r"[ \t]*" + _WORDS + r"func\s+(\w+)", "function", "func ")],
     "php": [(r"[ \t]*(?:(?:final|abstract|readonly)\s+)*class\s+(\w+)", "struct", "class "), (r"[ \t]*interface\s+(\w+)", "interface", "interface "), (r"[ \t]*function\s+&?(\w+)", "function", "function ")],
-    "cpp": [(r"[ \t]*(?:template\s*<[^>]*>\s*)?(class|struct)\s+(?P<name>\w+)(?=[^;(){]*\{)", "struct", "{0} "), (r"[ \t]*(?!(?:if|for|while|switch|return|else|do|catch)\b)[\w:<>&*~ \t]*?([\w~]+)[ \t]*\([^;{}]*\)[^;{}()]*\{", "function", "")],
-    "c": [(r"[ \t]*(?:typedef\s+)?struct\s+(\w+)\s*(?=\{)", "struct", "struct "), (r"[ \t]*typedef\s+struct\s*(?=\{)", "typedef", "struct "), (r"[ \t]*(?!(?:if|for|while|switch|return|else|do)\b)[\w* \t]*?\b(\w+)[ \t]*\([^;{}]*\)\s*\{", "function", "")],
+    "cpp": [(r"[ \t]*(?:template\s*<[^>]*>\s*)?(class|struct)\s+(?P<name>\w+)(?=[^;(){]*\{)", "struct", "{0} "), (r"[ \t]*(?!(?:if|for|while|switch|return|else|do|catch)\b)(?:[\w:<>&*~, \t]*[:<>&* \t])?([\w~]++)[ \t]*\([^;{}]*\)[^;{}()]*\{", "function", "")],
+    "c": [(r"[ \t]*(?:typedef\s+)?struct\s+(\w+)\s*(?=\{)", "struct", "struct "), (r"[ \t]*typedef\s+struct\s*(?=\{)", "typedef", "struct "), (r"[ \t]*(?!(?:if|for|while|switch|return|else|do)\b)(?:[\w* \t]*[* \t])?(\w++)[ \t]*\([^;{}]*\)\s*\{", "function", "")],
     "scala": [(r"[ \t]*(?:(?:private|protected|final|sealed|abstract|case|implicit)\s+)*(class|object)\s+(?P<name>\w+)", "struct", "{0} "), (r"[ \t]*(?:(?:sealed|private)\s+)*trait\s+(\w+)", "interface", "trait "), (r"[ \t]*" + _WORDS + r"def\s+(\w+)", "function", "def ")],
     "lua": [(r"[ \t]*(?:local\s+)?(\w+)\s*=\s*(?=\{)", "struct", "table "), (r"[ \t]*(?:local\s+)?function\s+([\w.:]+)\s*(?=\()", "function", "function ")],
     "bash": [(r"[ \t]*(?:function\s+)?([\w-]+)\s*\(\)", "function", ""), (r"[ \t]*function\s+([\w-]+)\s*(?=\{)", "function", "")],
@@ -45,7 +46,7 @@ MEMBERS = {
     "typescript": (r"[ \t]*(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?[ \t]*(#?\w+)[ \t]*(?:<[^>\n]*>)?(?=\()", True),
     "rust": (r"[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)", True), "java": (_NOTES + _TYPED, False), "csharp": (r"[ \t]*(?:\[[^\]\n]*\]\s*)*" + _TYPED, False),
     "kotlin": (_NOTES + _WORDS + r"fun\s+(?:<[^>]*>\s*)?(\w+)", False), "swift": (_NOTES + _WORDS + r"func\s+(\w+)", False), "php": (r"[ \t]*" + _WORDS + r"function\s+&?(\w+)", False),
-    "cpp": (r"[ \t]*[\w:<>&*~, \t]*?([\w~]+)[ \t]*(?=\()", True), "scala": (_NOTES + _WORDS + r"def\s+(\w+)", False), "dart": (_NOTES + r"(?:(?:static|external)\s+)*[\w<>?,]+[ \t]+(\w+)[ \t]*(?=\()", False), "zig": (r"[ \t]*(?:pub\s+)?(?:inline\s+)?fn\s+(\w+)", False),
+    "cpp": (r"(?:[\w:<>&*~, \t]*[:<>&* \t])?([\w~]++)[ \t]*(?=\()", True), "scala": (_NOTES + _WORDS + r"def\s+(\w+)", False), "dart": (_NOTES + r"(?:(?:static|external)\s+)*[\w<>?,]+[ \t]+(\w+)[ \t]*(?=\()", False), "zig": (r"[ \t]*(?:pub\s+)?(?:inline\s+)?fn\s+(\w+)", False),
 }
 MEMBERS["javascript"] = MEMBERS["typescript"]
 JOINS = {"cpp": "::", "php": "->", "ruby": "#"}  # between receiver and name in a signature; elsewhere a point
@@ -119,6 +120,15 @@ def _line_end(text: str, at: int) -> int:
     return len(text) if stop < 0 else stop
 
 
+@lru_cache(maxsize=1)
+def _ends(text: str) -> dict[str, list[int]]:
+    """Where lines begin that close a body with ``end``, by their indentation."""
+    out: dict[str, list[int]] = {}
+    for m in re.finditer(r"(?m)^([ \t]*)end\b", text):
+        out.setdefault(m[1], []).append(m.start())
+    return out
+
+
 def _end_word(text: str, at: int) -> int:
     """Where a declaration whose body closes with ``end`` ends: at its own line, or at the next ``end`` of its indentation."""
     stop = _line_end(text, at)
@@ -126,8 +136,9 @@ def _end_word(text: str, at: int) -> int:
     if re.search(r"\bend\s*$|\bdo:|;\s*end\b", line):
         return stop
     indent = re.match(r"[ \t]*", line)[0]
-    found = re.compile(rf"^{indent}end\b", re.M).search(text, stop)
-    return _line_end(text, found.start()) if found else stop
+    places = _ends(text).get(indent, ())
+    n = bisect_right(places, stop)
+    return _line_end(text, places[n]) if n < len(places) else stop
 
 
 def _ruby_members(text: str, at: int, end: int) -> Iterator[tuple[str, int, int]]:

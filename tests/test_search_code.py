@@ -1,7 +1,9 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import answers, code, search
+from annalist.operators import answers, code, search, symbols
 
 
 def test_query_parser():
@@ -103,6 +105,16 @@ def test_symbols(spark):
     assert code.imports("typescript", FILES["web/api.ts"][0]) == ["util"] and code.imports("python", "from a.b import c\nimport d") == ["a.b", "d"]
 
 
+@pytest.mark.parametrize("name", [*symbols.GRAMMAR, "go"])
+def test_long_lines_and_open_bodies(name):
+    """Odd texts are scanned in time that grows with their length."""
+    n = 6000
+    began = time.perf_counter()
+    for text in ("class A {\n" + "ab " * n + "\n}\n", "a" * 3 * n, "f(" * n + "{" * n, "class A {\n" * n, "\x00}{)(" * n):
+        assert [r[1] for r in symbols.symbols("x", name, text)][0] == "file" and [*symbols.claims("x", name, text)] == []
+    assert time.perf_counter() - began < 20
+
+
 def test_go_symbols_and_relations(spark):
     files = spark.createDataFrame([("pkg/a/t.go", GO), ("pkg/a/z.go", "package a\nfunc Run() {}\n"), ("pkg/b/b.go", "package b\n")], "path string, text string")
     rows = code.parse_symbols(files)
