@@ -12,10 +12,10 @@ deletes it (4) or inserts an empty row (3); blank and duplicate rows must go, an
   held whole but for its audit, which is a column of the result.
 * The completed chart's audit then replays over the rows, streamed in order, and yields the repaired rows.
 
-Defined results: a null text, role or part of a row's key is one space; a null conv_id is one conversation; rows of one turn come by role,
-then by the MD5 of the text; null turns first; rows that repeat a whole row are duplicates; roles count by their first character; a
-conversation without rows after the damage has zeros, an empty audit and the hash of the empty string; an empty table gives no rows;
-extra columns, whatever their names, are not read.
+Defined results: a null text, role or part of a row's key is one space; a null conv_id is one conversation; rows of one turn come by
+role, then by the MD5 of the text; null turns first; rows that repeat a whole row are duplicates; roles count by their first character,
+and one without characters can't be kept; a conversation without rows after the damage has zeros, an empty audit and the hash of the
+empty string; an empty table gives no rows; texts of any length are read whole; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
