@@ -114,6 +114,66 @@ def test_chunks_find_a_bad_tail(spark, good, bad):
     assert not qr.ratios(noise + text, compressor)[4]
 
 
+def test_limits_have_no_steps():
+    """Neighbouring lengths have nearly the same limits: no size decides a verdict."""
+    sizes = sorted({n + d for n in (64, 96, 128, 160, 192, 224, *qr.STEPS, *(at for at, _ in qr.LONG_LOWS), *(f // k for f, *_ in qr.CHUNKS for k in (1, 2))) for d in (-1, 0)})
+    for n in sizes[::2]:
+        (a, b), (c, d) = qr.band(n), qr.band(n + 1)
+        assert abs(a - c) < 0.002 and (n < 96 or abs(b - d) < 0.005) and c <= a and d <= b
+        assert all(abs(qr.bad_share(n, f) - qr.bad_share(n + 1, f)) < 0.01 for f, *_ in qr.CHUNKS if n >= 256)
+
+
+def test_verdicts_hold_over_lengths(spark):
+    """One repetitive text, one of clean documents and one of noise, cut at every place where a limit or a size of chunks begins."""
+    import base64
+    import random
+
+    compressor = zstandard.ZstdCompressor(level=qr.LEVEL, write_content_size=False)
+    sf = "/root/testdata/sf0.01"
+    clean = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").where("lang = 'en' and n_chars > 2000").orderBy("doc_id")
+    good = "\n".join(r.text for r in clean.collect()).encode()
+    rng = random.Random(2)
+    passage = [w for w in good.decode().split() if w.isalpha()][:900]
+    again = " ".join(rng.choice(passage) if i % 7 == 6 else passage[i % 900] for i in range(12000)).encode()
+    noise = base64.b64encode(rng.randbytes(60000))
+    ends = sorted({n + d for n in (16384, 32768, 65536) for d in (-1, 0, 1)} | {40000, 60000})
+    assert not any(qr.ratios(again[:n], compressor)[4] for n in ends)
+    ends = sorted({n + d for n in (*qr.STEPS, 16384, 32768, 65536) for d in (-1, 0, 1)})
+    assert all(qr.ratios(good[:n], compressor)[4] for n in ends if n < len(good))
+    assert not any(qr.ratios(noise[:n], compressor)[4] for n in ends)
+
+
+def brute_ratios(text):
+    """The verdict by the definition, chunk by chunk."""
+    import math
+
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, write_content_size=False).compress(x)) / len(x)
+    x = math.log2(len(text))
+    point = lambda line: next((y0 + (y1 - y0) * (x - x0) / (x1 - x0) for (x0, y0), (x1, y1) in zip(line, line[1:], strict=False) if x0 <= x < x1), line[-1][1] if x >= line[-1][0] else line[0][1])
+    begins = [math.log2(max(1, b[0])) for b in qr.BANDS]
+    middles = [(a + b) / 2 for a, b in zip(begins, [*begins[1:], begins[-1]], strict=True)]
+    lows = [(x0 if 2**x0 >= 8191 else middles[i], min(b[1] for b in qr.BANDS[: i + 1])) for i, x0 in enumerate(begins)]
+    highs = [(middles[i], max(b[2] for b in qr.BANDS[i:])) for i, x0 in enumerate(begins)]
+    good = point(lows) - 1e-12 <= size(text) <= point(highs) + 1e-12
+    for full, n, low, high in qr.CHUNKS:
+        bad = 0
+        for i in range(0, len(text), n):
+            part = text[i : i + n] if i + n <= len(text) else text[-n:]
+            bad += (not low <= size(part) <= high) * min(n, len(text) - i)
+        share = 0.1 + 0.9 * math.log2(full / len(text)) if len(text) < full else 0.1
+        if len(text) * 2 > full and share < 1:
+            good = good and bad / len(text) <= share
+    return good
+
+
+def test_verdicts_equal_definition(spark):
+    """kept of a whole table against a plain version of the limits and chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in qr.quality_rules(docs).collect():
+        assert r.kept == (not r.base_failed and brute_ratios(texts[r.doc_id].encode()))
+
+
 def test_chunks_find_noise_that_plain_words_hide():
     """Words of a small vocabulary pull the whole ratio down into the band."""
     import base64
