@@ -1,8 +1,9 @@
 """Operator 10, URL filter: host and path rules, then logistic regression on hashed character n-grams.
 
 The rules come first (the longest that fits decides).  Where none fits, a logistic regression over
-hashed n-grams of host and path decides; it is fitted on the small labelled table below, whose size
-is fixed, so the weights (BUCKETS doubles) are all that goes to the executors.
+hashed n-grams of host and path decides; it is fitted on the small labelled table of ``url_table``, whose size
+is fixed, so the weights (BUCKETS doubles) are all that goes to the executors.  The cut comes from scores of whole families of that
+table that a fit has not seen (``unseen_scores``).
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule and is
 judged by the model on empty text (its intercept).  Repeated rows get equal verdicts, rows of a null page_id their own; an empty table
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,58 +22,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table, with_clear_names
+from .url_table import families
 
-BUCKETS, SIZES, EPOCHS, RATE, DECAY, CUT = 1 << 14, (3, 4, 5), 300, 4.0, 1e-4, 0.55
+BUCKETS, SIZES, EPOCHS, RATE, DECAY, CUT = 1 << 17, (3, 4, 5), 300, 4.0, 1e-4, 0.46
+#: The share of rows of label 0 in unseen families that the cut may block; families are dealt into so many folds.
+FALSE_BLOCKS, FOLDS = 0.05, 5
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: The labelled table: words of sites that a text corpus leaves out (1), words of those that it keeps (0), some of which hold a
-#: part of a blocked word, and invented neutral names (0).  Each makes some urls by the patterns below; prefixes, endings, sites and
-#: paths are dealt to both labels alike.
-BLOCKED_WORDS = "casino poker slot slots bet bets betting jackpot gambling roulette xxx porn adult escort sexcam sex nude torrent warez crack keygen pirate pill pills viagra pharmacy loan loans payday replica clickbait doorway popad ads tracker tracking adserver banner spam phish malware ransomware spyware".split()
-ALLOWED_WORDS = """news library school university science history museum docs wiki blog journal archive recipe health travel weather music art book garden physics language
-    forum manual code research kitchen football chess theatre cinema mountain river ocean forest animal bird horse bicycle railway airport hospital doctor nurse teacher student
-    lesson grammar poem novel author editor letter paper print photo camera paint design bridge tower castle church temple village city county state nation law court election
-    parliament economy market bank insurance tax farm harvest bread cheese coffee tea wine water energy solar wind climate planet galaxy atom molecule protein cell gene medicine
-    vaccine therapy sport tennis swimming running hiking camping sailing fishing knitting sewing carpentry pottery sculpture opera ballet piano guitar violin orchestra software
-    compiler database kernel network server browser editor robot sensor circuit battery engine motor aircraft satellite rocket telescope microscope
-    essex sussex middlesex sextant alphabet better between tibet pillow sloth saloon loaned download address roads heads beads leads uploads
-    track railtrack trackside cracker crackle pokes grace spa space spaniel adulthood casing cast casserole freedom store market""".split()
-NEUTRAL_NAMES, BLOCKED_URLS, ALLOWED_URLS, NEUTRAL_URLS = 700, 60, 8, 2
-ONSETS, VOWELS, CODAS = "b c d f g h k l m n p r s t th st w wh tr sh v".split(), "a e i o u ea ou io".split(), ["", "n", "r", "s", "t", "nd", "ng", "re", "ble", "ly", "th"]
-NAMES = ("{w}", "{w}", "{w}s", "{w}-{e}", "{p}-{w}", "{p}-{w}s", "{w}s-{e}", "{p}{w}", "{w}{e}", "{w}ing", "{n}-{w}", "{w}-{n}")
-PREFIXES, ENDINGS = "great easy best top my the online live new all".split(), "site hub world zone club shop online daily central now".split()
-SITES = ("{h}.example.org", "www.{h}.example.com", "m.{h}.example.net", "blog.{h}.example.com", "{h}.com", "www.{h}.net")
-PATHS = ("/en/{k}", "/de/{k}.html", "/fr/{k}/", "/{k}", "/page/{k}?id=3", "")
-PATTERNS = ("http://{w}.example.org/en/12", "https://www.{w}-site.example.com/page/{w}?id=3", "https://example.org/{w}/77", "http://m.{w}s.example.com/fr/8#top")
-
-
-def _dealt(key: str, *choices):
-    """One of each of the choices, by a hash of key and place."""
-    return [c[zlib.crc32(f"{key}:{i}".encode()) % len(c)] for i, c in enumerate(choices)]
-
-
-def neutral_name(k: int) -> str:
-    return "".join("".join(_dealt(f"{k}/{j}", ONSETS, VOWELS, CODAS)) for j in range(2 + k % 2))
 
 
 def training_table() -> list[tuple[str, int]]:
-    groups = ((1, BLOCKED_WORDS, BLOCKED_URLS, True), (0, dict.fromkeys(ALLOWED_WORDS), ALLOWED_URLS, True), (0, [neutral_name(k) for k in range(NEUTRAL_NAMES)], NEUTRAL_URLS, False))
-    rows = {}
-    for label, words, many, known in groups:
-        for w in words:
-            rows |= {p.format(w=w): label for p in PATTERNS if known}
-            for k in range(many):
-                name, prefix, ending, neutral, site, path = _dealt(f"{w}/{k}", NAMES, PREFIXES, ENDINGS, range(NEUTRAL_NAMES), SITES, PATHS)
-                h = name.format(w=w, p=prefix, e=ending, n=neutral_name(neutral))
-                rows[f"https://{site.format(h=h)}{path.format(k=zlib.crc32(f'{w}{k}'.encode()) % 9999)}"] = label
-    return list(rows.items())
+    return [(url, label) for _, url, label in families()]
 
 
-def held_out(url: str) -> bool:
-    """Rows of the table that the model isn't fitted on; CUT is chosen on them."""
-    return zlib.crc32(url.encode()) % 5 == 0
+def unseen_scores() -> tuple[np.ndarray, np.ndarray]:
+    """(score, label) of each row of the table, by a model fitted on the families of the other folds."""
+    rows = families()
+    fold = np.array([zlib.crc32(family.encode()) % FOLDS for family, _, _ in rows])
+    out = np.zeros(len(rows))
+    for k in range(FOLDS):
+        weights, intercept = fit([(u, label) for (_, u, label), f in zip(rows, fold, strict=True) if f != k])
+        parts = [split_url(u) for (_, u, _), f in zip(rows, fold, strict=True) if f == k]
+        out[fold == k] = scores(weights, intercept, [h for h, _ in parts], [p for _, p in parts])
+    return out, np.array([label for _, _, label in rows])
 
 
-def choose_cut(found: np.ndarray, labels: np.ndarray, false_blocks: float = 0.02) -> float:
+def choose_cut(found: np.ndarray, labels: np.ndarray, false_blocks: float = FALSE_BLOCKS) -> float:
     """The least cut in hundredths that blocks at most the given share of rows of label 0."""
     return next(c / 100 for c in range(1, 101) if np.mean(found[labels == 0] >= c / 100) <= false_blocks)
 
@@ -141,9 +116,15 @@ def fit(labelled: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     return w, b
 
 
+@lru_cache(maxsize=1)
+def default_model() -> tuple[np.ndarray, float]:
+    """The model of the whole table, fitted once in a process."""
+    return fit(training_table())
+
+
 def filter_urls(pages: DataFrame, rules=RULES, labelled=None, key: str = "page_id", url: str = "url") -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of each row.  No shuffle."""
-    weights, intercept = fit(labelled or [row for row in training_table() if not held_out(row[0])])
+    weights, intercept = fit(labelled) if labelled else default_model()
     u = F.col(f"`{url}`").cast("string")
     split = with_clear_names(pages, key, url).select(F.col(f"`{key}`").cast("long").alias("page_id"), host(u).alias("host"), path(u).alias("path"))
 
