@@ -281,6 +281,9 @@ def reviewers_repo(k: Knowledge) -> DataFrame:
 STORED = "stored_degree AS (SELECT id, CAST(count(*) AS DOUBLE) AS score FROM (SELECT i.id AS a, d.id AS b FROM intent i JOIN dec d USING (source_id) UNION ALL SELECT DISTINCT d.id, e.id FROM dec_words d JOIN evt_words e USING (word) UNION ALL SELECT DISTINCT f.id, d.id FROM fact_words f JOIN dec_words d USING (word)) x, LATERAL (SELECT unnest([a, b]) AS id) GROUP BY 1)"
 
 
+DOMAIN_ITEMS = "SELECT contributor_id, sum(score) AS items FROM evt JOIN who USING (source_id) JOIN stored_degree s ON s.id = evt.id WHERE regexp_matches(lower(evt.title || chr(10) || evt.description), 'storage|db|database|sqlite|postgres|sql|persistence|query') GROUP BY 1"
+
+
 def reviewers_domain(k: Knowledge) -> DataFrame:
     who = ownership.with_contributor(k.sources).select(F.col("id").alias("source_id"), "contributor_id")
     relevant = k.events.where(F.array_contains(ownership.domains_of(F.col("title"), F.col("description")), "Storage")).select("source_id", F.col("id").alias("entity_id"))
@@ -290,7 +293,7 @@ def reviewers_domain(k: Knowledge) -> DataFrame:
 QUERIES["reviewers_domain"] = (
     reviewers_domain,
     sql("SELECT 1", "intent", "dec_words", "evt_words", "fact_words", "exp").removesuffix(" SELECT 1")
-    + f", {STORED}, items AS (SELECT contributor_id, sum(score) AS items FROM evt JOIN who USING (source_id) JOIN stored_degree s ON s.id = evt.id WHERE regexp_matches(lower(evt.title || chr(10) || evt.description), 'storage|db|database|sqlite|postgres|sql|persistence|query') GROUP BY 1), own AS (SELECT contributor_id, sum(score) AS e FROM exp WHERE domain = 'Storage' GROUP BY 1) SELECT contributor_id, round(coalesce(e, 0) + coalesce(items, 0), 6) AS score FROM own FULL JOIN items USING (contributor_id) WHERE coalesce(e, 0) + coalesce(items, 0) > 0",
+    + f", {STORED}, items AS ({DOMAIN_ITEMS}), own AS (SELECT contributor_id, sum(score) AS e FROM exp WHERE domain = 'Storage' GROUP BY 1) SELECT contributor_id, round(coalesce(e, 0) + coalesce(items, 0), 6) AS score FROM own FULL JOIN items USING (contributor_id) WHERE coalesce(e, 0) + coalesce(items, 0) > 0",
 )
 
 
@@ -328,14 +331,20 @@ def learning_repo(k: Knowledge) -> DataFrame:
     return rank.learning_path(_discovery(k))
 
 
-@query(LEARN + " WHERE entity_type <> 'CONTRIBUTOR' OR entity_id IN (SELECT contributor_id FROM exp WHERE domain = 'Storage')", "disc")
+LEARN_DOMAIN = " WHERE entity_type <> 'CONTRIBUTOR' OR entity_id IN (SELECT contributor_id FROM exp WHERE domain = 'Storage')"
+
+
+@query(LEARN + LEARN_DOMAIN, "disc")
 def learning_domain(k: Knowledge) -> DataFrame:
     own = k.expertise.where("domain = 'Storage'").select(F.col("contributor_id").alias("entity_id"))
     found = _discovery(k)
     return rank.learning_path(found.where("entity_type <> 'CONTRIBUTOR'").unionByName(found.where("entity_type = 'CONTRIBUTOR'").join(own, "entity_id", "left_semi").select(*found.columns)))
 
 
-@query(f"SELECT CAST(row_number() OVER (ORDER BY list_position(['decision', 'fact', 'event'], kind), label, id) AS BIGINT) AS position, kind, id FROM (SELECT 'event' AS kind, id, title AS label, source_id FROM evt UNION ALL SELECT 'decision', id, title, source_id FROM dec UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object, source_id FROM fact) WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}')", "who", "evt", "dec", "fact")
+LEARN_CONTRIBUTOR = f"SELECT CAST(row_number() OVER (ORDER BY list_position(['decision', 'fact', 'event'], kind), label, id) AS BIGINT) AS position, kind, id FROM (SELECT 'event' AS kind, id, title AS label, source_id FROM evt UNION ALL SELECT 'decision', id, title, source_id FROM dec UNION ALL SELECT 'fact', id, subject || ' ' || predicate || ' ' || object, source_id FROM fact) WHERE source_id IN (SELECT source_id FROM who WHERE email = '{PERSON}')"
+
+
+@query(LEARN_CONTRIBUTOR, "who", "evt", "dec", "fact")
 def learning_contributor(k: Knowledge) -> DataFrame:
     own = ownership.trace_contributor(k.sources, _person(), k.events, k.decisions, k.facts)
     return rank.numbered(own, F.array_position(F.array(F.lit("decision"), F.lit("fact"), F.lit("event")), F.col("kind")), "label", "id").select("position", "kind", "id")

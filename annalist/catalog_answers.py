@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import PERSON, QUERIES, _bm25_sql, _discovery, _match_sql, _tables, query
+from .catalog import PERSON, QUERIES, _bm25_sql, _match_sql, _tables, query
 from .functions import text as t
-from .operators import answers, code, graph, ownership, rank, readers, search, snapshot, topics, traces
+from .operators import answers, code, graph, ownership, readers, search, snapshot, topics, traces
 from .plans.knowledge import Knowledge
 from .plans.oracle import sql
 from .sources.adapters import REPO
@@ -295,7 +295,7 @@ def ask_ownership(k: Knowledge) -> DataFrame:
     return topics.ownership_answer(k.expertise, answers.route("who owns storage?").subject)
 
 
-@query("SELECT entity_type, count(*) AS n, string_agg(qualified_name, ',' ORDER BY r) FILTER (r <= 50) AS names FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY qualified_name, id) AS r FROM entities WHERE file_path = (SELECT min(file_path) FROM entities)) GROUP BY 1", "entities")
+@query("SELECT entity_type, CAST(row_number() OVER (PARTITION BY entity_type ORDER BY qualified_name, id) AS INT) AS position, id, qualified_name, count(*) OVER (PARTITION BY entity_type) AS n FROM entities WHERE file_path = (SELECT min(file_path) FROM entities)", "entities")
 def file_context(k: Knowledge) -> DataFrame:
     path = k.entities.agg(F.min("file_path")).first()[0]
     return topics.file_context(k.entities, path)
@@ -319,22 +319,6 @@ def onboarding(k: Knowledge) -> DataFrame:
     return topics.onboarding(k.decisions)
 
 
-def agent_context(k: Knowledge) -> DataFrame:
-    """Sections of a repository's context as JSON, each cut to the caps of an answer: (name, source, data)."""
-    who = k.expertise.groupBy(F.col("contributor_id").alias("entity_id")).agg((F.count(F.lit(1)) + F.countDistinct("domain")).cast("double").alias("score")).withColumn("entity_type", F.lit("CONTRIBUTOR"))
-    found = _discovery(k)
-    parts = [
-        answers.section("Repository Overview", "context", readers.memory_counts(k.decisions, k.intents, k.facts, k.events), "kind"),
-        answers.section("Discovery", "discovery", found.orderBy(F.desc("score"), "entity_type", "entity_id").limit(20).withColumn("by", -F.col("score")).drop("score"), "by", "entity_type", "entity_id"),
-        answers.section("Learning Path", "learning", rank.learning_path(found).where("position <= 20"), "position"),
-        answers.section("Reviewer Recommendations", "reviewers", rank.repository_reviewers(k.contributors, k.expertise, who).orderBy(F.desc("score"), "contributor_id").limit(20).withColumn("by", -F.col("score")).drop("score"), "by", "contributor_id"),
-    ]
-    return graph.union_all(parts)
-
-
-QUERIES["agent_context"] = (agent_context, None)
-
-
 @query("SELECT contributor_id, domain, score, sources FROM exp JOIN (SELECT contributor_id, count(*) AS sources FROM who WHERE source_type = 'commit' GROUP BY 1) USING (contributor_id) WHERE domain = 'Agent Intelligence' AND score >= 0.5", "exp", "who")
 def domain_owners(k: Knowledge) -> DataFrame:
     counts = ownership.with_contributor(k.commits).groupBy("contributor_id").agg(F.count(F.lit(1)).alias("sources"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import QUERIES, _discovery, _tables, query
-from .catalog_answers import KNOWN, TASK, TOPIC, _graph, _topic, _with, agent_context
+from .catalog import DOMAIN_ITEMS, ITEMS, LEARN, LEARN_CONTRIBUTOR, LEARN_DOMAIN, PERSON, QUERIES, STORED, _bm25_sql, _discovery, _items, _match_sql, _person, _tables, learning_contributor, learning_domain, query, reviewers_domain, reviewers_repo
+from .catalog_answers import KNOWN, TASK, TOPIC, _graph, _topic, _with
+from .functions import text as t
 from .operators import graph, packages, rank, readers, search, topics, workspace
 from .plans.knowledge import Knowledge
 from .sources.adapters import REPO
@@ -104,26 +105,163 @@ def onboard(k: Knowledge) -> DataFrame:
     return packages.onboard(k.decisions, readers.memory_counts(k.decisions, k.intents, k.facts, k.events))
 
 
-def _capped_search(k: Knowledge, text: str) -> DataFrame:
-    return search.federated(_tables(k), k.index, search.parse_query(text)).orderBy(F.desc("score"), "entity_type", "entity_id").limit(20)
+# contexts, sessions, workflows ---------------------------------------------------------------------------------------
+
+OVERVIEW = "SELECT {n} AS sec, '{kind} Overview' AS section, 'context' AS source, kind AS entity_type, id, text AS label, CAST(NULL AS DOUBLE) AS score, 0.0 AS rnk FROM items"
+SCORED = "SELECT {n} AS sec, '{name}' AS section, '{source}' AS source, {kind} AS entity_type, {id} AS id, CAST(NULL AS VARCHAR) AS label, score, -score AS rnk FROM {rows}"
+PLACED = "SELECT {n}, 'Learning Path', 'learning', {kind}, {id}, {label}, {score}, position FROM ({rows})"
+PEOPLE_REPO = "SELECT contributor_id, CAST(4 * count(*) AS DOUBLE) AS score FROM exp GROUP BY 1"
+PERSON_ID = f"'ctr_' || sha256('{REPO}:{PERSON}')"
+FOUND = "SELECT entity_type, entity_id, max(score) AS score FROM ({hits}) GROUP BY 1, 2"
+_STORAGE_HITS = "SELECT 'EXPERTISE' AS entity_type, id AS entity_id, CASE WHEN lower(domain) = 'storage' THEN 100 WHEN starts_with(lower(domain), 'storage') THEN 75 ELSE 50 END AS score FROM expid WHERE contains(lower(domain), 'storage')"
+
+
+def _overview(k: Knowledge) -> DataFrame:
+    return packages.items(_items(k), "kind", "id", "text")
+
+
+def _path(rows: DataFrame) -> DataFrame:
+    return packages.items(rows, "entity_type", "entity_id", None, "score", F.col("position"))
+
+
+def _reviewers(rows: DataFrame) -> DataFrame:
+    return packages.items(rows, "CONTRIBUTOR", "contributor_id", None, "score")
+
+
+def _repository_context(k: Knowledge) -> DataFrame:
+    found = cut(_discovery(k))
+    return packages.context("repository", [_overview(k), packages.items(found, "entity_type", "entity_id", None, "score"), _path(rank.learning_path(found)), _reviewers(reviewers_repo(k))])
+
+
+def _domain_context(k: Knowledge) -> DataFrame:
+    return packages.context("domain", [_overview(k), _path(learning_domain(k)), _reviewers(reviewers_domain(k))])
+
+
+def _contributor_context(k: Knowledge) -> DataFrame:
+    nodes, edges = _graph(k)
+    me = k.spark.range(1).select(_person()).first()[0]
+    start = nodes.where((F.col("node_type") == "CONTRIBUTOR") & (F.col("entity_id") == me)).select("id")
+    changes = graph.contributor_plan(edges.select(F.col("from_node_id").alias("from_id"), F.col("to_node_id").alias("to_id")), nodes, start)
+    path = packages.items(learning_contributor(k), "kind", "id", None, None, F.col("position"))
+    return packages.context("contributor", [_overview(k), path, packages.items(changes, "entity_type", "entity_id", None, "priority", F.col("priority"))])
+
+
+def _search(k: Knowledge, text: str) -> DataFrame:
+    """All hits of a search."""
+    return packages.items(search.federated(_tables(k), k.index, search.parse_query(text)), "entity_type", "entity_id", None, "score")
+
+
+def _ordered(rows: str, *parts: str) -> str:
+    """SQL: a package's rows with their place; parts: more columns of rows to keep."""
+    kept = ", ".join([*parts, "section", "source", "entity_type", "id", "label", "score"])
+    order = ", ".join([*(["artifact"] if "artifact" in parts else []), "sec", "rnk", "entity_type", "id", "label"])
+    return f" SELECT {kept}, CAST(row_number() OVER (ORDER BY {order}) AS BIGINT) AS position FROM ({rows})"
+
+
+_CONTEXT_SQL = {
+    "repository": f"{OVERVIEW.format(n=1, kind='Repository')} UNION ALL {SCORED.format(n=2, name='Discovery', source='discovery', kind='entity_type', id='entity_id', rows='disc')} UNION ALL {PLACED.format(n=3, kind='entity_type', id='entity_id', label='NULL', score='score', rows=LEARN)} UNION ALL {SCORED.format(n=4, name='Reviewer Recommendations', source='reviewers', kind=repr('CONTRIBUTOR'), id='contributor_id', rows=f'({PEOPLE_REPO})')}",
+    "domain": f"{OVERVIEW.format(n=1, kind='Domain')} UNION ALL {PLACED.format(n=2, kind='entity_type', id='entity_id', label='NULL', score='score', rows=LEARN + LEARN_DOMAIN)} UNION ALL {SCORED.format(n=3, name='Reviewer Recommendations', source='reviewers', kind=repr('CONTRIBUTOR'), id='contributor_id', rows='domain_people')}",
+    "contributor": f"{OVERVIEW.format(n=1, kind='Contributor')} UNION ALL {PLACED.format(n=2, kind='kind', id='id', label='NULL', score='NULL', rows=LEARN_CONTRIBUTOR)} UNION ALL SELECT 3, 'Change Plan', 'changeplan', 'CONTRIBUTOR', contributor_id, NULL, 1.0, 1.0 FROM (SELECT DISTINCT contributor_id FROM expid WHERE contributor_id = {PERSON_ID})",
+}
+_PACKAGE_PARTS = _with("disc", "intent", "docs", "ctr", "expid", "dec_words", "evt_words", "fact_words", "stored") + f", {ITEMS}, {STORED}, domain_items AS ({DOMAIN_ITEMS}), domain_own AS (SELECT contributor_id, sum(score) AS e FROM exp WHERE domain = 'Storage' GROUP BY 1), domain_people AS (SELECT contributor_id, round(coalesce(e, 0) + coalesce(items, 0), 6) AS score FROM domain_own FULL JOIN domain_items USING (contributor_id) WHERE coalesce(e, 0) + coalesce(items, 0) > 0)"
+
+
+def _found_sql(terms: list[str]) -> str:
+    return f"found AS (SELECT entity_type, entity_id, max(score) AS score FROM (SELECT entity_type, id AS entity_id, CASE WHEN p = 1 AND rank < -10 THEN 100 WHEN p <= 3 THEN 75 ELSE 50 END AS score FROM (SELECT *, row_number() OVER (ORDER BY rank, id) AS p FROM hits) UNION ALL {_hits_sql(terms)}) GROUP BY 1, 2)"
+
+
+def _hits_sql(terms: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT entity_type, entity_id, score FROM ({_match_sql(x, kind, terms)})" for x, kind in (("dec", "DECISION"), ("fact", "FACT"), ("evt", "EVENT"), ("intent", "INTENT"), ("ctr", "CONTRIBUTOR"), ("expid", "EXPERTISE")))
+
+
+def _artifact(n: int, name: str, rows: str) -> str:
+    return f"SELECT {n} AS artifact, '{name}' AS artifact_type, * FROM ({rows})"
+
+
+def _single(kind: str, entity: str, key: str, rows: str, by: str = "-score", score: str = "score") -> str:
+    return f"SELECT 1 AS sec, '' AS section, '{packages.SOURCES[kind]}' AS source, {entity} AS entity_type, {key} AS id, CAST(NULL AS VARCHAR) AS label, CAST({score} AS DOUBLE) AS score, CAST({by} AS DOUBLE) AS rnk FROM {rows}"
+
+
+def _package_sql(prefix: str, kind: str, identifier: str, *artifacts: str) -> str:
+    head = f"SELECT '{packages.package_id(prefix, REPO, kind, identifier)}' AS package_id, '{kind}' AS package_type, * FROM ("
+    return _ordered(head + " UNION ALL ".join(artifacts) + ")", "package_id", "package_type", "artifact", "artifact_type")
+
+
+SEARCHED = "login sqlite"
+SEARCH_SQL = _single("search_result", "entity_type", "entity_id", "found")
+SESSION_SQL = _CONTEXT_SQL["repository"]
+
+
+def agent_context(k: Knowledge) -> DataFrame:
+    """What to know of a repository: all rows of its four sections."""
+    return packages.delivered(_repository_context(k))
+
+
+def context_domain(k: Knowledge) -> DataFrame:
+    return packages.delivered(_domain_context(k))
+
+
+def context_contributor(k: Knowledge) -> DataFrame:
+    return packages.delivered(_contributor_context(k))
 
 
 def session_domain(k: Knowledge) -> DataFrame:
-    """A session about a domain; what it holds is cut to the caps of an answer."""
-    people = k.expertise.where("domain = 'Storage'").select("contributor_id", "score").orderBy(F.desc("score"), "contributor_id").limit(20)
-    counts = readers.memory_counts(k.decisions, k.intents, k.facts, k.events).withColumnsRenamed({"kind": "name"}).select("name", F.col("n").cast("string").alias("value"))
-    context = counts.unionByName(people.select(F.col("contributor_id").alias("name"), F.col("score").cast("string").alias("value")))
-    return packages.session("domain", REPO, "Storage", context, _capped_search(k, "domain:Storage"))
+    return packages.delivered(packages.session("domain", REPO, "Storage", _domain_context(k), _search(k, "domain:Storage")))
+
+
+def session_contributor(k: Knowledge) -> DataFrame:
+    """A session about a person; the search is for the person's e-mail."""
+    return packages.delivered(packages.session("contributor", REPO, PERSON, _contributor_context(k), _search(k, PERSON)))
+
+
+def _session(k: Knowledge, context: DataFrame) -> DataFrame:
+    return packages.session("repository", REPO, "", context).drop("package_id", "package_type", "artifact", "artifact_type")
 
 
 def workflow_onboarding(k: Knowledge) -> DataFrame:
-    """A first day's workflow; discovery and path are cut to the caps of an answer."""
     found = cut(_discovery(k))
-    best = found.orderBy(F.desc("score"), "entity_type", "entity_id").limit(20)
-    return packages.workflow("onboarding", REPO, "", {"session": packages.session("repository", REPO, "", agent_context(k)), "discovery_report": best, "learning_path": rank.learning_path(found).where("position <= 20")})
+    parts = {"session": _session(k, _repository_context(k)), "discovery_report": packages.items(found, "entity_type", "entity_id", None, "score"), "learning_path": _path(rank.learning_path(found))}
+    return packages.delivered(packages.workflow("onboarding", REPO, "", parts))
+
+
+def workflow_review(k: Knowledge) -> DataFrame:
+    """Before a review: the repository's session, reviewers (of the domain where the query names one), hits and context."""
+    context = _repository_context(k)
+    asked = search.parse_query(SEARCHED)
+    people = _reviewers(reviewers_domain(k) if asked.domain else reviewers_repo(k))
+    return packages.delivered(packages.workflow("review_preparation", REPO, SEARCHED, {"session": _session(k, context), "reviewer_report": people, "search_result": _search(k, SEARCHED), "context_package": context}))
 
 
-QUERIES |= {"session_domain": (session_domain, None), "workflow_onboarding": (workflow_onboarding, None)}
+def workflow_change(k: Knowledge) -> DataFrame:
+    """Before a decision changes: the repository's session, what the change touches, hits of the decision's id and context."""
+    context = _repository_context(k)
+    wanted = k.spark.range(1).select(t.sha_key("decision_", F.lit("adr12"))).first()[0]
+    nodes, edges = _graph(k)
+    start = cut(nodes.where((F.col("node_type") == "DECISION") & (F.col("entity_id") == wanted)).select("id"))
+    reached = graph.reach(edges.select(F.col("from_node_id").alias("from_id"), F.col("to_node_id").alias("to_id")), start).where("hops > 0")
+    kinds = nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT', 'CONTRIBUTOR')")
+    changes = reached.join(kinds, "id").select("node_type", "entity_id", F.least("hops", F.lit(3)).alias("priority"))
+    parts = {"session": _session(k, context), "change_plan": packages.items(changes, "node_type", "entity_id", None, "priority", F.col("priority")), "search_result": _search(k, wanted), "context_package": context}
+    return packages.delivered(packages.workflow("change_preparation", REPO, "adr12", parts))
+
+
+def workflow_exploration(k: Knowledge) -> DataFrame:
+    return packages.delivered(packages.workflow("knowledge_exploration", REPO, SEARCHED, {"session": _session(k, _repository_context(k)), "search_result": _search(k, SEARCHED)}))
+
+
+_SEARCH_PARTS = f", {_bm25_sql(SEARCHED.split())}, {_found_sql(SEARCHED.split())}"
+_REPORT = _single("reviewer_report", "'CONTRIBUTOR'", "contributor_id", f"({PEOPLE_REPO})")
+QUERIES |= {
+    "agent_context": (agent_context, _PACKAGE_PARTS + _ordered(_CONTEXT_SQL["repository"])),
+    "context_domain": (context_domain, _PACKAGE_PARTS + _ordered(_CONTEXT_SQL["domain"])),
+    "context_contributor": (context_contributor, _PACKAGE_PARTS + _ordered(_CONTEXT_SQL["contributor"])),
+    "session_domain": (session_domain, _PACKAGE_PARTS + _package_sql("ses", "domain", "Storage", _artifact(1, "context_package", _CONTEXT_SQL["domain"]), _artifact(2, "search_result", _single("search_result", "entity_type", "entity_id", f"({_STORAGE_HITS})")))),
+    "session_contributor": (session_contributor, None),
+    "workflow_onboarding": (workflow_onboarding, _PACKAGE_PARTS + _package_sql("wrk", "onboarding", "default", _artifact(1, "session", SESSION_SQL), _artifact(2, "discovery_report", _single("discovery_report", "entity_type", "entity_id", "disc")), _artifact(3, "learning_path", _single("learning_path", "entity_type", "entity_id", f"({LEARN})", "position")))),
+    "workflow_review": (workflow_review, _PACKAGE_PARTS + _SEARCH_PARTS + _package_sql("wrk", "review_preparation", SEARCHED, _artifact(1, "session", SESSION_SQL), _artifact(2, "reviewer_report", _REPORT), _artifact(3, "search_result", SEARCH_SQL), _artifact(4, "context_package", SESSION_SQL))),
+    "workflow_change": (workflow_change, None),
+    "workflow_exploration": (workflow_exploration, _PACKAGE_PARTS + _SEARCH_PARTS + _package_sql("wrk", "knowledge_exploration", SEARCHED, _artifact(1, "session", SESSION_SQL), _artifact(2, "search_result", SEARCH_SQL))),
+}
 
 
 def session_memory(k: Knowledge) -> DataFrame:

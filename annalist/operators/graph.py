@@ -165,6 +165,15 @@ def change_plan(reached: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select(F.col("node_type").alias("entity_type"), F.col("id").alias("entity_id"), F.least("hops", F.lit(3)).alias("priority"))
 
 
+def contributor_plan(edges: DataFrame, nodes: DataFrame, start: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
+    """(entity_type, entity_id, priority) along the paths that end at start(id): nodes behind a path's first, so those with an edge in from
+    another node of the way; the shortest such path has one edge."""
+    back = edges.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")).where("from_id <> to_id")
+    near = reach(back, start, depth - 1).select("id")  # whoever leads there within depth edges
+    entered = near.join(back.select(F.col("from_id").alias("id")).distinct(), "id", "left_semi")
+    return entered.join(nodes.where("node_type IN ('DECISION', 'FACT', 'EVENT', 'CONTRIBUTOR')"), "id").select(F.col("node_type").alias("entity_type"), "entity_id", F.lit(1).alias("priority"))
+
+
 def budgeted_walk(edges: pd.DataFrame, costs: dict[str, int], edge_costs: dict[str, int], start: str, budget: int, compat: bool = False) -> tuple[list[str], list[str], int]:
     """Breadth-first, edges in id order, skipping what no longer fits: (nodes, edges, tokens used).
 

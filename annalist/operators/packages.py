@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import cut
 from . import graph, readers, topics
 from .code import entity_role, symbol_dependencies, symbol_matches
+from .rank import numbered
 
 # fixed values: which entities get a briefing, in this order, how many, and how long their lists are
 ROOTS = ("struct", "interface", "type_alias", "function", "method", "file")
@@ -187,36 +188,63 @@ def package_id(prefix: str, repository_id: str, kind: str, identifier: str) -> s
     return f"{prefix}_{hashlib.sha256(f'{repository_id}:{kind}:{identifier}'.encode()).hexdigest()}"
 
 
-def artifact(kind: str, sections: DataFrame) -> DataFrame:
-    """One row (artifact_type, source, data): rows of a package as JSON; callers cap what goes in."""
-    row = F.struct(*sorted(sections.columns))
-    return sections.agg(F.to_json(F.array_sort(F.collect_list(row))).alias("data")).select(F.lit(kind).alias("artifact_type"), F.lit(SOURCES[kind]).alias("source"), "data")
+# fixed values: the sections of contexts and where they come from
+OVERVIEW, DISCOVERY, LEARNING, REVIEWERS, CHANGES = ("Overview", "context"), ("Discovery", "discovery"), ("Learning Path", "learning"), ("Reviewer Recommendations", "reviewers"), ("Change Plan", "changeplan")
+CONTEXTS = {"repository": (OVERVIEW, DISCOVERY, LEARNING, REVIEWERS), "domain": (OVERVIEW, LEARNING, REVIEWERS), "contributor": (OVERVIEW, LEARNING, CHANGES)}
+ITEM = ("entity_type", "id", "label", "score", "by")
 
 
-def _packaged(prefix: str, kind: str, repository_id: str, identifier: str, artifacts: list[DataFrame]) -> DataFrame:
-    """(package_id, package_type, position, artifact_type, source, data): artifacts in their order."""
-    rows = [a.select(F.lit(package_id(prefix, repository_id, kind, identifier)).alias("package_id"), F.lit(kind).alias("package_type"), F.lit(n).alias("position"), "artifact_type", "source", "data") for n, a in enumerate(artifacts, 1)]
-    return graph.union_all(rows)
+def items(rows: DataFrame, entity_type: str, key: str, label: str | None = None, score: str | None = None, by: Column | None = None) -> DataFrame:
+    """rows in the columns of ITEM; by: what comes first in a section, before type, id and label (the highest score, if there is one)."""
+    kind = F.col(entity_type) if entity_type in rows.columns else F.lit(entity_type)
+    value = F.col(score).cast("double") if score else F.lit(None).cast("double")
+    return rows.select(kind.alias("entity_type"), F.col(key).alias("id"), (F.col(label) if label else F.lit(None).cast("string")).alias("label"), value.alias("score"), F.coalesce((by if by is not None else -value).cast("double"), F.lit(0.0)).alias("by"))
+
+
+def context(kind: str, parts: list[DataFrame]) -> DataFrame:
+    """A repository's, domain's or contributor's context: its sections' rows (of ``items``) in their fixed order, whole."""
+    if kind not in CONTEXTS or len(parts) != len(CONTEXTS[kind]):
+        raise ValueError(f"a {kind} context has other sections")
+    named = [(f"{kind.title()} {name}" if (name, source) == OVERVIEW else name, source) for name, source in CONTEXTS[kind]]
+    return graph.union_all([p.select(F.lit(n).alias("_section"), F.lit(name).alias("section"), F.lit(source).alias("source"), *ITEM) for n, (p, (name, source)) in enumerate(zip(parts, named, strict=True), 1)])
+
+
+def result(kind: str, rows: DataFrame) -> DataFrame:
+    """A single result (a search's, a report's, a path's) as the one section of an artifact."""
+    return rows.select(F.lit(1).alias("_section"), F.lit("").alias("section"), F.lit(SOURCES[kind]).alias("source"), *ITEM)
+
+
+def _packaged(prefix: str, kind: str, repository_id: str, identifier: str, artifacts: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Rows (package_id, package_type, artifact, artifact_type, section, source, items): artifacts in their order."""
+    head = [F.lit(package_id(prefix, repository_id, kind, identifier)).alias("package_id"), F.lit(kind).alias("package_type")]
+    return graph.union_all([rows.select(*head, F.lit(n).alias("artifact"), F.lit(name).alias("artifact_type"), "_section", "section", "source", *ITEM) for n, (name, rows) in enumerate(artifacts, 1)])
 
 
 def session(kind: str, repository_id: str, identifier: str, context: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """A session of a repository (its context alone), a domain or a contributor (context and search result).  An empty name is an error."""
     if not repository_id or kind not in ("repository", "domain", "contributor") or (kind != "repository" and (not identifier or found is None)):
         raise ValueError("a session needs a repository, a kind and what it is about")
-    parts = [artifact("context_package", context)]
+    parts = [("context_package", context)]
     if kind != "repository":
-        parts.append(artifact("search_result", found))
+        parts.append(("search_result", result("search_result", found)))
     return _packaged("ses", kind, repository_id, "default" if kind == "repository" else identifier, parts)
 
 
 def workflow(kind: str, repository_id: str, identifier: str, parts: dict[str, DataFrame]) -> DataFrame:
-    """A workflow's artifacts in their fixed order; parts: by kind of artifact.  A missing part or an empty question is an error."""
+    """A workflow's artifacts in their fixed order; parts: by kind of artifact: a session, a context, else rows of ``items``.  A missing part or
+    an empty question is an error."""
     wanted = WORKFLOWS.get(kind)
     if wanted is None or not repository_id or (kind != "onboarding" and not identifier.strip()):
         raise ValueError("a workflow needs a repository, a kind and what it is about")
     if missing := [w for w in wanted if w not in parts]:
         raise ValueError(f"missing: {', '.join(missing)}")
-    return _packaged("wrk", kind, repository_id, "default" if kind == "onboarding" else identifier, [artifact(w, parts[w]) for w in wanted])
+    return _packaged("wrk", kind, repository_id, "default" if kind == "onboarding" else identifier, [(w, parts[w] if w in ("session", "context_package") else result(w, parts[w])) for w in wanted])
+
+
+def delivered(package: DataFrame) -> DataFrame:
+    """A context's, session's or workflow's rows with their place in it: all rows, in order of artifact and section, then by rank, type, id and label."""
+    order = [c for c in ("artifact", "_section") if c in package.columns]
+    return numbered(package, *order, "by", "entity_type", "id", "label").drop("by", "_section")
 
 
 def known_entities(resolved: DataFrame, decisions: DataFrame, facts: DataFrame, events: DataFrame, expertise: DataFrame) -> DataFrame:

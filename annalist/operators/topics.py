@@ -109,15 +109,14 @@ def reuse_candidates(code: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["label", "entity_type"]).unionByName(patterns.distinct())
 
 
-def file_context(entities: DataFrame, path: str, most: int = 50) -> DataFrame:
-    """(entity_type, n, names): what a file holds, the first names of each kind; a file that is not indexed has no rows."""
+def file_context(entities: DataFrame, path: str) -> DataFrame:
+    """(entity_type, position, id, qualified_name, n): all that a file holds, by kind and name, and how many of the kind; a file that is not indexed
+    has no rows."""
     from pyspark.sql import Window
 
-    own = entities.where(F.col("file_path") == path)
-    place = own.withColumn("_n", F.row_number().over(Window.partitionBy("entity_type").orderBy("qualified_name", "id")))
-    counts = own.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
-    named = place.where(F.col("_n") <= most).groupBy("entity_type").agg(F.array_sort(F.collect_list(F.struct("_n", "qualified_name"))).alias("l"))
-    return counts.join(named, "entity_type").select("entity_type", "n", F.array_join(F.transform("l", lambda x: x["qualified_name"]), ",").alias("names"))
+    own = entities.where(F.col("file_path") == path)  # one file's entities
+    kind = Window.partitionBy("entity_type")
+    return own.select("entity_type", F.row_number().over(kind.orderBy("qualified_name", "id")).alias("position"), "id", "qualified_name", F.count(F.lit(1)).over(kind).alias("n"))
 
 
 def ambiguous_names(entities: DataFrame, most: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist import storage
-from annalist.operators import packages, workspace
+from annalist.operators import graph, packages, workspace
 
 ENTITY = "id string, entity_type string, name string, qualified_name string, package_path string, file_path string, start_line int, end_line int, signature string"
 NOW = datetime(2024, 5, 1)
@@ -61,18 +61,32 @@ def test_explain_plan_and_impact(spark, code_tables):
 
 
 def test_sessions_and_workflows(spark):
-    rows = spark.createDataFrame([("b", 2), ("a", 1)], "x string, n int")
-    own = packages.session("repository", "r", "", rows)
-    assert [(r.position, r.artifact_type, json.loads(r.data)) for r in own.collect()] == [(1, "context_package", [{"n": 1, "x": "a"}, {"n": 2, "x": "b"}])]
-    assert own.first().package_id == packages.package_id("ses", "r", "repository", "default")
-    assert packages.session("domain", "r", "Storage", rows, rows).count() == 2
-    flow = packages.workflow("knowledge_exploration", "r", "redis", {"session": own, "search_result": rows})
-    assert [(r.artifact_type, r.source) for r in flow.orderBy("position").collect()] == [("session", "session"), ("search_result", "search")]
-    for bad in (lambda: packages.session("domain", "r", "", rows, rows), lambda: packages.workflow("onboarding", "r", "", {}), lambda: packages.workflow("knowledge_exploration", "r", " ", {"session": own, "search_result": rows})):
+    """Rows, all of them: in order of artifact and section, then by rank, type, id and label."""
+    rows = packages.items(spark.createDataFrame([("b", 2.0), ("a", 1.0), ("c", 2.0)], "x string, n double"), "THING", "x", None, "n")
+    many = packages.items(spark.range(300).select(F.col("id").cast("string").alias("x")), "THING", "x")
+    context = packages.context("repository", [many, rows, rows, many])
+    own = packages.session("repository", "r", "", context)
+    got = packages.delivered(own).orderBy("position").collect()
+    assert [r.position for r in got] == list(range(1, 607)) and {r.package_id for r in got} == {packages.package_id("ses", "r", "repository", "default")}
+    assert [(r.section, r.source) for r in got[:300]] == [("Repository Overview", "context")] * 300
+    assert [(r.section, r.id, r.score) for r in got[300:306]] == [("Discovery", "b", 2.0), ("Discovery", "c", 2.0), ("Discovery", "a", 1.0), ("Learning Path", "b", 2.0), ("Learning Path", "c", 2.0), ("Learning Path", "a", 1.0)]
+    about = packages.context("domain", [many, rows, rows])
+    assert {(r.artifact, r.artifact_type) for r in packages.session("domain", "r", "Storage", about, rows).collect()} == {(1, "context_package"), (2, "search_result")}
+    flow = packages.delivered(packages.workflow("knowledge_exploration", "r", "redis", {"session": context, "search_result": rows})).orderBy("position").collect()
+    assert len(flow) == 609 and [(r.artifact_type, r.source, r.id) for r in flow[-3:]] == [("search_result", "search", x) for x in "bca"]
+    for bad in (lambda: packages.session("domain", "r", "", context, rows), lambda: packages.workflow("onboarding", "r", "", {}), lambda: packages.workflow("knowledge_exploration", "r", " ", {"session": own, "search_result": rows}), lambda: packages.context("domain", [rows])):
         with pytest.raises(ValueError):
             bad()
 
 
+def test_contributor_plan(spark):
+    """Whoever has an edge in from the way to the start."""
+    nodes = spark.createDataFrame([("c", "CONTRIBUTOR", "ann"), ("x", "EXPERTISE", "x1"), ("d", "DECISION", "d1"), ("e", "EVENT", "e1"), ("z", "CONTRIBUTOR", "bob")], "id string, node_type string, entity_id string")
+    edges = spark.createDataFrame([("x", "c"), ("d", "x"), ("e", "d"), ("c", "z"), ("e", "e")], "from_id string, to_id string")
+    plan = lambda start: {tuple(r) for r in graph.contributor_plan(edges, nodes, nodes.where(f"id = '{start}'").select("id")).collect()}
+    assert plan("c") == {("CONTRIBUTOR", "ann", 1), ("DECISION", "d1", 1)} and plan("e") == set()
+
+
 def test_onboarding(spark):
     decisions = spark.createDataFrame([("d2", "B"), ("d1", "A")], "id string, title string")
     counts = spark.createDataFrame([("facts", 3)], "kind string, n long")
