@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import storage
+from .constants import DOMAIN_KEYWORDS
 from .functions import text as t
 from .operators import code, graph, link, ownership, rank, search
 from .plans.knowledge import Knowledge
@@ -29,13 +30,13 @@ def query(body: str | None = None, *needs: str):
 
 
 def queries() -> dict:
-    from . import catalog_answers, catalog_packages  # noqa: F401 - register more
+    from . import catalog_answers, catalog_code, catalog_packages  # noqa: F401 - register more
 
     return {name: (lambda spark, sf_dir, f=f: f(Knowledge(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_answers, catalog_packages  # noqa: F401 - register more
+    from . import catalog_answers, catalog_code, catalog_packages  # noqa: F401 - register more
 
     return {name: text for name, (_, text) in QUERIES.items() if text}
 
@@ -318,6 +319,18 @@ def features(k: Knowledge) -> DataFrame:
     return rank.features(k.events, k.decisions)
 
 
+_KEYWORDS = " UNION ALL ".join(f"SELECT '{d}' AS name, {list(words)!r} AS kw, 0 AS r" for d, words in DOMAIN_KEYWORDS.items())
+ASKED = "login flow"
+
+
+@query(
+    f"SELECT name, score, row_number() OVER (ORDER BY score DESC, lower(name)) = 1 AS best, lower(name) = '{ASKED}' AS explains FROM (SELECT name, CAST(CASE WHEN lower(name) = '{ASKED}' THEN 10 ELSE 0 END + CASE WHEN contains(lower(name), '{ASKED}') OR contains('{ASKED}', lower(name)) THEN 6 ELSE 0 END + coalesce(list_sum(list_transform(kw, lambda k: CASE WHEN k = '' THEN 0 ELSE CASE WHEN k = '{ASKED}' THEN 5 ELSE 0 END + CASE WHEN contains('{ASKED}', k) THEN 2 ELSE 0 END END)), 0) AS INT) AS score FROM (SELECT arg_min(name, (r, name)) AS name, arg_min(kw, (r, name)) AS kw FROM ({_KEYWORDS} UNION ALL SELECT title, list_distinct(list_filter(regexp_split_to_array(lower(title), '[^a-z0-9]+'), lambda w: length(w) >= 3)), 1 FROM evt WHERE event_type = 'FEATURE_INTRODUCED') GROUP BY lower(name))) WHERE score >= 2",
+    "evt",
+)
+def feature_match(k: Knowledge) -> DataFrame:
+    return rank.feature_matches(k.events, k.decisions, ASKED)
+
+
 @query("SELECT author, CAST(sum(score) AS BIGINT) AS score FROM (SELECT author, CAST(contains(x, 'sqlite') AS INT) + CAST(contains(x, 'latency') AS INT) AS score FROM (SELECT author, lower(concat_ws(' ', title, reference, content)) AS x FROM commits UNION ALL SELECT author, lower(concat_ws(' ', title, reference, content)) FROM records)) WHERE score > 0 GROUP BY 1", "commits", "records")
 def author_evidence(k: Knowledge) -> DataFrame:
     return rank.author_evidence(k.sources, ["sqlite", "latency"])

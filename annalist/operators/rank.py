@@ -44,24 +44,46 @@ def impact_reviewers(touched: DataFrame, expertise: DataFrame, found: DataFrame)
     return rows.select("contributor_id", F.round(F.col("n") + F.col("discovery") + F.col("fit"), 6).alias("score"))
 
 
-def features(events: DataFrame, decisions: DataFrame) -> DataFrame:
-    """(name, sources, event_count): the fixed domains and each introduced feature, merged by lower-cased name."""
+def _features(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(name, keywords, sources, event_count): the fixed domains and each introduced feature, merged by lower-cased name; the first one's words count."""
     spark = events.sparkSession
-    seed = spark.createDataFrame([(d,) for d in DOMAIN_KEYWORDS], "name string").select("name", F.lit("expertise_domain").alias("source"), F.lit(0).alias("n"), F.lit(0).alias("rank"))
-    introduced = events.where("event_type = 'FEATURE_INTRODUCED'").select(t.squeeze(F.col("title")).alias("name"), F.lit("feature_event").alias("source"), F.lit(1).alias("n"), F.lit(1).alias("rank")).where("name <> ''")
+    seed = spark.createDataFrame([(d, list(words)) for d, words in DOMAIN_KEYWORDS.items()], "name string, keywords array<string>").select("name", "keywords", F.lit("expertise_domain").alias("source"), F.lit(0).alias("n"), F.lit(0).alias("rank"))
+    parts = F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: F.length(w) >= 3))
+    introduced = events.where("event_type = 'FEATURE_INTRODUCED'").select(t.squeeze(F.col("title")).alias("name")).where("name <> ''").select("name", parts.alias("keywords"), F.lit("feature_event").alias("source"), F.lit(1).alias("n"), F.lit(1).alias("rank"))
     low = F.lower("title")
-    named = decisions.select(F.coalesce(*[F.when(low.contains(d.lower()), d) for d in sorted(DOMAIN_KEYWORDS)]).alias("name")).where("name IS NOT NULL").select("name", F.lit("decision").alias("source"), F.lit(0).alias("n"), F.lit(2).alias("rank"))
+    none = F.array().cast("array<string>")
+    named = decisions.select(F.coalesce(*[F.when(low.contains(d.lower()), d) for d in sorted(DOMAIN_KEYWORDS)]).alias("name")).where("name IS NOT NULL").select("name", none.alias("keywords"), F.lit("decision").alias("source"), F.lit(0).alias("n"), F.lit(2).alias("rank"))
     rows = seed.unionByName(introduced).unionByName(named)
-    merged = rows.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", F.struct("rank", "name")).alias("name"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.sum("n").alias("event_count"))
-    return merged.select("name", "sources", "event_count")
+    first = F.struct("rank", "name")
+    return rows.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", first).alias("name"), F.min_by("keywords", first).alias("keywords"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.sum("n").alias("event_count")).drop("key")
+
+
+def features(events: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(name, sources, event_count) of ``_features``."""
+    return _features(events, decisions).select("name", "sources", "event_count")
+
+
+# fixed values: what equal and contained names and keywords add; the least score of a match, and of one that answers a single word by itself
+EQUAL_NAME, HELD_NAME, EQUAL_WORD, HELD_WORD, LEAST_MATCH, LEAST_ALONE = 10, 6, 5, 2, 2, 8
 
 
 def feature_score(name: Column, keywords: tuple[str, ...] | Column, topic: str) -> Column:
-    """10 equal, 6 when one holds the other; 5 for an equal keyword and 2 for one that the topic holds."""
-    low, wanted = F.lower(name), topic.strip().lower()
-    score = F.when(low == wanted, 10).when(low.contains(wanted) | F.contains(F.lit(wanted), low), 6).otherwise(0)
+    """The sum of 10 for an equal name, 6 where one holds the other, and of each keyword 5 if equal and 2 if the topic holds it; empty keywords add nothing."""
+    low, wanted = F.lower(name), F.lit(topic.strip().lower())
+    points = lambda test, n: F.when(test, n).otherwise(0)
     words = F.array(*[F.lit(k) for k in keywords]) if isinstance(keywords, tuple) else keywords
-    return score + F.aggregate(words, F.lit(0), lambda a, k: a + F.when(k == wanted, 5).when(F.contains(F.lit(wanted), k), 2).otherwise(0))
+    of_name = points(low == wanted, EQUAL_NAME) + points(F.contains(low, wanted) | F.contains(wanted, low), HELD_NAME)
+    return of_name + F.aggregate(F.transform(words, F.lower), F.lit(0), lambda a, k: a + F.when(k == "", 0).otherwise(points(k == wanted, EQUAL_WORD) + points(F.contains(wanted, k), HELD_WORD)))
+
+
+def feature_matches(events: DataFrame, decisions: DataFrame, topic: str) -> DataFrame:
+    """(name, score, best, explains): the features that match a topic, which of them is the best (of equal ones the first by name), and whether
+    one answers the topic by itself: by its very name, or a topic of one word that scores enough.  An empty topic matches none."""
+    wanted = topic.strip().lower()
+    rows = _features(events, decisions).select("name", feature_score(F.col("name"), F.col("keywords"), topic).alias("score")).where(F.lit(wanted != "") & (F.col("score") >= LEAST_MATCH))
+    best = rows.agg(F.min_by("name", F.struct(-F.col("score"), F.lower("name"))).alias("_best"))  # one row
+    explains = (F.lower("name") == wanted) | (F.lit(" " not in wanted) & (F.col("score") >= LEAST_ALONE))
+    return rows.join(F.broadcast(best), how="cross").select("name", "score", (F.col("name") == F.col("_best")).alias("best"), explains.alias("explains"))
 
 
 def author_evidence(sources: DataFrame, terms: list[str]) -> DataFrame:

@@ -53,6 +53,10 @@ class Knowledge:
     def table(self, name: str) -> DataFrame:
         return adapters.read(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def go_files(self) -> DataFrame:
+        return adapters.go_files(self.spark, self.sf_dir)
+
     @cached_property
     def commits(self) -> DataFrame:
         return adapters.commits(self.spark, self.sf_dir)

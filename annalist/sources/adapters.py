@@ -34,6 +34,22 @@ RECORDS = {
     "status": "CASE doc_id % 3 WHEN 0 THEN 'Accepted' WHEN 1 THEN 'Superseded' ELSE '' END",
 }
 
+#: A Go file of each part: a type with a method and a function, whose calls lead to parts of the same brand, of a brand that the size names, to its
+#: own method, to the only method of a name, out of the module and to itself.
+GO_MODULE = "demo"
+GO_FILE = {
+    "path": "'pkg/' || p_brand || '/part' || CAST(p_partkey AS STRING) || '.go'",
+    "text": "'package brand\n\nimport (\n\t\"fmt\"\n\tnext \"demo/pkg/Brand#' || CAST(p_size % 5 + 1 AS STRING) || CAST(CAST(floor(p_size / 5) AS BIGINT) % 5 + 1 AS STRING) || '\"\n)\n\ntype T' || k || ' struct{}\n\n// Fn1(2) is no call\n"
+    "func (t *T' || k || ') Run' || k || '(x int) int {\n\tfmt.Println(\"Fn' || k || '(x)\")\n\treturn Fn' || k1 || '(x) + next.Fn' || k2 || '(x)\n}\n\nfunc Fn' || k || '(x int) int {\n\tt' || k || ' := &T' || k || '{}\n\tif y := Fn' || k3 || '(x); y > 0 {\n"
+    "\t\treturn t' || k || '.Run' || k || '(y)\n\t}\n\tother.Run' || k4 || '(x)\n\treturn Fn' || k || '(x)\n}\n'",
+}
+
+
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text) of ``GO_FILE``."""
+    keys = [f"CAST(p_partkey + {n} AS STRING) AS k{n or ''}" for n in range(5)]
+    return read(spark, sf_dir, "part").selectExpr("p_partkey", "p_brand", "p_size", *keys).selectExpr(*[f"{e} AS {n}" for n, e in GO_FILE.items()])
+
 
 def select_list(columns: dict[str, str]) -> str:
     return ", ".join(f"{expression} AS {name}" for name, expression in columns.items())
