@@ -34,12 +34,8 @@ def domains_of(*texts: Column) -> Column:
     return F.transform(F.array(F.lower(F.concat_ws("\n", *texts))), found)[0]
 
 
-def expertise(sources: DataFrame, known: DataFrame, events: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
-    """Score of each contributor in each domain, relative to the domain's best.
-
-    Each kind of row is counted by (source, domain) before it meets its author, and authors are joined once.
-    """
-    who = with_contributor(sources).select(F.col("id").alias("source_id"), "contributor_id", "ts").where("contributor_id IS NOT NULL")
+def domain_counts(sources: DataFrame, events: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
+    """(source_id, domain, counts of each kind): what each source says in each domain."""
     commits = sources.where("source_type = 'commit'").select(F.col("id").alias("source_id"), F.lit("commits").alias("kind"), domains_of(F.col("title")).alias("domains"))
     rows = (
         commits.unionByName(decisions.select("source_id", F.lit("decisions").alias("kind"), domains_of(F.col("title")).alias("domains")))
@@ -47,7 +43,16 @@ def expertise(sources: DataFrame, known: DataFrame, events: DataFrame, decisions
         .unionByName(events.select("source_id", F.lit("events").alias("kind"), domains_of(F.col("title"), F.col("description")).alias("domains")))
     )
     counts = [F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).cast("long").alias(k) for k in WEIGHTS]
-    by_source = rows.select("source_id", "kind", F.explode("domains").alias("domain")).groupBy("source_id", "domain").agg(*counts)
+    return rows.select("source_id", "kind", F.explode("domains").alias("domain")).groupBy("source_id", "domain").agg(*counts)
+
+
+def expertise(sources: DataFrame, known: DataFrame, events: DataFrame, decisions: DataFrame, facts: DataFrame) -> DataFrame:
+    """Score of each contributor in each domain, relative to the domain's best.
+
+    Each kind of row is counted by (source, domain) before it meets its author, and authors are joined once.
+    """
+    who = with_contributor(sources).select(F.col("id").alias("source_id"), "contributor_id", "ts").where("contributor_id IS NOT NULL")
+    by_source = domain_counts(sources, events, decisions, facts)
     by_person = by_source.join(who, "source_id").groupBy("contributor_id", "domain").agg(*[F.sum(k).alias(k) for k in WEIGHTS], F.max("ts").alias("last"))
     # a row per contributor and domain, read twice here and often afterwards
     raw = cut(by_person.join(known.select(F.col("id").alias("contributor_id")), "contributor_id", "left_semi").withColumn("raw", sum(F.col(k) * w for k, w in WEIGHTS.items())))

@@ -1,6 +1,7 @@
 """Incremental ingestion: commits come as a stream, knowledge tables are merged by key.
 
-Extraction is stateless.  Each micro-batch is merged into keyed Parquet tables, so a batch that runs again changes nothing.
+Extraction is stateless.  Each micro-batch is one change of keyed tables (see ``tables``), so readers see all of it or nothing, and a batch that
+runs again changes nothing.  Commits come from exported logs, or from a repository (``sources.commit_source``), whose offsets are the cursor.
 Contributors can also be kept as streaming state: one row per contributor, which bounds it without a watermark.
 """
 
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, ownership
 from ..sources import files
-from ..storage import upsert
+from ..storage import cut
+from . import ownership as live
+from .tables import Change, Tables
 
 
 def commit_stream(spark: SparkSession, folder: str, repository_id: str) -> DataFrame:
@@ -25,42 +28,28 @@ def running_contributors(commits: DataFrame) -> DataFrame:
     return own.groupBy("contributor_id").agg(F.count(F.lit(1)).alias("commit_count"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-class Tables:
-    """Keyed tables in a folder, each version in a folder of its own; CURRENT names the one in use."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _pointer(self, name: str) -> str:
-        return f"{self.root}/{name}/CURRENT"
-
-    def read(self, name: str) -> DataFrame | None:
-        try:
-            version = self.spark.read.text(self._pointer(name)).first()[0]
-        except Exception as error:  # noqa: BLE001 - only a missing table is no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
-        return self.spark.read.parquet(f"{self.root}/{name}/{version}")
-
-    def merge(self, name: str, rows: DataFrame, version: str) -> None:
-        """Puts rows in by id and then moves the pointer, so readers see the old or the new table whole."""
-        old = self.read(name)
-        rows = rows.withColumn("created_at", F.lit(version)).withColumn("version", F.lit(version)).dropDuplicates(["id"])
-        (rows if old is None else upsert(old, rows)).write.mode("overwrite").parquet(f"{self.root}/{name}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+def take(change: Change, rows: DataFrame, gone: DataFrame | None = None) -> None:
+    """Puts sources and what they say into a change's tables, takes those of gone(id) out, and brings contributors and expertise up to date."""
+    rows = cut(rows.groupBy("id").agg(F.max(F.struct(*[c for c in rows.columns if c != "id"])).alias("r")).select("id", "r.*").select(*rows.columns))
+    ids = rows.select("id") if gone is None else rows.select("id").unionByName(gone.select("id"))
+    change.merge("sources", rows, gone=gone)
+    for name, made in (("events", extract.events(rows)), ("intents", extract.intents(rows)), ("facts", extract.facts(rows)), ("decisions", extract.decisions(rows))):
+        # what an earlier version of a source said goes with it
+        old = change.read(name)
+        said = old.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select("id").join(made.select("id"), "id", "left_anti") if old is not None else None
+        change.merge(name, made, gone=said)
+    live.apply(change, rows, gone)
 
 
 def ingest(stream: DataFrame, tables: Tables, checkpoint: str):
-    """Runs all new files through extraction and into the tables, then stops."""
+    """Runs all new rows through extraction and into the tables, then stops.  The tables remember the last batch of each checkpoint, so a batch that
+    runs again after a crash is taken once."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
-        version = f"v{number:08d}"
-        tables.merge("sources", rows, version)
-        tables.merge("events", extract.events(rows), version)
-        tables.merge("intents", extract.intents(rows), version)
-        rows.unpersist()
+        change = tables.change(checkpoint, number)
+        if change is not None:
+            take(change, rows)
+            change.commit()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -71,4 +60,4 @@ def keys_seen(tables: Tables) -> DataFrame:
     return found.select("id") if found is not None else tables.spark.createDataFrame([], "id string")
 
 
-__all__ = ["Tables", "commit_stream", "ingest", "keys_seen", "running_contributors"]
+__all__ = ["Tables", "commit_stream", "ingest", "keys_seen", "running_contributors", "take"]
