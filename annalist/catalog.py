@@ -115,6 +115,16 @@ def link_fact_decision(k: Knowledge) -> DataFrame:
     return link.fact_decision(k.facts, k.decisions).select("from_id", "to_id")
 
 
+@query("SELECT from_id AS id, kind AS relationship_type, true AS outgoing, count(*) AS n FROM stored GROUP BY ALL UNION ALL SELECT to_id, kind, false, count(*) FROM stored GROUP BY ALL", "stored")
+def link_degrees(k: Knowledge) -> DataFrame:
+    return k.link_counts
+
+
+@query("SELECT id, min(x) AS component FROM (WITH RECURSIVE l AS (SELECT from_id AS a, to_id AS b FROM stored UNION SELECT to_id, from_id FROM stored), r AS (SELECT a AS id, a AS x FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.x) SELECT * FROM r) GROUP BY 1", "stored")
+def memory_components(k: Knowledge) -> DataFrame:
+    return link.memory_components(k.intents, k.decisions, k.events, k.facts)
+
+
 @query("SELECT from_id, to_id, CASE WHEN contains(c, '[' || i || ']') OR contains(c, '](' || r || ')') OR contains(c, 'see ' || i) OR contains(c, 'depends on ' || i) OR contains(c, 'depends on: ' || i) OR contains(c, 'see ' || r) OR contains(c, 'depends on ' || r) OR contains(c, 'depends on: ' || r) THEN 'explicit_reference' WHEN contains(c, r) THEN 'source_reference' ELSE 'decision_id' END AS evidence FROM (SELECT a.id AS from_id, b.id AS to_id, a.c, b.i, b.r FROM (SELECT id, lower(content) AS c FROM dec) a JOIN (SELECT id, lower(id) AS i, lower(reference) AS r FROM dec) b ON a.id <> b.id AND (contains(a.c, b.r) OR contains(a.c, b.i)))", "dec")
 def derive_decision_dep(k: Knowledge) -> DataFrame:
     return link.decision_dependencies(k.decisions)
@@ -267,7 +277,7 @@ def discovery(k: Knowledge) -> DataFrame:
 
 def _people(k: Knowledge) -> DataFrame:
     """Discovery scores of contributors and of decisions and events by the links they have."""
-    degree = graph.degrees(k.stored_edges)
+    degree = k.link_counts.groupBy("id").agg(F.sum("n").alias("degree"))
     items = degree.select(F.lit("MEMORY").alias("entity_type"), F.col("id").alias("entity_id"), F.col("degree").cast("double").alias("score"))
     people = k.expertise.groupBy("contributor_id").agg((F.count(F.lit(1)) + F.countDistinct("domain")).cast("double").alias("score")).select(F.lit("CONTRIBUTOR").alias("entity_type"), F.col("contributor_id").alias("entity_id"), "score")
     return items.unionByName(people)
@@ -514,9 +524,9 @@ def decision_rationale(k: Knowledge) -> DataFrame:
 
 @query("SELECT d.id AS decision_id, (SELECT count(*) FROM intent i WHERE i.source_id = d.source_id) AS intents, coalesce(e.n, 0) AS events, coalesce(f.n, 0) AS facts FROM dec d LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT d.id, e.id AS x FROM dec_words d JOIN evt_words e USING (word)) GROUP BY 1) e ON e.id = d.id LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT DISTINCT d.id, f.id AS x FROM dec_words d JOIN fact_words f USING (word)) GROUP BY 1) f ON f.id = d.id", "dec", "intent", "dec_words", "evt_words", "fact_words")
 def trace_decision(k: Knowledge) -> DataFrame:
-    from .operators.answers import traces
+    from .operators.answers import trace_counts
 
-    return traces(k.decisions, k.stored_edges)
+    return trace_counts(k.decisions, k.link_counts)
 
 
 @query("SELECT id, CASE WHEN contains(lower(text), 'migration') THEN 'migration' WHEN contains(lower(text), 'schema') THEN 'schema' WHEN contains(lower(text), 'database') THEN 'database' WHEN contains(lower(text), 'breaking') THEN 'breaking' WHEN contains(lower(text), 'deprecat') THEN 'deprecat' WHEN contains(lower(text), 'ddl') THEN 'ddl' END AS blocker FROM (SELECT id, content AS text FROM dec UNION ALL SELECT id, title FROM evt) WHERE blocker IS NOT NULL", "dec", "evt")

@@ -131,6 +131,14 @@ def traces(decisions: DataFrame, edges: DataFrame) -> DataFrame:
     return decisions.select(F.col("id").alias("decision_id")).join(found, "decision_id", "left").fillna(0)
 
 
+def trace_counts(decisions: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from the counts of ``link.link_counts``."""
+    own = {"intents": ("INTENT_DRIVES_DECISION", False), "events": ("DECISION_RESULTS_IN_EVENT", True), "facts": ("FACT_SUPPORTS_DECISION", False)}
+    sums = [F.sum(F.when((F.col("relationship_type") == kind) & (F.col("outgoing") == out), F.col("n")).otherwise(0)).alias(name) for name, (kind, out) in own.items()]
+    found = counts.groupBy(F.col("id").alias("decision_id")).agg(*sums)
+    return decisions.select(F.col("id").alias("decision_id")).join(found, "decision_id", "left").fillna(0)
+
+
 def capped(items: list, kind: str) -> tuple[list, int]:
     """The first items that an answer may hold, and how many it leaves out; no room is none."""
     most = CAPS[kind]

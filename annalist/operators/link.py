@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import classes
+from .graph import union_all
 
 
 def _edges(pairs: DataFrame, kind: str) -> DataFrame:
@@ -33,6 +35,29 @@ def fact_decision(facts: DataFrame, decisions: DataFrame) -> DataFrame:
     return _edges(_sharing_a_word(facts, words, decisions, t.clean_words(F.col("title"))), "FACT_SUPPORTS_DECISION")
 
 
+def word_links(decisions: DataFrame, events: DataFrame, facts: DataFrame) -> dict[str, classes.Links]:
+    """The links by words of ``decision_event`` and ``fact_decision``, without their pairs."""
+    title = t.clean_words(F.col("title"))
+    words = F.array_distinct(F.concat(t.clean_words(F.col("subject")), t.clean_words(F.col("object"))))
+    return {"DECISION_RESULTS_IN_EVENT": classes.links(decisions, title, events, title), "FACT_SUPPORTS_DECISION": classes.links(facts, words, decisions, title)}
+
+
+def link_counts(intents: DataFrame, decisions: DataFrame, events: DataFrame, facts: DataFrame, found: dict[str, classes.Links] | None = None) -> DataFrame:
+    """(id, relationship_type, outgoing, n): how many stored edges of each type a memory has, by direction."""
+    found = found or word_links(decisions, events, facts)
+    driven = intents.where("source_id <> ''").select("source_id", F.col("id").alias("from_id")).join(decisions.select("source_id", F.col("id").alias("to_id")), "source_id")
+    kind = "INTENT_DRIVES_DECISION"
+    parts = [driven.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n")).select("id", F.lit(kind).alias("relationship_type"), F.lit(c == "from_id").alias("outgoing"), "n") for c in ("from_id", "to_id")]
+    for kind, own in found.items():
+        parts += [classes.degrees(own, side).select("id", F.lit(kind).alias("relationship_type"), F.lit(side == 0).alias("outgoing"), F.col("degree").alias("n")) for side in (0, 1)]
+    return union_all(parts).where("n > 0")
+
+
+def memory_components(intents: DataFrame, decisions: DataFrame, events: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, component) of linked memories."""
+    return classes.linked_components(list(word_links(decisions, events, facts).values()), intent_decision(intents, decisions))
+
+
 def stored_edges(intents: DataFrame, decisions: DataFrame, events: DataFrame, facts: DataFrame) -> DataFrame:
     return intent_decision(intents, decisions).unionByName(decision_event(decisions, events)).unionByName(fact_decision(facts, decisions))
 

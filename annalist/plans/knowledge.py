@@ -134,6 +134,11 @@ class Knowledge:
     def stored_edges(self) -> DataFrame:
         return link.stored_edges(self.intents, self.decisions, self.events, self.facts)
 
+    @cached_property
+    def link_counts(self) -> DataFrame:
+        """How many stored edges a memory has, by type and direction, counted without the edges."""
+        return self._once("link-counts", lambda: link.link_counts(self.intents, self.decisions, self.events, self.facts))
+
     @staticmethod
     def _union(frames: list[DataFrame]) -> DataFrame:
         out = frames[0]
