@@ -30,13 +30,13 @@ def query(body: str | None = None, *needs: str):
 
 
 def queries() -> dict:
-    from . import catalog_answers, catalog_code, catalog_packages  # noqa: F401 - register more
+    from . import catalog_answers, catalog_code, catalog_live, catalog_packages  # noqa: F401 - register more
 
     return {name: (lambda spark, sf_dir, f=f: f(Knowledge(spark, sf_dir))) for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalog_answers, catalog_code, catalog_packages  # noqa: F401 - register more
+    from . import catalog_answers, catalog_code, catalog_live, catalog_packages  # noqa: F401 - register more
 
     return {name: text for name, (_, text) in QUERIES.items() if text}
 

@@ -92,7 +92,7 @@ class Change:
     """What a change writes; nothing of it is seen before ``commit``."""
 
     def __init__(self, before: Snapshot, stream: str, batch: int):
-        self.before, self.number = before, before.number + 1
+        self.before, self.number, self.written = before, before.number + 1, []
         self.places, self.schemas, self.streams = dict(before.places), dict(before.schemas), before.streams | ({stream: batch} if batch >= 0 else {})
 
     def bucket(self, *key: str) -> Column:
@@ -122,6 +122,16 @@ class Change:
             if b in made:
                 self.places[(name, b)] = f"{name}/{version}/_bucket={b}"
 
+    def put(self, name: str, bucket: int, rows: DataFrame) -> None:
+        """Writes one bucket whole, for tables whose buckets are no hashes."""
+        place = f"{name}/v{self.number:010d}/_bucket={bucket}"
+        if self.places.get((name, bucket)) == place:  # written before in this change, and perhaps read by rows
+            place += f"-{sum(1 for p in self.written if p.startswith(place))}"
+        self.written.append(place)
+        self.schemas[name] = rows.schema.json()
+        rows.write.mode("overwrite").parquet(f"{self.before.tables.root}/{place}")
+        self.places[(name, bucket)] = place
+
     def merge(self, name: str, rows: DataFrame, key: str = "id", gone: DataFrame | None = None) -> None:
         """Puts rows in by key, with the time of their first version as created_at; of several rows of one key in a change the greatest stays.
 
