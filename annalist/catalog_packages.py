@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import DOMAIN_ITEMS, ITEMS, LEARN, LEARN_CONTRIBUTOR, LEARN_DOMAIN, PERSON, QUERIES, STORED, _bm25_sql, _discovery, _items, _match_sql, _person, _tables, learning_contributor, learning_domain, query, reviewers_domain, reviewers_repo
 from .catalog_answers import KNOWN, TASK, TOPIC, _graph, _topic, _with
 from .functions import text as t
-from .operators import graph, packages, rank, readers, search, topics, workspace
+from .operators import envelope, graph, packages, rank, readers, search, topics, workspace
 from .plans.knowledge import Knowledge
 from .sources.adapters import REPO
 from .storage import cut
@@ -97,6 +99,33 @@ QUERIES |= {
     ),
 }
 
+
+
+def explain_envelope(k: Knowledge) -> DataFrame:
+    return envelope.envelope("unified_explanation", explain(k))
+
+
+def plan_envelope(k: Knowledge) -> DataFrame:
+    return envelope.envelope("plan", plan(k))
+
+
+def impact_envelope(k: Knowledge) -> DataFrame:
+    return envelope.envelope("impact", topic_impact(k))
+
+
+def _split(kind: str, text: str) -> str:
+    """Puts a twin's last SELECT, which begins outside all brackets, into the envelope's SQL."""
+    bare = re.sub("'[^']*'", lambda m: " " * len(m[0]), text)
+    depth = 0
+    for i, c in enumerate(bare):
+        depth += (c == "(") - (c == ")")
+        if not depth and bare.startswith(") SELECT ", i):
+            return envelope.envelope_sql(kind, text[i + 2 :], text[: i + 1])
+    raise ValueError("no SELECT behind the WITH list")
+
+
+QUERIES |= {name: (run, _split(kind, QUERIES[of][1])) for name, run, kind, of in (("explain_envelope", explain_envelope, "unified_explanation", "explain"), ("plan_envelope", plan_envelope, "plan", "plan"), ("impact_envelope", impact_envelope, "impact", "topic_impact"))}
+
 STEPS = " UNION ALL ".join(f"SELECT 'steps', {n}, '{n}. {x}'" for n, x in enumerate(packages.FIRST_STEPS, 1))
 
 

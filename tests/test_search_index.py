@@ -20,7 +20,7 @@ def test_search_equals_a_rebuilt_index(spark, tmp_path):
     """After each of a random sequence of inserts, updates and deletes in two repositories."""
     rng = random.Random(3)
     tables, whole = Tables(spark, str(tmp_path / "t")), {}
-    for step in range(6):
+    for step in range(5):
         batch = {}
         for _ in range(14 if step == 0 else 3):
             key = (rng.choice("rs"), f"d{rng.randint(0, 30)}")
