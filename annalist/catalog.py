@@ -241,9 +241,12 @@ def entity_briefing(k: Knowledge) -> DataFrame:
     return code.briefing(k.entities, k.relations)
 
 
-@query("SELECT 0 AS files, 0 AS packages, count(*) FILTER (entity_type = 'function') AS functions, count(*) FILTER (entity_type = 'struct') AS structs, (SELECT count(*) FROM calls) AS relations FROM entities", "entities", "calls")
+@query("SELECT (SELECT count(DISTINCT file_path) FROM entities) AS files, (SELECT count(DISTINCT package_path) FROM entities) AS packages, count(*) FILTER (entity_type = 'function') AS functions, count(*) FILTER (entity_type = 'struct') AS structs, (SELECT count(*) FROM calls) AS relations FROM entities", "entities", "calls")
 def index_counters(k: Knowledge) -> DataFrame:
-    return code.counters(k.entities, k.relations)
+    """Over the parts, their files and their packages; a file stands in the index once for each of its parts."""
+    rows = k.entities.select("id", "entity_type")
+    of = lambda column, kind: k.entities.select(F.concat(F.lit(f"{kind}:"), column).alias("id"), F.lit(kind).alias("entity_type"))
+    return code.counters(rows.unionByName(of("file_path", "file")).unionByName(of("package_path", "package")), k.relations)
 
 
 @query("SELECT d.id AS memory_id, e.id AS code_id, 'short_name' AS strategy FROM dec d JOIN entities e ON e.name = 'Fn' || substr(d.source_id, 4)", "dec", "entities")
@@ -488,11 +491,19 @@ def insert_if_absent(k: Knowledge) -> DataFrame:
     return storage.insert_absent(old, k.table("events").select(F.col("user_id").alias("id"), F.lit("new").alias("state")))
 
 
-@query("SELECT c.from_id, c.to_id FROM calls c JOIN entities a ON a.id = c.from_id JOIN entities b ON b.id = c.to_id WHERE a.module <> 'Brand#12' AND b.module <> 'Brand#12'", "calls", "entities")
+@query(
+    "SELECT 'relation' AS kind, c.from_id AS a, c.to_id AS b FROM calls c JOIN entities a ON a.id = c.from_id JOIN entities b ON b.id = c.to_id WHERE a.module <> 'Brand#12' AND b.module <> 'Brand#12' UNION ALL SELECT 'relation', 'new:' || id, id FROM entities WHERE module = 'Brand#12' AND entity_type <> 'struct'"
+    " UNION ALL SELECT 'entity', id, name FROM entities WHERE module <> 'Brand#12' UNION ALL SELECT 'entity', 'new:' || id, 'New' || name FROM entities WHERE module = 'Brand#12' AND entity_type <> 'struct'",
+    "calls", "entities",
+)
 def scoped_merge(k: Knowledge) -> DataFrame:
+    """One module indexed anew: its functions and methods under new ids, each with a relation; the others' rows stay."""
     gone = k.spark.createDataFrame([("Brand#12",)], "module string")
-    _, relations = storage.replace_modules(k.entities, k.relations, gone, k.entities.where("false"), k.relations.where("false"))
-    return relations.select("from_id", "to_id")
+    again = k.entities.where("module = 'Brand#12' AND entity_type <> 'struct'")
+    new = again.withColumn("id", F.concat(F.lit("new:"), "id")).withColumn("name", F.concat(F.lit("New"), "name"))
+    calls = again.select(F.concat(F.lit("new:"), "id").alias("from_id"), F.col("id").alias("to_id"), F.lit("CALLS").alias("relationship_type"))
+    entities, relations = storage.replace_modules(k.entities, k.relations, gone, new, calls)
+    return relations.select(F.lit("relation").alias("kind"), F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b")))
 
 
 @query("SELECT conv_id, turn, count(*) AS answers, max(a) AS answer FROM (SELECT q.conv_id, q.turn, a.text AS a FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user' AND a.role = 'assistant') GROUP BY 1, 2")

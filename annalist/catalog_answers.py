@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import PERSON, QUERIES, _bm25_sql, _match_sql, _tables, query
+from .catalog import PERSON, QUERIES, TREE, _bm25_sql, _match_sql, _tables, query
 from .functions import text as t
 from .operators import answers, code, graph, ownership, readers, search, snapshot, topics, traces
 from .plans.knowledge import Knowledge
@@ -72,7 +72,7 @@ def memory_counts(k: Knowledge) -> DataFrame:
     return readers.memory_counts(k.decisions, k.intents, k.facts, k.events)
 
 
-@query("SELECT 'go' AS language")
+@query("SELECT CASE suffix WHEN '.go' THEN 'go' WHEN '.ts' THEN 'typescript' WHEN '.py' THEN 'python' ELSE '' END AS language FROM (SELECT regexp_extract(file_path, '(\\.[^./]*)$', 1) AS suffix, count(*) AS n FROM entities GROUP BY 1 ORDER BY n DESC, suffix LIMIT 1)", "entities")
 def dominant_language(k: Knowledge) -> DataFrame:
     return readers.dominant_language(k.entities.select(F.col("file_path").alias("path")))
 
@@ -220,7 +220,10 @@ def community_ids(k: Knowledge) -> DataFrame:
     return graph.with_component_ids(graph.components(k.edges), REPO).orderBy(F.desc("size"), "component_id")
 
 
-QUERIES["community_ids"] = (community_ids, None)
+QUERIES["community_ids"] = (
+    community_ids,
+    _with("edges") + TREE.replace(" SELECT id, min(id) OVER (PARTITION BY root) AS component FROM whole", "") + f" SELECT 'com_' || substr(sha256('{REPO}' || string_agg(chr(0) || id, '' ORDER BY id)), 1, 16) AS component_id, count(*) AS size FROM whole GROUP BY root",
+)
 
 # topics -------------------------------------------------------------------------------------------------------------
 

@@ -124,10 +124,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def with_component_ids(members: DataFrame, repository_id: str) -> DataFrame:
-    """(component_id, size) with the hashed id of each component's sorted members; its size bounds the list."""
-    listed = members.groupBy("component").agg(F.array_sort(F.collect_set("id")).alias("nodes"))
-    text = F.concat(F.lit(repository_id), F.array_join(F.transform("nodes", lambda n: F.concat(F.lit("\0"), n)), ""))
-    return listed.select(F.concat(F.lit("com_"), F.substring(F.sha2(text, 256), 1, 16)).alias("component_id"), F.size("nodes").alias("size"))
+    """(component_id, size) with the hashed id of each component's sorted members, which stream by in order: no component is held."""
+    schema = "component_id string, size long"
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        now, digest, size, out, last = None, None, 0, [], None
+        for batch in batches:
+            for component, node in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if component != now or digest is None:
+                    if digest is not None:
+                        out.append((f"com_{digest.hexdigest()[:16]}", size))
+                    now, digest, size, last = component, hashlib.sha256(repository_id.encode()), 0, None
+                if node != last:
+                    digest.update(b"\0" + node.encode())
+                    size, last = size + 1, node
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], ["component_id", "size"])
+            out = []
+        if digest is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([f"com_{digest.hexdigest()[:16]}"]), pa.array([size])], ["component_id", "size"])
+
+    return members.select("component", "id").repartition("component").sortWithinPartitions("component", "id").mapInArrow(run, schema)
 
 
 def reason(start_type: Column, start: Column, end_type: Column, end: Column) -> Column:

@@ -154,5 +154,7 @@ def relation_boost(scores: dict[str, int], edges: list[tuple[str, str]]) -> dict
 
 
 def access_ranking(items: DataFrame) -> DataFrame:
-    """Last accessed first, never accessed last; then by count and id."""
-    return items.withColumn("position", F.row_number().over(Window.partitionBy("repository_id").orderBy(F.desc_nulls_last("last_accessed"), F.desc("access_count"), "id")))
+    """Last accessed first, never accessed last; then by count and id: numbered in one sort by ranges, so a repository may span tasks."""
+    at = numbered(items, "repository_id", F.desc_nulls_last("last_accessed"), F.desc("access_count"), "id", name="_p")
+    first = at.groupBy("repository_id").agg(F.min("_p").alias("_first"))
+    return at.join(first, "repository_id").withColumn("position", (F.col("_p") - F.col("_first") + 1).cast("int")).drop("_p", "_first")

@@ -32,7 +32,7 @@ ENTITY = {
     "qualified_name": "'pkg/' || p_brand || '.Fn' || CAST(p_partkey AS STRING)",
     "package_path": "'pkg/' || p_brand",
     "module": "p_brand",
-    "file_path": "'pkg/' || p_brand || '/' || p_type || '.go'",
+    "file_path": "'pkg/' || p_brand || '/' || p_type || CASE p_size % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END",
 }
 
 
