@@ -10,7 +10,8 @@ content is read once.
 those bytes alone; ``media_features`` reads whole payloads.
 
 Defined results: null and empty texts are 64 zero bytes; equal texts share digest and features; repeated rows
-and null doc_ids are kept; an empty table gives no shards.
+and null doc_ids are kept; an empty table gives no shards; very long texts are one payload each, stored and read whole; extra columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations

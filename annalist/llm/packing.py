@@ -11,7 +11,7 @@
 Terms that more than half of all documents have get an idf of 0 and are not looked up.  No shuffle but for the sums.
 
 Defined results: null and empty texts are the end id alone; repeated rows are packed each; a null doc_id is
-kept; an empty table gives no rows; a very long text fills windows of its own and is never cut short; of equal scores the earlier
+kept; an empty table gives no rows; extra columns, whatever their names, are not read; a very long text fills windows of its own and is never cut short; of equal scores the earlier
 document comes first, and where no unused document shares a term the first unused one fills; shards follow the order of the written table, so sequence ids depend on how the input is split, while the
 pieces always cover each document exactly once.
 """

@@ -11,8 +11,8 @@ the driver holds does not grow with the corpus.  Scoring covers all rows.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other row;
 repeated rows get equal scores; a labelled doc_id of several texts is learnt once, from the least row of statistics, and one of
-several labels once with each; rows of a null doc_id are scored and never learnt from; an empty table gives no rows; very long
-texts are measured whole; with no usable label (or labels of one kind) the score is the
+several labels once with each; rows of a null doc_id are scored and never learnt from; an empty table gives no rows; extra
+columns, whatever their names, are not read; very long texts are measured whole; with no usable label (or labels of one kind) the score is the
 constant share of label 1, or 0.5 without labels.
 """
 

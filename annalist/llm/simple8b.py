@@ -15,7 +15,7 @@ own attempt, and only those that a finished task lists are read.  The listing is
 
 Defined results: null and empty texts have the end id alone; rows with equal doc_id are kept, each as a
 document, in the order of their ids' crc32 (a doc_id that many rows share is spread over ranges by it); a null doc_id sorts
-first; an empty table gives no files and no rows.  A very long text is one document of one file, whatever its size.
+first; an empty table gives no files and no rows; extra columns, whatever their names, are not read.  A very long text is one document of one file, whatever its size.
 """
 
 from __future__ import annotations
