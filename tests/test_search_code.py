@@ -189,3 +189,12 @@ def test_answer_helpers(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(answers.rationale(F.col("x")).alias("r")).collect()
     assert [r.r for r in rows] == ["a b c", "one two three", "", "x" * 280 + "..."]
     assert answers.section("s", "t", spark.createDataFrame([(2, "b"), (1, "a")], "i int, x string"), "i").first().data == '[{"i":1,"x":"a"},{"i":2,"x":"b"}]'
+
+
+def test_words_are_counted_in_their_rows(spark):
+    """Building an index exchanges no word, and a document's words are counted with their repeats."""
+    rows = [("a", "EVENT", "add login", "Add x add"), ("b", "FACT", "", "--"), ("c", "FACT", "storage", None)]
+    counted = search.counted_words(spark.createDataFrame(rows, "id string, entity_type string, title string, content string"))
+    assert {r.id: (r.length, [tuple(w) for w in r.words]) for r in counted.collect()} == {"a": (5, [("add", 3), ("login", 1), ("x", 1)]), "b": (0, []), "c": (1, [("storage", 1)])}
+    found = search.postings(counted)
+    assert found.columns == ["doc", "word", "tf"] and "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
