@@ -231,7 +231,9 @@ def resolve_call_sites(sites: DataFrame, entities: DataFrame, module: str, compa
     typed = methods.groupBy("package_path", "receiver", "name").agg(F.min("id").alias("m"))
     only = methods.groupBy("package_path", "name").agg(F.countDistinct("receiver").alias("n"), F.min("id").alias("u")).where("n = 1").drop("n")
     callers = entities.where("entity_type IN ('function', 'method')").groupBy(F.col("qualified_name").alias("caller"), F.col("entity_type").alias("caller_type")).agg(F.min("id").alias("from_id"))
-    by_name = keyed.where("in_package IS NOT NULL").join(function, ["in_package", "name"]).select("caller", "caller_type", F.col("f").alias("to_id"), "line")
-    by_method = keyed.where("receiver IS NOT NULL").join(typed, ["package_path", "receiver", "name"], "left").join(only, ["package_path", "name"], "left").select("caller", "caller_type", F.coalesce("m", "u").alias("to_id"), "line").where("to_id IS NOT NULL")
-    found = by_name.unionByName(by_method).join(callers, ["caller", "caller_type"]).where("from_id <> to_id")
+    # merge: sizes after parsing are guesses from the files', far too low, and no side is small
+    large = lambda rows: rows.hint("merge")
+    by_name = keyed.where("in_package IS NOT NULL").join(large(function), ["in_package", "name"]).select("caller", "caller_type", F.col("f").alias("to_id"), "line")
+    by_method = keyed.where("receiver IS NOT NULL").join(large(typed), ["package_path", "receiver", "name"], "left").join(large(only), ["package_path", "name"], "left").select("caller", "caller_type", F.coalesce("m", "u").alias("to_id"), "line").where("to_id IS NOT NULL")
+    found = by_name.unionByName(by_method).join(large(callers), ["caller", "caller_type"]).where("from_id <> to_id")
     return found.groupBy("from_id", "to_id").agg(F.min("line").alias("line")).select("from_id", "to_id", F.lit("CALLS").alias("relationship_type"), "line")

@@ -152,3 +152,12 @@ def test_long_bodies_take_linear_time():
 
     spent(1000)
     assert spent(40000) < 14 * max(spent(4000), 0.02)
+
+
+def test_large_sides_are_not_broadcast(spark):
+    """Parsing makes far more of a file than its size tells, so no join of entities may trust that guess."""
+    from annalist.operators import calls
+
+    sites = spark.createDataFrame([], calls.SITES)
+    entities = spark.createDataFrame([], "id string, entity_type string, name string, qualified_name string, package_path string, receiver string")
+    assert "Broadcast" not in calls.resolve_call_sites(sites, entities, "demo")._jdf.queryExecution().executedPlan().toString()
