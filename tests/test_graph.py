@@ -120,3 +120,23 @@ def test_whole_call_graph_of_the_tables(spark):
                 queue.append(b)
     want = {(a, b, distance[a]) for a in queue if distance[a] < 10 for b in out[a]}
     assert {tuple(r) for r in entry.queries()["call_graph"](spark, sf).collect()} == want
+
+
+def test_reach_reads_its_edges_once(spark):
+    """However many hops it takes, what the edges are made from is computed once."""
+    from pyspark.sql import functions as F
+
+    from annalist.operators import graph
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(8)], "from_id string, to_id string").mapInArrow(counted, "from_id string, to_id string")
+    start = spark.createDataFrame([("n0",)], "id string")
+    assert {(r.id, r.hops) for r in graph.reach(chain, start, 5).collect()} == {(f"n{i}", i) for i in range(6)} and seen.value == 8
+    found = graph.call_graph(chain.withColumn("relationship_type", F.lit("CALLS")), start).collect()
+    assert len(found) == 8 and seen.value == 16
