@@ -53,6 +53,6 @@ def simple_paths(edges: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH, in
 
 
 def ordered(paths: DataFrame) -> DataFrame:
-    """paths with their position: by length, first node, last node and edges."""
+    """paths with their position: by length, first node, last node and edges; of paths over edges of the same names the greater nodes come first."""
     ends = paths.withColumn("_a", F.col("nodes")[0]).withColumn("_b", F.element_at("nodes", -1))
-    return numbered(ends, "hops", "_a", "_b", "edges").drop("_a", "_b")
+    return numbered(ends, "hops", "_a", "_b", "edges", F.desc("nodes")).drop("_a", "_b")

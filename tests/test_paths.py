@@ -60,3 +60,12 @@ def test_nothing_grows_off_the_way(spark):
     found = paths.ordered(paths.simple_paths(edges, one("s"), 3, ends=one("end"))).orderBy("position").collect()
     assert [(r.nodes, r.edges) for r in found] == [(["s", "t", "end"], ["u", "v"]), (["s", "t", "end"], ["u", "w"])]
     assert paths.simple_paths(edges, one("end"), 3, ends=one("s")).count() == 0
+
+
+def test_order_of_paths_over_edges_of_one_name(spark):
+    """Edges that share a name leave two paths alike but for a node between, which then orders them."""
+    rows = [("e", "a", "x"), ("e", "a", "y"), ("f", "x", "z"), ("f", "y", "z")]
+    edges = spark.createDataFrame(rows * 1, "id string, from_id string, to_id string")
+    for parts in (1, 3):
+        found = paths.ordered(paths.simple_paths(edges.repartition(parts), spark.createDataFrame([("a",)], "id string"), 2))
+        assert [r.nodes[1] for r in found.where("hops = 2").orderBy("position").collect()] == ["y", "x"]
