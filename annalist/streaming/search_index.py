@@ -35,12 +35,12 @@ def _tier(size: int) -> int:
     return tier
 
 
-def _write(change: Change, number: int, postings: DataFrame, documents: DataFrame) -> None:
-    of = lambda rows: rows.select(F.lit(number).alias("segment"), *[c for c in rows.columns if c != "segment"])
-    change.put("documents", number, of(documents))
-    change.put("postings", number, of(postings).repartitionByRange("word", "id").sortWithinPartitions("word", "id"))
-    change.put("deleted", number, documents.sparkSession.createDataFrame([], KEYS))
+def _write(change: Change, number: int, counted: DataFrame) -> None:
+    """A segment of documents with their words counted: stored once under new numbers, and its postings from there."""
+    change.put("documents", number, counted.select(F.lit(number).alias("segment"), F.monotonically_increasing_id().alias("doc"), *[c for c in counted.columns if c not in ("segment", "doc")]))
     own = change.read("documents", [number])
+    change.put("postings", number, search.postings(own, "segment", "doc"))
+    change.put("deleted", number, own.sparkSession.createDataFrame([], KEYS))
     change.put("totals", number, own.groupBy("segment", "repository_id").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("words")))
     change.streams[f"{SIZE}{number}"] = own.count()
 
@@ -75,10 +75,7 @@ def apply(change: Change, documents: DataFrame, gone: DataFrame | None = None) -
             change.put("totals", number, cut(left.select("segment", "repository_id", (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("words") - F.coalesce("_w", F.lit(0))).alias("words"))))
     if not documents.isEmpty():
         number = max([*sizes(change), 0]) + 1
-        words = search.words(F.concat_ws(" ", "title", "content"))
-        cutted = documents.select("repository_id", "id", "entity_type", words.alias("w")).withColumn("length", F.size("w"))
-        postings = cutted.select("repository_id", "id", "entity_type", "length", F.explode("w").alias("word")).groupBy("word", "repository_id", "id", "entity_type", "length").agg(F.count(F.lit(1)).alias("tf"))
-        _write(change, number, postings, cutted.drop("w"))
+        _write(change, number, search.counted_words(documents))
     merge(change)
 
 
@@ -92,10 +89,8 @@ def merge(change: Change) -> None:
         if full is None:
             return
         parts = sorted(tiers[full])
-        deleted = change.read("deleted", parts)
-        rows = [_live(change.read(name, parts), deleted) for name in ("postings", "documents")]
         number = max(sizes(change)) + 1
-        _write(change, number, *rows)
+        _write(change, number, _live(change.read("documents", parts), change.read("deleted", parts)))
         _drop(change, parts)
 
 
@@ -111,6 +106,7 @@ def index(now: Snapshot | Change, repository_id: str | None = None) -> search.In
     postings = now.read("postings")
     if postings is None:
         return None
+    documents = _live(now.read("documents"), now.read("deleted"))
     mine = lambda rows: rows if repository_id is None else rows.where(F.col("repository_id") == repository_id)
     totals = mine(now.read("totals")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"))
-    return search.Index(mine(_live(postings, now.read("deleted"))), totals.select("n", (F.col("words") / F.col("n")).alias("mean")))
+    return search.Index(search.listed(postings, mine(documents), "segment", "doc"), totals.select("n", (F.col("words") / F.col("n")).alias("mean")))

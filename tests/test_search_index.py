@@ -69,3 +69,15 @@ def test_small_batches_leave_large_segments(spark, tmp_path):
     now = tables.snapshot()
     assert search_index.index(now, "r").stats.first().n == 2 and search_index.index(now, "s").stats.first().n == 1
     assert search_index.index(Tables(spark, str(tmp_path / "none")).snapshot()) is None
+
+
+def test_postings_hold_numbers(spark, tmp_path):
+    """A segment's postings name documents by number; ids lie once, in its list of documents, also after a merge."""
+    tables = Tables(spark, str(tmp_path / "t"))
+    for n in range(4):
+        change = tables.change()
+        search_index.apply(change, documents(spark, [("r", f"d{n}", "EVENT", "add add", f"login {n}")]))
+        change.commit()
+    now = tables.snapshot()
+    assert now.read("postings").columns == ["segment", "doc", "word", "tf"] and len(search_index.sizes(now)) == 1
+    assert sorted((r.id, r.word, r.tf) for r in search_index.index(now).postings.where("word = 'add'").collect()) == [(f"d{n}", "add", 2) for n in range(4)]
