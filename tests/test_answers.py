@@ -151,3 +151,22 @@ def test_plan_steps_and_topics():
     assert topics.plan_steps(0, 0, []) == ["1. Run analyze_topic_impact before broad refactors.", "2. Run review on the task topic before merge."]
     assert topics.plan_steps(1, 1, list("abcde"))[2] == "3. Begin at starting points: a, b, c, d (+1 more)."
     assert topics.topic_terms(topics.normal_topic("  Add  a LOGIN ")) == ["add", "login"]
+
+
+def test_queries_build_no_more_than_they_read(spark, monkeypatch):
+    """Nodes need no edges, derived edges no pairs by words, and a search by domain no index of texts."""
+    from annalist import catalog, catalog_answers
+    from annalist.operators import link, search, snapshot
+    from annalist.plans.knowledge import Knowledge
+
+    def fail(*_, **__):
+        raise AssertionError("not needed")
+
+    k = Knowledge(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(search, "counted_words", fail)
+    monkeypatch.setattr(search, "postings", fail)
+    assert catalog.domain_query(k).count() > 0
+    monkeypatch.setattr(link, "decision_event", fail)
+    assert catalog_answers.derived_degrees(k).count() > 0
+    monkeypatch.setattr(snapshot, "edges", fail)
+    assert catalog_answers.knowledge_nodes(k).count() > 0 and catalog_answers.filter_nodes(k).count() >= 0
