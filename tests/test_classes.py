@@ -59,3 +59,16 @@ def test_a_word_that_all_titles_share(spark):
     assert [tuple(r) for r in classes.degrees(found, 0).select("degree").distinct().collect()] == [(n,)]
     found = classes.links(rows("l"), F.col("words"), rows("r"), F.col("words"), hot=64)  # m words are cold: their pairs share the hot word, so none is kept
     assert found.cold.count() == 0 and classes.degrees(found, 1).agg(F.sum("degree")).first()[0] == n * n
+
+
+def test_members_are_exchanged_once_each(spark, monkeypatch):
+    """Rows of one id are one member, and what is stored first has a row for each member instead of each word."""
+    from annalist.operators import classes
+
+    stored = []
+    monkeypatch.setattr(classes, "cut", lambda df, cut=classes.cut: stored.append(cut(df)) or stored[-1])
+    words = lambda rows: spark.createDataFrame(rows, "id string, w array<string>")
+    found = classes.links(words([("a", ["x", "y", "x"]), ("a", ["y", "z"]), ("n", [])]), F.col("w"), words([("b", ["z", "y", "q", "r"])]), F.col("w"))
+    assert stored[0].count() == 2
+    assert sorted((r.side, r.id, r.word) for r in found.words.collect()) == [(0, "a", "y"), (0, "a", "z"), (1, "b", "y"), (1, "b", "z")]
+    assert [r.degree for r in classes.degrees(found, 0).collect()] == [1]
