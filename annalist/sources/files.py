@@ -12,7 +12,7 @@ from ..functions import text as t
 def parse_commits(records: DataFrame, repository_id: str) -> DataFrame:
     """Rows of raw commits (value: hash, author, date and message by lines); the title is the whole message."""
     parts = F.split(F.ltrim("value"), "\n", 4)
-    rows = records.where(F.size(parts) >= 3).select(F.trim(parts[0]).alias("id"), parts[1].alias("author"), t.parse_time(F.trim(parts[2])).alias("ts"), t.squeeze(F.coalesce(F.get(parts, F.lit(3)), F.lit(""))).alias("title"))
+    rows = records.where(F.size(parts) >= 3).select(F.trim(parts[0]).alias("id"), F.get(parts, F.lit(1)).alias("author"), t.parse_time(F.trim(F.get(parts, F.lit(2)))).alias("ts"), t.squeeze(F.coalesce(F.get(parts, F.lit(3)), F.lit(""))).alias("title"))
     return rows.select("id", F.lit(repository_id).alias("repository_id"), F.lit("commit").alias("source_type"), F.col("id").alias("reference"), "title", "author", "ts", F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("status"))
 
 
