@@ -2,8 +2,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from annalist import catalog, storage
+from annalist.constants import DOMAIN_KEYWORDS
 from annalist.functions import text as t
 from annalist.operators import extract, link, ownership, rank
+from annalist.plans.knowledge import Knowledge
 from tests.test_text import SOURCE
 
 ANCHOR = dt.datetime(2024, 6, 1, 12)
@@ -67,6 +70,54 @@ def test_domain_pairs(spark):
     assert {(r.domain_a, r.domain_b) for r in link.domain_pairs(rows).collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
 
 
+def test_domains_are_those_of_expertise(spark):
+    def record(id, author, title, content, kind="adr"):
+        return (id, "r", kind, id, title, author, None, content, None)
+
+    alice, bob, carl, dora, eve = [f"{n} <{n.lower()}@example.com>" for n in ("Alice", "Bob", "Carl", "Dora", "Eve")]
+    rows = [
+        commit("a1", alice, "feat: \u017fession", 1),  # a long s: the event's title alone says session
+        commit("b1", bob, "wip", 1),
+        commit("c1", carl, "Fix: SQL", 1), commit("c1", dora, "docs: mcp", 1),  # one id, two authors
+        commit("e1", eve, None, 1), commit(None, eve, "feat: token", 1), commit("n", "", "feat: docker", 1),
+        record("r1", bob, "Adopt", "A plain line, docker\nThe pass*word* uses x and a mcp CALLS y\nThe \u017fql uses z; sql"),
+        record("r2", "Fay", "Adopt tokens", "It uses sql"),  # no commit
+        record("r3", alice, "Render", "It uses docker", "architecture_doc"),
+        record("r4", alice, "x", None), record("r5", None, "sql", "It uses sql"), record(None, eve, "sql", "It uses sql"),
+        record("r6", dora, "Agent", "a depends\non sql"), record("r6", alice, "x", "b calls CI/CD"),
+    ]
+    sources = spark.createDataFrame(rows, SOURCE)
+    people = ownership.contributors(sources)
+    whole = ownership.expertise(sources, people, extract.events(sources), extract.decisions(sources), extract.facts(sources))
+    found = [(r.contributor_id, r.domain) for r in ownership.domains(sources).collect()]
+    assert sorted(found) == sorted((r.contributor_id, r.domain) for r in whole.select("contributor_id", "domain").collect())
+    email = {r.id: r.email[0] for r in people.collect()}
+    by = {}
+    for c, d in found:
+        by.setdefault(email[c], set()).add(d)
+    assert by == {
+        "a": {"Authentication", "Context Engine", "Agent Intelligence", "Infrastructure"}, "b": {"Authentication", "Storage", "MCP"},
+        "c": {"Storage", "MCP"}, "d": {"Storage", "MCP", "Agent Intelligence", "Infrastructure"},
+    }
+
+
+def test_domain_pairs_write_no_table_of_texts(spark):
+    k = Knowledge(spark, "/root/testdata/sf0.001")
+    k._state = ("a state of its own",)
+    first = {tuple(r) for r in catalog.derive_domain_pairs(k).collect()}
+    assert first and not any(storage.kept(spark, k._state, name) for name in ("events", "facts", "contributors", "expertise"))
+    # expertise that is written already is read
+    k = Knowledge(spark, "/root/testdata/sf0.001")
+    assert k.expertise.count() and storage.kept(spark, k._state, "expertise")
+    assert {tuple(r) for r in catalog.derive_domain_pairs(k).collect()} == first
+
+
+def test_no_predicate_holds_a_word_of_a_domain():
+    """``ownership._spoken`` reads no statement without such a word."""
+    words = [w for own in DOMAIN_KEYWORDS.values() for w in own]
+    assert not any(w in name.lower() for w in words for name, _ in t.PREDICATES) and not any(w.split() != [w] or not w.isascii() or set(w) & set("*_`#") for w in words)
+
+
 def test_packing_skips_what_does_not_fit(spark):
     rows = [("k", str(i), "x", s, c) for i, (s, c) in enumerate([(30, 6), (20, 9), (10, 3), (10, 1), (0, 1), (0, 0)])]
     ranked = spark.createDataFrame(rows, "kind string, id string, text string, score int, cost int")
